@@ -54,10 +54,7 @@ def with_slices(
     time. With no keys the whole frame is one hot group.
     """
     steps = [i / slices for i in range(1, slices)]
-    position = df[order_by]
-    if df.schema[order_by].dataType.typeName().startswith("timestamp"):
-        position = F.unix_micros(position.cast("timestamp"))
-    df = df.withColumn("_pos", position)
+    df = df.withColumn("_pos", F.col(order_by))
     bounds = F.percentile_approx("_pos", steps, 1000).alias("_bounds")
     if keys:
         hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).drop("count")
@@ -80,52 +77,72 @@ def with_slices(
     return marked.drop(*extra), hot_part.drop(*extra)
 
 
-def row_number_within(
+def running_total_within(
     df: DataFrame,
     keys: list[str],
     order_by: list[str],
+    weight: str | None,
     name: str,
     hot_rows: int = HOT_ROWS,
     slices: int = SLICES,
 ) -> DataFrame:
-    """Exact ``row_number() over (partition by keys order by order_by)``, hot keys split.
+    """Sum of ``weight`` (or the number) of the rows before each row of its key, hot keys split.
 
-    Ascending order, nulls first. Without keys it numbers the whole frame, on all tasks.
+    Ascending order, nulls first. Without keys the whole frame is one group, on all tasks.
     """
     marked, hot = with_slices(df, keys, order_by[0], hot_rows, slices)
-    sizes = hot.groupBy(*keys, "_slice").count()
+    amount = F.col(weight) if weight else F.lit(1)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(key).alias(f"_hot_{key}") for key in keys],
-        F.col("_slice").alias("_hot_slice"),
-        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"),
+    offsets = (
+        hot.groupBy(*keys, "_slice")
+        .agg(F.sum(amount).alias("_total"))
+        .select(
+            *[F.col(key).alias(f"_hot_{key}") for key in keys],
+            F.col("_slice").alias("_hot_slice"),
+            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
+        )
     )
     test = marked["_slice"] == offsets["_hot_slice"]
     for key in keys:
         test = test & marked[key].eqNullSafe(offsets[f"_hot_{key}"])
-    within = Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    ordered = Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    if weight:
+        within = F.coalesce(F.sum(weight).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        within = F.row_number().over(ordered) - 1
     return (
-        marked.withColumn("_within", F.row_number().over(within))
+        marked.withColumn("_within", within)
         .join(F.broadcast(offsets), test, "left")
         .withColumn(name, F.col("_within") + F.coalesce(F.col("_before"), F.lit(0)))
         .select(*df.columns, name)
     )
 
 
-def lookup_join(
+def row_number_within(
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[str],
+    name: str,
+    hot_rows: int = HOT_ROWS,
+    slices: int = SLICES,
+) -> DataFrame:
+    """Exact ``row_number() over (partition by keys order by order_by)`` in bounded groups."""
+    numbered = running_total_within(df, keys, order_by, None, name, hot_rows, slices)
+    return numbered.withColumn(name, F.col(name) + 1)
+
+
+def salted_sides(
     rows: DataFrame,
     lookup: DataFrame,
     keys: list[str],
     count_col: str,
     spread_by: list[str],
-    how: str = "left",
     hot_rows: int = HOT_ROWS,
-    tasks: int | None = None,
-) -> DataFrame:
-    """Joins many rows to one lookup row per key; rows of hot keys are salted.
+) -> tuple[DataFrame, DataFrame]:
+    """Adds ``_salt`` to many rows and to one lookup row per key, for joining on keys and salt.
 
-    ``lookup[count_col]`` is the number of rows per key. Only lookup rows of hot keys are copied.
-    ``tasks`` fixes the number of join partitions.
+    ``lookup[count_col]`` is the number of rows per key. A key with more than ``hot_rows`` rows is
+    spread over several salts, and only its lookup row is copied.
     """
     salts = F.ceil(F.col(count_col) / F.lit(hot_rows)).cast("int")
     hot = lookup.filter(F.col(count_col) > hot_rows).select(
@@ -135,11 +152,20 @@ def lookup_join(
     for key in keys:
         test = test & (rows[key] == hot[f"_hot_{key}"])
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), "_salts"))
-    salted = (
-        rows.join(F.broadcast(hot), test, "left").withColumn("_salt", salt.cast("int")).select(*rows.columns, "_salt")
-    )
+    salted = rows.join(F.broadcast(hot), test, "left").select(*rows.columns, salt.cast("int").alias("_salt"))
     spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0)))))
-    on = [*keys, "_salt"]
-    if tasks:
-        salted, spread = salted.repartition(tasks, *on), spread.repartition(tasks, *on)
-    return salted.join(spread, on, how).drop("_salt")
+    return salted, spread
+
+
+def lookup_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    count_col: str,
+    spread_by: list[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Joins many rows to one lookup row per key, rows of hot keys salted (see ``salted_sides``)."""
+    salted, spread = salted_sides(rows, lookup, keys, count_col, spread_by, hot_rows)
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
