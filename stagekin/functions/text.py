@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagekin import constants as C
 
@@ -21,8 +22,10 @@ _UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _TO_BODY = r"(?is)^.*?<body\b[^>]*>"
 _FROM_BODY_END = r"(?is)</body\s*>.*$"
 _HEAD = r"(?is)<head\b.*?</head\s*>"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|apos|nbsp|amp);)[#a-zA-Z]"
+# Common entities are replaced in the JVM; '&' comes last so that nothing is decoded twice.
+_NAMES = "lt gt quot apos nbsp copy reg trade middot bull hellip ndash mdash lsquo rsquo ldquo rdquo laquo raquo amp"
+_ENTITIES = {f"&{name};": html_lib.unescape(f"&{name};") for name in _NAMES.split()}
+_OTHER_ENTITY = rf"&(?!(?:{_NAMES.replace(' ', '|')});)[#a-zA-Z]"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][^\s/>]*)")
@@ -61,7 +64,7 @@ def _text_without_noise(markup: str) -> str:
     return html_lib.unescape(" ".join(pieces))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _noisy_text(markup: pd.Series) -> pd.Series:
     return markup.map(_text_without_noise, na_action="ignore")
 
@@ -81,7 +84,7 @@ def visible_text(html: Column) -> Column:
         | body.rlike(_OTHER_ENTITY)
     )
     plain = F.regexp_replace(body, _TAG, " ")
-    for entity, char in _ENTITIES:
+    for entity, char in _ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     # The null input keeps ordinary pages out of the Python worker.
     return F.coalesce(_noisy_text(F.when(special, body)), plain)
@@ -101,7 +104,7 @@ def is_challenge(html: Column) -> Column:
     return F.coalesce(first, F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip_text(packed: pd.Series) -> pd.Series:
     """Text of gzip bytes written by an earlier system."""
     import gzip
@@ -109,7 +112,7 @@ def gunzip_text(packed: pd.Series) -> pd.Series:
     return packed.map(lambda data: gzip.decompress(data).decode("utf-8"), na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzip_text(text: pd.Series) -> pd.Series:
     import gzip
 

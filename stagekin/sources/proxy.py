@@ -28,7 +28,7 @@ def stage_profiles(spark: SparkSession, folder: str) -> DataFrame:
         key.cast("string").alias("stage_number"),
         F.when(key % 97 == 0, None)
         .when(key % 89 == 0, 0.0)
-        .otherwise(F.round(F.col("o_totalprice") / 1000, 2))
+        .otherwise(F.col("o_totalprice") / 1000)
         .alias("distance_km"),
         F.when(key % 101 == 0, None).otherwise((cust * 37 + key * 11) % 5000).cast("int").alias("vertical_meters"),
         ((cust * 7) % 400).cast("int").alias("profile_score"),

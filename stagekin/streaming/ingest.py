@@ -30,7 +30,9 @@ def _keep_changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
     before = rows["html_sha256"].shift(1)
     before.iloc[0] = last
     state.update((rows["html_sha256"].iloc[-1],))
-    yield rows[rows["html_sha256"] != before]
+    kept = rows[rows["html_sha256"] != before]
+    if len(kept):
+        yield kept
 
 
 def changes(pages: DataFrame) -> DataFrame:
