@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagekin.schemas import TABLES
 from stagekin.sources.tables import empty_table
 
 PARTITIONS = {"stage_profiles": ["season"], "race_startlists": ["race_slug", "season"]}
@@ -52,6 +53,7 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
     rows = []
     for name, df in tables.items():
         folder = f"{root}/{name}/v={number}-{uuid.uuid4().hex[:8]}"
+        df = df.select(*[F.col(field.name).cast(field.dataType) for field in TABLES[name]])
         writer = df.write
         if name in PARTITIONS:
             writer = df.repartition(*PARTITIONS[name], F.pmod(F.xxhash64(*df.columns[:2]), F.lit(16))).write
