@@ -13,12 +13,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles  # noqa: E402
 from stagekin import constants as C  # noqa: E402
-from stagekin.functions import scalars, urls  # noqa: E402
+from stagekin.functions import scalars, text, urls  # noqa: E402
 from stagekin.operators import (  # noqa: E402
     elevation, enrich, features, listing, matchup, mutate, neighbors, outcomes, percentiles, snapshots,
 )
 from stagekin.plans import jobs, parsing  # noqa: E402
-from stagekin.plans.skew import scratch_folder  # noqa: E402
+from stagekin.plans.skew import scratch_folder, spread, written  # noqa: E402
 from stagekin.sources import extract as X  # noqa: E402
 from stagekin.sources import proxy, worklist  # noqa: E402
 from stagekin.sources.tables import startlist as startlist_of  # noqa: E402
@@ -37,6 +37,11 @@ def _pool(spark: SparkSession, folder: str) -> DataFrame:
     return features.stage_features(proxy.stage_profiles(spark, folder), proxy.stage_climbs(spark, folder))
 
 
+def _stored_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table as a job would store it: it is read several times by the searches."""
+    return written(_pool(spark, folder), "pool")
+
+
 def _stages(spark: SparkSession, folder: str) -> DataFrame:
     return proxy.stage_profiles(spark, folder).select(F.col("id").alias("stage_id"), "distance_km", "season")
 
@@ -47,11 +52,11 @@ def stage_features(spark, folder):
 
 def standardized(spark, folder):
     names = [f"z_{c}" for c in C.FEATURES]
-    return _rounded(features.standardized(_pool(spark, folder)).select("id", *names), *names)
+    return _rounded(features.standardized(_stored_pool(spark, folder)).select("id", *names), *names)
 
 
 def _nearest(spark, folder, k=C.TWINS_K):
-    found = neighbors.nearest_to(_pool(spark, folder), TARGET, k)
+    found = neighbors.nearest_to(_stored_pool(spark, folder), TARGET, k)
     return neighbors.ranked(found)
 
 
@@ -60,7 +65,7 @@ def twins_single(spark, folder):
 
 
 def _bulk(spark, folder):
-    return neighbors.all_nearest(features.standardized(_pool(spark, folder)))
+    return neighbors.all_nearest(features.standardized(_stored_pool(spark, folder)))
 
 
 def twins_bulk(spark, folder):
@@ -82,16 +87,16 @@ def base_rates_all(spark, folder):
 
 
 def radar_single(spark, folder):
-    return _rounded(percentiles.radar_of(_pool(spark, folder), TARGET), "value")
+    return _rounded(percentiles.radar_of(_stored_pool(spark, folder), TARGET), "value")
 
 
 def radar_all(spark, folder):
-    return _rounded(percentiles.radar_all(_pool(spark, folder)), "value")
+    return _rounded(percentiles.radar_all(_stored_pool(spark, folder)), "value")
 
 
 def time_to_seconds(spark, folder):
     ts, kind = F.col("ts"), F.col("event_id") % 5
-    text = (
+    clock = (
         F.when(kind == 0, F.format_string("%d:%02d:%02d", F.hour(ts), F.minute(ts), F.second(ts)))
         .when(kind == 1, F.format_string("%d:%02d", F.minute(ts), F.second(ts)))
         .when(kind == 2, F.second(ts).cast("string"))
@@ -99,7 +104,7 @@ def time_to_seconds(spark, folder):
         .otherwise("")
     )
     return proxy.table(spark, folder, "events").select(
-        "event_id", text.alias("time_text"), scalars.time_to_seconds(text).alias("seconds")
+        "event_id", clock.alias("time_text"), scalars.time_to_seconds(clock).alias("seconds")
     )
 
 
@@ -124,7 +129,7 @@ def victory_all_stages(spark, folder):
 
 def rider_matchup(spark, folder):
     startlist = startlist_of(proxy.startlist(spark, folder), "1-urgent", 2024)
-    found = matchup.rider_matchup(_pool(spark, folder), TARGET, proxy.stage_results(spark, folder), startlist)
+    found = matchup.rider_matchup(_stored_pool(spark, folder), TARGET, proxy.stage_results(spark, folder), startlist)
     return _rounded(found, "avg_rank")
 
 
@@ -296,12 +301,16 @@ def url_meta(spark, folder):
     )
 
 
+def _hashed(spark, folder):
+    return text.with_fingerprint(spread(proxy.raw_pages(spark, folder), "id"))
+
+
 def fingerprint(spark, folder):
-    return snapshots.with_fingerprint(proxy.raw_pages(spark, folder)).select("id", "html_sha256")
+    return _hashed(spark, folder).select("id", "html_sha256")
 
 
 def _log(spark, folder):
-    return snapshots.changed_ids(snapshots.with_fingerprint(proxy.raw_pages(spark, folder)))
+    return snapshots.changed_ids(_hashed(spark, folder))
 
 
 def changed_snapshots(spark, folder):

@@ -10,7 +10,7 @@ import html as html_lib
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,30 +70,31 @@ def _noisy_text(markup: pd.Series) -> pd.Series:
 
 
 def body_markup(html: Column) -> Column:
-    """The body without comments, scripts and styles."""
-    seen = F.regexp_replace(html, _UNSEEN, " ")
-    body = F.regexp_replace(F.regexp_replace(seen, _TO_BODY, ""), _FROM_BODY_END, "")
-    return F.when(seen.rlike(r"(?i)<body\b"), body).otherwise(F.regexp_replace(seen, _HEAD, " "))
-
-
-def visible_text(html: Column) -> Column:
-    body = body_markup(html)
-    special = (
-        body.contains(C.NOISE_CLASS_PART)
-        | body.contains(C.NOISE_IDS[0])
-        | body.rlike(_OTHER_ENTITY)
-    )
+    """The body without comments, scripts and styles; a page without a body tag is all body."""
+    for pattern, by in ((_UNSEEN, " "), (_HEAD, " "), (_TO_BODY, ""), (_FROM_BODY_END, "")):
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
+def with_visible_text(pages: DataFrame, html: str, name: str) -> DataFrame:
+    """Adds the visible text. Each step is a column, so that no pattern runs twice on a page."""
+    body = F.col("_body")
+    special = body.contains(C.NOISE_CLASS_PART) | body.contains(C.NOISE_IDS[0]) | body.rlike(_OTHER_ENTITY)
     plain = F.regexp_replace(body, _TAG, " ")
     for entity, char in _ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
+    marked = pages.withColumn("_body", body_markup(F.col(html))).withColumn("_special", special)
     # The null input keeps ordinary pages out of the Python worker.
-    return F.coalesce(_noisy_text(F.when(special, body)), plain)
+    parsed = marked.withColumn("_parsed", _noisy_text(F.when(F.col("_special"), body)))
+    text = F.when(F.col("_special"), F.col("_parsed")).otherwise(plain)
+    return parsed.withColumn(name, text).drop("_body", "_special", "_parsed")
 
 
-def fingerprint(html: Column) -> Column:
-    """SHA-256 of the visible text, free of the page-load timer and of spacing."""
-    text = F.regexp_replace(visible_text(html), C.PAGELOAD_TIMER, "")
-    return F.sha2(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 256)
+def with_fingerprint(pages: DataFrame, html: str = "html", name: str = "html_sha256") -> DataFrame:
+    """Adds the SHA-256 of the visible text, free of the page-load timer and of spacing."""
+    text = F.regexp_replace(F.col("_text"), C.PAGELOAD_TIMER, "")
+    digest = F.sha2(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 256)
+    return with_visible_text(pages, html, "_text").withColumn(name, digest).drop("_text")
 
 
 def is_challenge(html: Column) -> Column:

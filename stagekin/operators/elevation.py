@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagekin import constants as C
-from stagekin.plans.skew import HOT_ROWS, SLICES, lookup_join, row_number_within
+from stagekin.plans.skew import HOT_ROWS, SLICES, lookup_join, row_number_within, written
 
 _LAST = 1 << 40
 
@@ -28,7 +28,7 @@ def elevation_points(
     """
     usable = usable_climbs(climbs)
     peaks = usable.groupBy("stage_id").agg(F.max("top_elevation_m").alias("peak"), F.count("*").alias("usable"))
-    lines = (
+    lines = written(
         stages.filter(F.col("distance_km").isNotNull())
         .select("stage_id", F.col("distance_km").cast("double").alias("distance"))
         .join(peaks, "stage_id", "left")
@@ -37,7 +37,8 @@ def elevation_points(
             "distance",
             F.coalesce(F.col("peak") * C.VALLEY_SHARE, F.lit(0.0)).alias("valley"),
             F.coalesce("usable", F.lit(0)).alias("usable"),
-        )
+        ),
+        "lines",
     )
 
     def point(order, km, elevation):
@@ -61,7 +62,7 @@ def elevation_points(
     )
     numbered = row_number_within(
         points.select("stage_id", "p.km", "p.seq", "p.elevation"), ["stage_id"], ["km", "seq"], "point_no",
-        hot_rows, slices,
+        hot_rows, slices, (lines.select("stage_id", (F.col("usable") * 2 + 2).alias("points")), "points"),
     )
     return numbered.select("stage_id", "point_no", "km", "elevation")
 
@@ -80,9 +81,8 @@ def elevation_xy(
         F.min(F.struct(-F.col("elevation"), "point_no")).getField("point_no").alias("top_no"),
         F.count("*").alias("points"),
     )
-    frames = tops.join(
-        stages.select("stage_id", F.col("distance_km").cast("double").alias("distance")), "stage_id"
-    )
+    distances = stages.select("stage_id", F.col("distance_km").cast("double").alias("distance"))
+    frames = written(tops.join(distances, "stage_id"), "frames")
     joined = lookup_join(points, frames, ["stage_id"], "points", ["point_no"], "inner", hot_rows)
     distance, elevation = F.col("distance"), F.col("elevation")
     x = F.when(distance > 0, F.try_divide(F.col("km"), distance) * width).otherwise(0.0)

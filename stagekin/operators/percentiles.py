@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagekin import constants as C
 from stagekin.functions.scalars import whole_percent
-from stagekin.plans.skew import HOT_ROWS, SLICES, lookup_join, running_total_within
+from stagekin.plans.skew import HOT_ROWS, SLICES, lookup_join, running_total_within, written
 
 
 def percentile(below: Column, rows: Column) -> Column:
@@ -55,9 +55,10 @@ def radar_all(
     joined back with the rows of frequent values salted.
     """
     values = _long(pool, ["id"], [(c, F.col(c)) for c in dims])
-    counts = values.groupBy("feature", "value").agg(F.count("*").alias("equal"))
+    counts = written(values.groupBy("feature", "value").agg(F.count("*").alias("equal")), "value_counts")
     ranked = running_total_within(counts, ["feature"], ["value"], "equal", "below", hot_rows, slices)
     totals = counts.groupBy("feature").agg(F.sum("equal").alias("rows"))
-    ranked = ranked.join(F.broadcast(totals), "feature")
+    # One row per axis.
+    ranked = written(ranked.join(F.broadcast(totals), "feature"), "value_ranks")
     joined = lookup_join(values, ranked, ["feature", "value"], "equal", ["id"], "inner", hot_rows)
     return joined.select("id", "feature", "value", percentile(F.col("below"), F.col("rows")).alias("percentile"))

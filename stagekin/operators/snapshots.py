@@ -6,12 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stagekin.functions.text import fingerprint
-from stagekin.plans.skew import HOT_ROWS, SLICES, with_slices
-
-
-def with_fingerprint(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("html_sha256", fingerprint(F.col("html")))
+from stagekin.functions.text import with_fingerprint
+from stagekin.plans.skew import HOT_ROWS, SLICES, hot_keys, sliced, spread, written
 
 
 def latest_ids(log: DataFrame) -> DataFrame:
@@ -41,29 +37,42 @@ def changed_ids(
     rows = fetches.select(*names, F.lit(1).alias("_new"))
     if log is not None:
         rows = rows.unionByName(latest_snapshots(log).select(*names, F.lit(0).alias("_new")))
-    # Stored rows come before every fetch, whatever their times are.
-    rows = rows.withColumn("_when", F.when(F.col("_new") == 1, F.col("fetched_at")))
-    marked, hot = with_slices(rows, ["url"], "_when", hot_rows, slices)
     order = ["_new", "fetched_at", "id"]
-    last = hot.groupBy("url", "_slice").agg(F.max_by("html_sha256", F.struct(*order)).alias("_sha"))
+    hot = hot_keys(rows.groupBy("url").count(), ["url"], "count", hot_rows)
+    if hot is None:
+        before = F.lag("html_sha256").over(Window.partitionBy("url").orderBy(*order))
+        compared = rows.withColumn("_before", before)
+    else:
+        compared = _compared_in_slices(written(rows, "fetches"), order, hot, slices)
+    changed = ~F.col("html_sha256").eqNullSafe(F.col("_before")) & (F.col("_new") == 1)
+    return compared.filter(changed).select(*names)
+
+
+def _compared_in_slices(rows: DataFrame, order: list[str], hot: DataFrame, slices: int) -> DataFrame:
+    """Adds ``_before``, the hash of the fetch before; the slices of hot URLs hand over their last."""
+    # Stored rows come before every fetch, whatever their times are.
+    timed = rows.withColumn("_when", F.when(F.col("_new") == 1, F.col("fetched_at")))
+    marked = sliced(timed, ["url"], "_when", hot, slices)
+    hot_part = marked.join(F.broadcast(hot), marked["url"] == hot["_hot_url"], "left_semi")
+    last = hot_part.groupBy("url", "_slice").agg(F.max_by("html_sha256", F.struct(*order)).alias("_sha"))
     handed = last.select(
         F.col("url").alias("_url"),
         F.col("_slice").alias("_at"),
         F.lag("_sha").over(Window.partitionBy("url").orderBy("_slice")).alias("_handed"),
     )
     within = Window.partitionBy("url", "_slice").orderBy(*order)
-    compared = (
-        marked.withColumn("_no", F.row_number().over(within))
-        .withColumn("_lag", F.lag("html_sha256").over(within))
-        .join(F.broadcast(handed), (F.col("url") == F.col("_url")) & (F.col("_slice") == F.col("_at")), "left")
+    numbered = marked.withColumn("_no", F.row_number().over(within)).withColumn(
+        "_lag", F.lag("html_sha256").over(within)
+    )
+    joined = numbered.join(
+        F.broadcast(handed), (F.col("url") == F.col("_url")) & (F.col("_slice") == F.col("_at")), "left"
     )
-    before = F.when(F.col("_no") == 1, F.col("_handed")).otherwise(F.col("_lag"))
-    return compared.filter(~F.col("html_sha256").eqNullSafe(before) & (F.col("_new") == 1)).select(*names)
+    return joined.withColumn("_before", F.when(F.col("_no") == 1, F.col("_handed")).otherwise(F.col("_lag")))
 
 
 def changed_snapshots(fetches: DataFrame, log: DataFrame | None = None, hot_rows: int = HOT_ROWS,
                       slices: int = SLICES) -> DataFrame:
     """The fetches to store, page text included. Only narrow columns are sorted."""
-    marked = fetches if "html_sha256" in fetches.columns else with_fingerprint(fetches)
+    marked = fetches if "html_sha256" in fetches.columns else with_fingerprint(spread(fetches, "id"))
     kept = changed_ids(marked, log, hot_rows, slices).select("id", "html_sha256")
     return fetches.drop("html_sha256").join(kept, "id")

@@ -37,44 +37,47 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More partitions for heavy work per row where the input has fewer than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def _same_keys(left: DataFrame, keys: list[str], right: DataFrame) -> Column:
+    """Null-safe equality of the keys; ``right`` holds them with the prefix ``_hot_``."""
     test = F.lit(True)
     for key in keys:
-        test = test & left[key].eqNullSafe(right[key])
+        test = test & left[key].eqNullSafe(right[f"_hot_{key}"])
     return test
 
 
-def with_slices(
-    df: DataFrame, keys: list[str], order_by: str, hot_rows: int = HOT_ROWS, slices: int = SLICES
-) -> tuple[DataFrame, DataFrame]:
+def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int) -> DataFrame | None:
+    """Keys (prefixed ``_hot_``) with their counts, or None when no key is hot: the usual case."""
+    hot = counts.filter(F.col(count_col) > hot_rows)
+    if hot.isEmpty():
+        return None
+    return hot.select(*[F.col(key).alias(f"_hot_{key}") for key in keys], F.col(count_col).alias("_hot_rows"))
+
+
+def sliced(df: DataFrame, keys: list[str], order_by: str, hot: DataFrame | None, slices: int = SLICES) -> DataFrame:
     """Adds ``_slice``: 0 for ordinary keys, an ascending quantile of ``order_by`` for hot ones.
 
-    Returns the marked frame and its hot rows. Equal ``order_by`` values share a slice, so order
-    within slices plus order of slices is the order within the key. ``order_by`` is numeric or a
-    time. With no keys the whole frame is one hot group.
+    Equal ``order_by`` values share a slice, so order within slices plus order of slices is the
+    order within the key. ``order_by`` is numeric or a time; nulls belong to the first slice.
+    With no keys the whole frame is one hot group.
     """
     steps = [i / slices for i in range(1, slices)]
-    df = df.withColumn("_pos", F.col(order_by))
-    bounds = F.percentile_approx("_pos", steps, 1000).alias("_bounds")
+    bounds = F.percentile_approx(order_by, steps, 1000).alias("_bounds")
     if keys:
-        hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).drop("count")
-        hot_rows_only = df.join(F.broadcast(hot), _null_safe(df, hot, keys), "left_semi")
-        hot = hot_rows_only.groupBy(*keys).agg(bounds)
+        names = [f"_hot_{key}" for key in keys]
+        matched = df.join(F.broadcast(hot), _same_keys(df, keys, hot))
+        found = matched.groupBy(*names).agg(bounds)
+        marked = df.join(F.broadcast(found), _same_keys(df, keys, found), "left")
     else:
-        hot = df.agg(bounds)
-    named = hot.select(*[F.col(key).alias(f"_hot_{key}") for key in keys], "_bounds")
-    test = F.lit(True)
-    for key in keys:
-        test = test & df[key].eqNullSafe(named[f"_hot_{key}"])
-    marked = df.join(F.broadcast(named), test, "left") if keys else df.withColumn(
-        "_bounds", hot.scalar()
-    )
-    # A null order value sorts first, so it belongs to the first slice.
-    piece = F.coalesce(F.size(F.filter("_bounds", lambda bound: bound < F.col("_pos"))), F.lit(0))
-    marked = marked.withColumn("_slice", F.when(F.col("_bounds").isNotNull(), piece).otherwise(0))
-    hot_part = marked.filter(F.col("_bounds").isNotNull())
-    extra = ["_pos", "_bounds", *[f"_hot_{key}" for key in keys]]
-    return marked.drop(*extra), hot_part.drop(*extra)
+        names = []
+        marked = df.withColumn("_bounds", df.agg(bounds).scalar())
+    position = F.size(F.filter("_bounds", lambda bound: bound < F.col(order_by)))
+    return marked.withColumn("_slice", F.coalesce(F.greatest(position, F.lit(0)), F.lit(0))).drop("_bounds", *names)
 
 
 def running_total_within(
@@ -85,16 +88,36 @@ def running_total_within(
     name: str,
     hot_rows: int = HOT_ROWS,
     slices: int = SLICES,
+    counts: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
-    """Sum of ``weight`` (or the number) of the rows before each row of its key, hot keys split.
+    """Sum of ``weight`` (or the number) of the rows before each row of its key.
 
-    Ascending order, nulls first. Without keys the whole frame is one group, on all tasks.
+    Ascending order, nulls first. Keys with more than ``hot_rows`` rows are cut into slices whose
+    totals are added up front, so that no task sorts a whole hot group; without keys the frame is
+    one group, on all tasks. ``counts`` names rows per key and its count column where they are
+    known already; otherwise they are counted first, which reads the key columns only.
     """
-    marked, hot = with_slices(df, keys, order_by[0], hot_rows, slices)
+
+    def totals_before(window):
+        if not weight:
+            return F.row_number().over(window) - 1
+        frame = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(weight).over(frame), F.lit(0))
+
+    order = [F.col(c).asc_nulls_first() for c in order_by]
+    hot = None
+    if keys:
+        known, count_col = counts or (df.groupBy(*keys).count(), "count")
+        hot = hot_keys(known, keys, count_col, hot_rows)
+        if hot is None:
+            return df.withColumn(name, totals_before(Window.partitionBy(*keys).orderBy(*order)))
+    # Several passes follow: the frame is computed once.
+    marked = sliced(written(df, "ordered"), keys, order_by[0], hot, slices)
     amount = F.col(weight) if weight else F.lit(1)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    hot_part = marked.join(F.broadcast(hot), _same_keys(marked, keys, hot), "left_semi") if keys else marked
     offsets = (
-        hot.groupBy(*keys, "_slice")
+        hot_part.groupBy(*keys, "_slice")
         .agg(F.sum(amount).alias("_total"))
         .select(
             *[F.col(key).alias(f"_hot_{key}") for key in keys],
@@ -102,14 +125,8 @@ def running_total_within(
             F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
         )
     )
-    test = marked["_slice"] == offsets["_hot_slice"]
-    for key in keys:
-        test = test & marked[key].eqNullSafe(offsets[f"_hot_{key}"])
-    ordered = Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
-    if weight:
-        within = F.coalesce(F.sum(weight).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    else:
-        within = F.row_number().over(ordered) - 1
+    test = _same_keys(marked, keys, offsets) & (marked["_slice"] == offsets["_hot_slice"])
+    within = totals_before(Window.partitionBy(*keys, "_slice").orderBy(*order))
     return (
         marked.withColumn("_within", within)
         .join(F.broadcast(offsets), test, "left")
@@ -125,9 +142,10 @@ def row_number_within(
     name: str,
     hot_rows: int = HOT_ROWS,
     slices: int = SLICES,
+    counts: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by keys order by order_by)`` in bounded groups."""
-    numbered = running_total_within(df, keys, order_by, None, name, hot_rows, slices)
+    numbered = running_total_within(df, keys, order_by, None, name, hot_rows, slices, counts)
     return numbered.withColumn(name, F.col(name) + 1)
 
 
@@ -135,6 +153,7 @@ def salted_sides(
     rows: DataFrame,
     lookup: DataFrame,
     keys: list[str],
+    hot: DataFrame,
     count_col: str,
     spread_by: list[str],
     hot_rows: int = HOT_ROWS,
@@ -144,17 +163,15 @@ def salted_sides(
     ``lookup[count_col]`` is the number of rows per key. A key with more than ``hot_rows`` rows is
     spread over several salts, and only its lookup row is copied.
     """
-    salts = F.ceil(F.col(count_col) / F.lit(hot_rows)).cast("int")
-    hot = lookup.filter(F.col(count_col) > hot_rows).select(
-        *[F.col(key).alias(f"_hot_{key}") for key in keys], salts.alias("_salts")
-    )
-    test = F.lit(True)
-    for key in keys:
-        test = test & (rows[key] == hot[f"_hot_{key}"])
-    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), "_salts"))
-    salted = rows.join(F.broadcast(hot), test, "left").select(*rows.columns, salt.cast("int").alias("_salt"))
-    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0)))))
-    return salted, spread
+
+    def salts(count):
+        return F.ceil(F.col(count) / F.lit(hot_rows)).cast("int")
+
+    salt = F.when(F.col("_hot_rows").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), salts("_hot_rows")))
+    joined = rows.join(F.broadcast(hot), _same_keys(rows, keys, hot), "left")
+    salted = joined.select(*rows.columns, salt.cast("int").alias("_salt"))
+    last = F.greatest(salts(count_col) - 1, F.lit(0))
+    return salted, lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
 
 
 def lookup_join(
@@ -166,6 +183,12 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Joins many rows to one lookup row per key, rows of hot keys salted (see ``salted_sides``)."""
-    salted, spread = salted_sides(rows, lookup, keys, count_col, spread_by, hot_rows)
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    """Joins many rows to one lookup row per key, the rows of hot keys salted.
+
+    The lookup is an aggregate, used for the join and for finding hot keys: pass a written one.
+    """
+    hot = hot_keys(lookup, keys, count_col, hot_rows)
+    if hot is None:
+        return rows.join(lookup, keys, how)
+    salted, spread_lookup = salted_sides(rows, lookup, keys, hot, count_col, spread_by, hot_rows)
+    return salted.join(spread_lookup, [*keys, "_salt"], how).drop("_salt")

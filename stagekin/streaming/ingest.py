@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagekin.operators.snapshots import with_fingerprint
+from stagekin.functions.text import with_fingerprint
 from stagekin.plans import jobs
 from stagekin.sources import store
 

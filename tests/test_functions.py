@@ -63,6 +63,11 @@ def test_urls(spark):
     assert blank == ["X Y"]
 
 
+def fingerprints(spark, pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    return [r.html_sha256 for r in text.with_fingerprint(df).orderBy("i").collect()]
+
+
 PAGE = "<html><head><title>t</title></head><body><p>One &amp; two</p>{}<p>three</p></body></html>"
 
 
@@ -78,17 +83,17 @@ def test_fingerprint_ignores_noise(spark):
         PAGE.format("").replace("&amp;", "&#38;"),
         PAGE.format('<a title="a > b"></a>'),
     ]
-    hashes = column(spark, pages, "string", text.fingerprint)
+    hashes = fingerprints(spark, pages)
     assert set(hashes) == {hashlib.sha256(b"One & two three").hexdigest()}
     changed = [PAGE.format("<p>new</p>"), PAGE.format('<div class="ad">kept: no hyphen</div>')]
-    assert not set(column(spark, changed, "string", text.fingerprint)) & set(hashes)
+    assert not set(fingerprints(spark, changed)) & set(hashes)
 
 
 def test_plain_pages_and_noisy_pages_agree(spark):
     """The native and the Python path give one text for the same content."""
     words = "a < b &copy; x <i>y</i>z <br/> q"
     plain, noisy = f"<body>{words}</body>", f'<body>{words}<div class="my-ad">z</div></body>'
-    found = column(spark, [plain, noisy], "string", text.fingerprint)
+    found = fingerprints(spark, [plain, noisy])
     assert found[0] == found[1]
 
 

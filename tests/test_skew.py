@@ -53,10 +53,16 @@ def test_lookup_join_keeps_every_row(spark, data, limit):
 def test_hot_key_is_spread(spark):
     rows = spark.range(1000).select(F.lit(1).alias("k"), "id")
     lookup = spark.createDataFrame([(1, 1000)], "k int, n bigint")
-    salted, spread = skew.salted_sides(rows, lookup, ["k"], "n", ["id"], 100)
+    hot = skew.hot_keys(lookup, ["k"], "n", 100)
+    salted, spread = skew.salted_sides(rows, lookup, ["k"], hot, "n", ["id"], 100)
     assert spread.count() == 10
     assert salted.groupBy("_salt").count().agg(F.max("count")).first()[0] < 200
 
 
+def test_spread_raises_partitions_only(spark):
+    assert skew.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 4
+    assert skew.spread(spark.range(0, 10, 1, 9), "id").rdd.getNumPartitions() == 9
+
+
 def test_scratch_folder_is_the_configured_one(spark):
     assert skew.scratch_folder(spark)
