@@ -20,7 +20,9 @@ from stagekin.operators import (  # noqa: E402
 from stagekin.plans import jobs, parsing  # noqa: E402
 from stagekin.plans.skew import scratch_folder, spread, written  # noqa: E402
 from stagekin.sources import extract as X  # noqa: E402
+from stagekin.schemas import TABLES  # noqa: E402
 from stagekin.sources import proxy, worklist  # noqa: E402
+from stagekin.sources.tables import empty_table  # noqa: E402
 from stagekin.sources.tables import startlist as startlist_of  # noqa: E402
 from stagekin.streaming import ingest  # noqa: E402
 
@@ -403,6 +405,101 @@ def stream_changes(spark, folder):
     return spark.read.parquet(f"{base}/log").select("id", "url", "html_sha256")
 
 
+def snapshot_roundtrip(spark, folder):
+    """Pages packed as an earlier system stored them, read back, and hashed."""
+    packed = proxy.table(spark, folder, "pages").select("page_id", text.gzip_text(F.col("html")).alias("packed"))
+    return packed.select("page_id", F.sha2(text.gunzip_text(F.col("packed")), 256).alias("html_hash"))
+
+
+def falsy_fallback(spark, folder):
+    first, second = F.col("p_size") % 3, F.col("p_size")
+    return proxy.table(spark, folder, "part").select(
+        "p_partkey",
+        scalars.falsy_or(first, second).alias("observed"),
+        scalars.falsy_or(first, second, zero_is_missing=False).alias("documented"),
+    )
+
+
+def climb_counts(spark, folder):
+    return features.climb_counts(proxy.stage_climbs(spark, folder))
+
+
+def _stored_tables(spark, folder):
+    """Stages of the first seasons are stored already, under another name."""
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    stored = proxy.stage_profiles(spark, folder).filter("season <= 1996")
+    tables["stage_profiles"] = tables["stage_profiles"].unionByName(
+        stored.select("id", "pcs_url", F.lit("Stored").alias("race_name"), "season", "stage_number"),
+        allowMissingColumns=True,
+    )
+    return tables
+
+
+def _with_url(rows, changed):
+    keys = changed["stage_profiles"].select(F.col("id").alias("stage_id"), "pcs_url")
+    return rows.join(keys, "stage_id")
+
+
+def ingest_profiles(spark, folder):
+    found = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))["stage_profiles"]
+    return found.select(
+        "pcs_url", "race_name", "season", "stage_number", F.col("distance_km").cast("double").alias("distance_km"),
+        "vertical_meters", "profile_score", "nb_climbs", "victory_type", "winner_group_size",
+    )
+
+
+def ingest_climbs(spark, folder):
+    changed = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))
+    return _with_url(changed["stage_climbs"], changed).select(
+        "pcs_url", "climb_order", "climb_name", "climb_url", "category"
+    )
+
+
+def ingest_results(spark, folder):
+    changed = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))
+    return _with_url(changed["stage_results"], changed).select(
+        "pcs_url", "rank", "rider_url", "finish_time_seconds", "gap_seconds"
+    )
+
+
+def ingest_failures(spark, folder):
+    changed = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))
+    return changed["sync_failures"].select("source", "url", "reason")
+
+
+def reparse_profiles(spark, folder):
+    """Two stored versions per page: the later one is parsed, stored names are kept."""
+    tables = _stored_tables(spark, folder)
+    for day in (1, 2):
+        pages = proxy.stage_pages(spark, folder, day).withColumn("html_sha256", F.lit(str(day)))
+        usable, _ = jobs.split_challenges(pages)
+        tables["raw_pages"] = tables["raw_pages"].unionByName(usable.select(*tables["raw_pages"].columns))
+    found = jobs.reparse_history(tables)["stage_profiles"]
+    return found.select("pcs_url", "race_name", "season", F.col("distance_km").cast("double").alias("distance_km"))
+
+
+def startlist_ingest(spark, folder):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    customers = proxy.table(spark, folder, "customer")
+    slug = F.concat(F.lit("c-"), F.col("c_custkey").cast("string"))
+    races = customers.select(slug.alias("slug"), F.lit(2024).alias("season"), F.col("c_custkey").alias("race_order"))
+    for season in (2023, 2024):
+        old = customers.select(slug.alias("race_slug"), F.lit(season).alias("season"), F.lit("rider/old").alias("rider_url"))
+        tables["race_startlists"] = tables["race_startlists"].unionByName(old, allowMissingColumns=True)
+    changed = jobs.ingest_startlists(proxy.startlist_pages(spark, folder), tables, races)
+    return changed["race_startlists"].select("race_slug", "season", "race_name", "rider_url", "team_url")
+
+
+def enrich_job(spark, folder):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    tables["stage_climbs"] = proxy.stage_climbs(spark, folder)
+    slug = F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))
+    races = proxy.table(spark, folder, "part").select(
+        slug.alias("slug"), F.lit(2024).alias("season"), F.col("p_partkey").alias("race_order")
+    )
+    return jobs.enrich_climbs(proxy.climb_pages(spark, folder), tables, races)["stage_climbs"]
+
+
 _QUERIES: tuple[Query, ...] = (
     stage_features, standardized, twins_single, twins_bulk, twins_embeddings, base_rates, base_rates_all,
     radar_single, radar_all, time_to_seconds, gaps, victory, victory_all_stages, rider_matchup, elevation_points,
@@ -410,7 +507,8 @@ _QUERIES: tuple[Query, ...] = (
     upsert_profiles, upsert_children, replace_children, insert_absent, replace_slice, orphans, cascade_delete,
     dup_keys, enrich_last_wins, enrich_apply, url_meta, fingerprint, changed_snapshots, latest_snapshot, work_list,
     inline_work_list, failure_log, replay_list, label_lookup, climb_intensity, profile_json, page_fields, page_links,
-    stream_changes,
+    stream_changes, snapshot_roundtrip, falsy_fallback, climb_counts, ingest_profiles, ingest_climbs, ingest_results,
+    ingest_failures, reparse_profiles, startlist_ingest, enrich_job,
 )
 
 

@@ -73,6 +73,12 @@ from v_profiles p left join (
 where p.distance_km is not null and p.distance_km <> 0 and p.vertical_meters is not null and p.profile_score is not null""",
 }
 
+VIEWS["v_landed"] = """
+select o_orderkey, o_custkey, pcs_url as url, slug, season, stage_number, floor(o_totalprice / 1000) as dist,
+ o_orderkey % 13 = 0 as blocked, o_orderkey % 13 <> 0 and o_orderkey % 17 = 0 as blank
+from orders join v_profiles on id = o_orderkey"""
+_RACE = "array_to_string(list_transform(string_split(replace(slug, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
 FEATURES = (
     "distance_km", "vertical_meters", "climb_ratio", "profile_score", "nb_climbs", "nb_hard_climbs", "max_altitude",
     "avg_steepness_pct", "km_last_climb_to_finish",
@@ -92,7 +98,7 @@ select id, unnest(near).id as twin_id, unnest(near).d as distance, unnest(range(
  select a.id, min({{'d': {_DISTANCE}, 'id': b.id}}, 8) as near from v_z a join v_z b on a.id <> b.id group by a.id) x"""
 _USES = {
     "v_features": ("v_profiles", "v_climbs"), "v_z": ("v_features",), "v_twins": ("v_z",), "v_hashed": ("v_pages",),
-    "v_log": ("v_hashed",),
+    "v_log": ("v_hashed",), "v_landed": ("v_profiles",),
 }
 
 
@@ -303,4 +309,39 @@ from v_profiles where vertical_meters is not null"""),
 from pages""",
     "page_links": r"""select url as race_url, generate_subscripts(links, 1) as stage_no, unnest(links) as stage_url
 from (select url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) as links from pages) x""",
+    "snapshot_roundtrip": "select page_id, sha256(html) as html_hash from pages",
+    "falsy_fallback": "select p_partkey, coalesce(nullif(p_size % 3, 0), p_size) as observed, coalesce(p_size % 3, p_size) as documented from part",
+    "climb_counts": _on("v_climbs", "select stage_id, count(*) as nb_climbs, max(climb_order) as last_order from v_climbs group by 1"),
+    "ingest_profiles": _on("v_landed", f"""select url as pcs_url, {_RACE} as race_name, season, stage_number,
+ cast(dist as double) as distance_km, cast(o_custkey % 5000 as int) as vertical_meters, cast(null as int) as profile_score, 2 as nb_climbs,
+ case when o_custkey % 40 >= 20 then 'solo_or_breakaway' else 'reduced_group_sprint' end as victory_type,
+ case when o_custkey % 40 = 0 then 2 else 1 end as winner_group_size
+from v_landed where not blocked and not blank
+union all select url, 'Stored', season, stage_number, null, null, null, null, null, null
+from v_landed where (blocked or blank) and season <= 1996"""),
+    "ingest_climbs": _on("v_landed", """select url as pcs_url, n as climb_order, case n when 1 then 'First' else 'Second' end as climb_name,
+ 'location/' || (o_custkey + n - 1) as climb_url, case n when 1 then 'HC' end as category
+from v_landed cross join (values (1), (2)) as v(n) where not blocked and not blank"""),
+    "ingest_results": _on("v_landed", """select url as pcs_url, n as rank, 'rider/' || (o_custkey + n - 1) as rider_url,
+ cast(14400 + case n when 2 then o_custkey % 40 else 0 end as int) as finish_time_seconds,
+ cast(case n when 2 then o_custkey % 40 else 0 end as int) as gap_seconds
+from v_landed cross join (values (1), (2)) as v(n) where not blocked and not blank"""),
+    "ingest_failures": _on("v_landed", """select 'pcs' as source, url, case when blocked
+ then 'fetch error: challenge page returned instead of content' else 'parse error: empty page' end as reason
+from v_landed where blocked or blank"""),
+    "reparse_profiles": _on("v_landed", """select url as pcs_url, case when season <= 1996 then 'Stored' end as race_name,
+ case when season <= 1996 then season end as season, case when not blocked and not blank then cast(dist + 1 as double) end as distance_km
+from v_landed where (not blocked and not blank) or season <= 1996"""),
+    "startlist_ingest": """select 'c-' || c_custkey as race_slug, 2023 as season, cast(null as varchar) as race_name, 'rider/old' as rider_url,
+ cast(null as varchar) as team_url from customer
+union all select 'c-' || c_custkey, 2024, c_name, 'rider/' || (c_custkey + n), 'team/t'
+from customer cross join (values (0), (1)) as v(n) where c_acctbal >= 0""",
+    "enrich_job": _on("v_climbs", """with facts as (select 'location/' || coalesce(a.p_partkey, b.p_partkey + 1) as climb_url,
+ coalesce(a.p_size, b.p_size) as size from part a full join part b on a.p_partkey = b.p_partkey + 1)
+select c.stage_id, c.climb_order, c.climb_url, c.category,
+ case when f.size is not null then cast(f.size as double) else c.length_km end as length_km,
+ case when f.size is not null then f.size / 4.0 else c.steepness_pct end as steepness_pct,
+ case when f.size is not null then f.size * 50 else c.top_elevation_m end as top_elevation_m,
+ case when f.size is not null then cast(coalesce(nullif(f.size % 3, 0), f.size) as double) else c.km_before_finish end as km_before_finish
+from v_climbs c left join facts f on f.climb_url = c.climb_url"""),
 }

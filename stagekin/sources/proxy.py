@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,3 +132,67 @@ def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
             .alias("html"),
         )
     )
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def stage_pages(spark: SparkSession, folder: str, day: int = 1) -> DataFrame:
+    """One landed stage page per order; some are interstitials, some empty."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    slug = F.lower(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("-")))
+    page = _text(
+        "<html><body><h1>Stage</h1><p>", '<span class="distance">', F.floor(F.col("o_totalprice") / 1000) + day - 1,
+        ' km</span><span class="vertical_meters">', cust % 5000, '</span><span class="profile_score">?</span></p><ul>',
+        '<li class="climb"><a href="location/', cust, '">First</a><b class="category">HC</b></li>',
+        '<li class="climb"><a href="location/', cust + 1, '">Second</a></li></ul><table>',
+        '<tr class="result"><td class="rank">1</td><td><a class="rider" href="rider/', cust,
+        '">A</a><td class="time">4:00:00</td></tr><tr class="result"><td class="rank">2</td><td><a class="rider" href="rider/',
+        cust + 1, '">B</a><td class="time">4:00:', F.lpad((cust % 40).cast("string"), 2, "0"),
+        '</td></tr><tr class="result"><td class="rank">DNF</td><td><a class="rider" href="rider/0">C</a></td></tr>',
+        "</table></body></html>",
+    )
+    html = F.when(key % 13 == 0, "<html><body>Just a moment</body></html>").when(key % 17 == 0, "").otherwise(page)
+    return table(spark, folder, "orders").select(
+        (key * 10 + day).alias("id"),
+        _text(race_url(slug, F.year("o_orderdate")), "/stage-", key).alias("url"),
+        html.alias("html"),
+        F.lit(f"2024-01-{day:02d}").cast("timestamp").alias("fetched_at"),
+    )
+
+
+def startlist_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One start list page per customer: two riders, one of them twice; none for a negative balance."""
+    key = F.col("c_custkey")
+
+    def entry(rider):
+        return _text('<li class="entry"><a class="rider" href="rider/', rider, '">R</a><a class="team" href="team/t">T</a></li>')
+
+    page = F.concat(_text("<h1>", F.col("c_name"), "</h1>"), entry(key), entry(key + 1), entry(key))
+    empty = _text("<h1>", F.col("c_name"), "</h1>")
+    return table(spark, folder, "customer").select(
+        key.alias("id"),
+        _text("race/c-", key, "/2024/startlist").alias("url"),
+        F.when(F.col("c_acctbal") >= 0, page).otherwise(empty).alias("html"),
+        F.lit("2024-01-01").cast("timestamp").alias("fetched_at"),
+    )
+
+
+def climb_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One climbs page per part: the climbs of its own number and of the next."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+
+    def climb(number):
+        return _text(
+            '<div class="climb"><a href="location/', number, '">K</a><i class="length">', size,
+            ' km</i><i class="steepness">', (size / 4.0).cast("decimal(6,2)"), '</i><i class="top">', size * 50,
+            '</i><i class="km_before_finnish">', size % 3, '</i><i class="km_before_finish">', size, "</i></div>",
+        )
+
+    return table(spark, folder, "part").select(
+        key.alias("id"),
+        _text("race/p-", key, "/2024/route/climbs").alias("url"),
+        F.concat(climb(key), climb(key + 1)).alias("html"),
+        F.lit("2024-01-01").cast("timestamp").alias("fetched_at"),
+    )
