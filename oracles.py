@@ -133,7 +133,7 @@ def _single(k: int) -> str:
     )
 
 
-_RATES = """select {by}row_number() over ({part}order by cnt desc, first_rank) as place, victory_type, cnt as "count",
+_RATES = """select {by}cast(row_number() over ({part}order by cnt desc, first_rank) as int) as place, victory_type, cnt as "count",
  round(cnt / sum(cnt) over ({part2}), 6) as rate from (
  select {by}victory_type, count(*) as cnt, min(rank) as first_rank from t where victory_type is not null group by {by}victory_type) x"""
 
@@ -166,11 +166,11 @@ SQL = {
     "stage_features": _on("v_features", "select id, victory_type, "
                           + ", ".join(f"round({c}, 6) as {c}" for c in FEATURES) + " from v_features"),
     "standardized": _on("v_z", "select id, " + ", ".join(f"round(z_{c}, 6) as z_{c}" for c in FEATURES) + " from v_z"),
-    "twins_single": _on("v_z", f"select rank, twin_id, round(distance, 6) as distance from ({_single(8)}) x"),
-    "twins_bulk": _on("v_twins", "select id, rank, twin_id, round(distance, 6) as distance from v_twins"),
+    "twins_single": _on("v_z", f"select cast(rank as int) as rank, twin_id, round(distance, 6) as distance from ({_single(8)}) x"),
+    "twins_bulk": _on("v_twins", "select id, cast(rank as int) as rank, twin_id, round(distance, 6) as distance from v_twins"),
     "twins_embeddings": """with v as (select vec_id, cast(embedding as double[]) as e from embeddings)
 select a.vec_id as id, b.vec_id as twin_id, round(list_distance(a.e, b.e), 6) as distance,
- row_number() over (partition by a.vec_id order by list_distance(a.e, b.e), b.vec_id) as rank
+ cast(row_number() over (partition by a.vec_id order by list_distance(a.e, b.e), b.vec_id) as int) as rank
 from v a join v b on a.vec_id <> b.vec_id qualify rank <= 8""",
     "base_rates": _on("v_z", f"with t as ({_single(8)}) "
                       + _RATES.format(by="", part="", part2="")),
@@ -189,7 +189,7 @@ from v a join v b on a.vec_id <> b.vec_id qualify rank <= 8""",
 from (select event_id, case event_id % 5 when 0 then h || ':' || lpad(cast(m as varchar), 2, '0') || ':' || lpad(cast(s as varchar), 2, '0')
  when 1 then m || ':' || lpad(cast(s as varchar), 2, '0') when 2 then cast(s as varchar) when 3 then 'x:' || s else '' end as t from (
  select event_id, extract(hour from ts) as h, extract(minute from ts) as m, cast(floor(extract(second from ts)) as int) as s from events) a) b""",
-    "gaps": _on("v_day_results", "select stage_id, user_id, finish_time_seconds, gap_seconds from v_day_results"),
+    "gaps": _on("v_day_results", "select stage_id, user_id, cast(finish_time_seconds as bigint) as finish_time_seconds, cast(gap_seconds as bigint) as gap_seconds from v_day_results"),
     "victory": _on("v_day_results", """select stage_id, cast(n as int) as winner_group_size, case when n >= 20 then 'bunch_sprint'
  when n = 1 and coalesce(second_gap, 20) >= 20 then 'solo_or_breakaway' else 'reduced_group_sprint' end as victory_type
 from (select stage_id, count(*) filter (where gap_seconds = 0) as n, min(gap_seconds) filter (where rank = 2) as second_gap
@@ -207,11 +207,11 @@ from v_startlist s join v_results r on r.rider_url = s.rider_url join t on t.twi
 where r.rank <= 10 and s.race_slug = '1-urgent' and s.season = 2024 group by 1, 2, 3) x
 order by appearances desc, x.avg_rank, rider_url, rider_name limit 15"""),
     "elevation_points": _on("v_profiles v_climbs", _ELEVATION
-                            + "select stage_id, point_no, round(km, 6) as km, round(elevation, 6) as elevation from points"),
+                            + "select stage_id, cast(point_no as int) as point_no, round(km, 6) as km, round(elevation, 6) as elevation from points"),
     "elevation_xy": _on("v_profiles v_climbs", _ELEVATION + """
 , tops as (select stage_id, greatest(max(elevation), 1.0) as m, max(elevation) as peak from points group by 1),
 firsts as (select points.stage_id, min(point_no) as top_no from points join tops using (stage_id) where elevation = peak group by 1)
-select q.stage_id, q.point_no, round(case when b.dist > 0 then q.km / b.dist * 1000 else 0 end, 6) as x,
+select q.stage_id, cast(q.point_no as int) as point_no, round(case when b.dist > 0 then q.km / b.dist * 1000 else 0 end, 6) as x,
  round(112 - q.elevation / t.m * 104, 6) as y, q.point_no = f.top_no and q.elevation > 0 as is_top
 from points q join b using (stage_id) join tops t using (stage_id) join firsts f using (stage_id)"""),
     "listing_page": _on("v_profiles", """select id, pcs_url, race_name, season, distance_km from v_profiles where distance_km is not null
@@ -302,12 +302,12 @@ select f.url, strftime(f.failed_at, '%Y-%m-%d %H:%M:%S') as failed_at from faile
 where s.stored_at is null or s.stored_at <= f.failed_at"""),
     "label_lookup": _on("v_profiles", f"select id, {_LABEL} as label, victory_type is not null as is_run from v_profiles"),
     "climb_intensity": _on("v_features", "select id, round(least(climb_ratio / 40, 1.0), 6) as intensity from v_features"),
-    "profile_json": _on("v_profiles", """select id, to_json({'pcs_url': pcs_url, 'season': season, 'vertical_meters': vertical_meters, 'profile_score': profile_score}) as raw_json
+    "profile_json": _on("v_profiles", """select id, cast(to_json({'pcs_url': pcs_url, 'season': season, 'vertical_meters': vertical_meters, 'profile_score': profile_score}) as varchar) as raw_json
 from v_profiles where vertical_meters is not null"""),
     "page_fields": r"""select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang,
  trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as title
 from pages""",
-    "page_links": r"""select url as race_url, generate_subscripts(links, 1) as stage_no, unnest(links) as stage_url
+    "page_links": r"""select url as race_url, cast(generate_subscripts(links, 1) as int) as stage_no, unnest(links) as stage_url
 from (select url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) as links from pages) x""",
     "snapshot_roundtrip": "select page_id, sha256(html) as html_hash from pages",
     "falsy_fallback": "select p_partkey, coalesce(nullif(p_size % 3, 0), p_size) as observed, coalesce(p_size % 3, p_size) as documented from part",

@@ -27,6 +27,11 @@ def last_wins(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     return _pick(rows, keys, F.col(position).desc())
 
 
+def _as(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Columns and types of ``table``."""
+    return rows.select(*[F.col(field.name).cast(field.dataType) for field in table.schema])
+
+
 def _take(name: str, source: str) -> Column:
     return F.col(f"{source}.{name}")
 
@@ -106,7 +111,7 @@ def upsert_climbs(
             return F.when(F.col("n.stage_id").isNotNull(), _take(name, "n")).otherwise(_take(name, "c"))
         return _take(name, "c")
 
-    return joined.select(*[value(c).alias(c) for c in current.columns])
+    return joined.select(*[value(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])
 
 
 def replace_children(
@@ -116,13 +121,13 @@ def replace_children(
     """New children for every touched parent; null keys are dropped, the first row per key wins."""
     fresh = first_wins(incoming.filter(F.col(unique).isNotNull()), [parent, unique], position)
     rest = current.join(touched.select(parent).distinct(), parent, "left_anti")
-    return rest.unionByName(fresh.select(*current.columns))
+    return rest.unionByName(_as(fresh, current))
 
 
 def insert_absent(current: DataFrame, incoming: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Adds the rows whose key is not there yet; the first incoming row per key wins."""
     fresh = first_wins(incoming, keys, position).join(current.select(*keys), keys, "left_anti")
-    return current.unionByName(fresh.select(*current.columns))
+    return current.unionByName(_as(fresh, current))
 
 
 def replace_slices(
@@ -133,11 +138,11 @@ def replace_slices(
     slices = list(slice_keys)
     rest = current.join(touched.select(*slices).distinct(), slices, "left_anti")
     fresh = first_wins(incoming, [*slices, unique], position)
-    return rest.unionByName(fresh.select(*current.columns))
+    return rest.unionByName(_as(fresh, current))
 
 
 def append(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    return current.unionByName(incoming.select(*current.columns))
+    return current.unionByName(_as(incoming, current))
 
 
 def drop_orphans(children: DataFrame, parents: DataFrame, key: str = "stage_id", parent_key: str = "id") -> DataFrame:

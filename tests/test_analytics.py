@@ -172,3 +172,18 @@ def test_day_results_outcomes(spark, folder):
     found = outcomes.outcome_per_stage(gaps).groupBy("victory_type").count().collect()
     assert {r.victory_type: r["count"] for r in found} == {"reduced_group_sprint": 13, "solo_or_breakaway": 17}
     assert gaps.filter(F.col("gap_seconds") < 0).count() == 0
+
+
+def test_scan_pushes_filters_and_prunes_columns(spark, tmp_path):
+    from stagekin.operators import features
+    from stagekin.sources import tables
+
+    tables.empty_table(spark, "stage_profiles").write.parquet(f"{tmp_path}/stage_profiles")
+    tables.empty_table(spark, "stage_climbs").write.parquet(f"{tmp_path}/stage_climbs")
+    stored = tables.read_table(spark, str(tmp_path), "stage_profiles")
+    plan = listing.listing_total(stored, season=2024)._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(distance_km)" in plan and "EqualTo(season,2024)" in plan
+    assert "ReadSchema: struct<season:int,distance_km:decimal(6,2)>" in plan
+    climbs = tables.read_table(spark, str(tmp_path), "stage_climbs")
+    plan = features.stage_features(stored, climbs)._jdf.queryExecution().executedPlan().toString()
+    assert "raw_json" not in plan and "climb_name" not in plan
