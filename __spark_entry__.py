@@ -383,12 +383,12 @@ def profile_json(spark, folder):
 
 def page_fields(spark, folder):
     spec = X.Spec(fields=(X.Field("lang", "html", "lang"), X.Field("title", "title")))
-    return X.extract(proxy.table(spark, folder, "pages"), spec, keep=("page_id",)).drop("problem")
+    return X.extract(spread(proxy.table(spark, folder, "pages"), "page_id"), spec, keep=("page_id",)).drop("problem")
 
 
 def page_links(spark, folder):
     spec = X.Spec(fields=(X.Field("race_name", "h1"), X.Field("stage_urls", "nav a", "href", many=True)))
-    found = parsing.race_stages(proxy.table(spark, folder, "pages"), spec)
+    found = parsing.race_stages(spread(proxy.table(spark, folder, "pages"), "page_id"), spec)
     return found.select("race_url", "stage_no", "stage_url")
 
 
@@ -435,13 +435,17 @@ def _stored_tables(spark, folder):
     return tables
 
 
+def _landed(spark, folder, day=1):
+    return spread(proxy.stage_pages(spark, folder, day), "id")
+
+
 def _with_url(rows, changed):
     keys = changed["stage_profiles"].select(F.col("id").alias("stage_id"), "pcs_url")
     return rows.join(keys, "stage_id")
 
 
 def ingest_profiles(spark, folder):
-    found = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))["stage_profiles"]
+    found = jobs.ingest_stages(_landed(spark, folder), _stored_tables(spark, folder))["stage_profiles"]
     return found.select(
         "pcs_url", "race_name", "season", "stage_number", F.col("distance_km").cast("double").alias("distance_km"),
         "vertical_meters", "profile_score", "nb_climbs", "victory_type", "winner_group_size",
@@ -449,21 +453,21 @@ def ingest_profiles(spark, folder):
 
 
 def ingest_climbs(spark, folder):
-    changed = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))
+    changed = jobs.ingest_stages(_landed(spark, folder), _stored_tables(spark, folder))
     return _with_url(changed["stage_climbs"], changed).select(
         "pcs_url", "climb_order", "climb_name", "climb_url", "category"
     )
 
 
 def ingest_results(spark, folder):
-    changed = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))
+    changed = jobs.ingest_stages(_landed(spark, folder), _stored_tables(spark, folder))
     return _with_url(changed["stage_results"], changed).select(
         "pcs_url", "rank", "rider_url", "finish_time_seconds", "gap_seconds"
     )
 
 
 def ingest_failures(spark, folder):
-    changed = jobs.ingest_stages(proxy.stage_pages(spark, folder), _stored_tables(spark, folder))
+    changed = jobs.ingest_stages(_landed(spark, folder), _stored_tables(spark, folder))
     return changed["sync_failures"].select("source", "url", "reason")
 
 
@@ -471,7 +475,7 @@ def reparse_profiles(spark, folder):
     """Two stored versions per page: the later one is parsed, stored names are kept."""
     tables = _stored_tables(spark, folder)
     for day in (1, 2):
-        pages = proxy.stage_pages(spark, folder, day).withColumn("html_sha256", F.lit(str(day)))
+        pages = _landed(spark, folder, day).withColumn("html_sha256", F.lit(str(day)))
         usable, _ = jobs.split_challenges(pages)
         tables["raw_pages"] = tables["raw_pages"].unionByName(usable.select(*tables["raw_pages"].columns))
     found = jobs.reparse_history(tables)["stage_profiles"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stagekin.functions.text import with_fingerprint
-from stagekin.plans.skew import HOT_ROWS, SLICES, hot_keys, sliced, spread, written
+from stagekin.plans.skew import HOT_ROWS, SLICES, hot_keys, sliced, written
 
 
 def latest_ids(log: DataFrame) -> DataFrame:
@@ -19,9 +19,14 @@ def latest_ids(log: DataFrame) -> DataFrame:
     )
 
 
-def latest_snapshots(log: DataFrame) -> DataFrame:
-    """Latest stored row per URL. Page texts are read for the winners only, after the choice."""
-    return log.join(latest_ids(log), ["url", "id"], "left_semi")
+def latest_snapshots(log: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Latest stored row per URL. Page texts are read for the winners only, after the choice.
+
+    ``partitions`` fixes the number of partitions of the result, for heavy work per page: adaptive
+    execution would merge partitions that are small in bytes.
+    """
+    pages = log.repartition(partitions, "url", "id") if partitions else log
+    return pages.join(latest_ids(log), ["url", "id"], "left_semi")
 
 
 def changed_ids(
@@ -73,6 +78,6 @@ def _compared_in_slices(rows: DataFrame, order: list[str], hot: DataFrame, slice
 def changed_snapshots(fetches: DataFrame, log: DataFrame | None = None, hot_rows: int = HOT_ROWS,
                       slices: int = SLICES) -> DataFrame:
     """The fetches to store, page text included. Only narrow columns are sorted."""
-    marked = fetches if "html_sha256" in fetches.columns else with_fingerprint(spread(fetches, "id"))
+    marked = fetches if "html_sha256" in fetches.columns else with_fingerprint(fetches)
     kept = changed_ids(marked, log, hot_rows, slices).select("id", "html_sha256")
     return fetches.drop("html_sha256").join(kept, "id")

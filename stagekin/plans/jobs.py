@@ -48,7 +48,10 @@ def keep_snapshots(log: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def latest_fetches(pages: DataFrame) -> DataFrame:
-    return snapshots.latest_snapshots(pages)
+    """The latest fetch per URL, partitioned for extraction, which is slow per byte."""
+    spark = pages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return snapshots.latest_snapshots(pages, tasks)
 
 
 def counted(df: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:
@@ -115,7 +118,7 @@ def ingest_stages(
 def reparse_history(tables: Tables, spec: X.Spec = X.STAGE_PAGE, now: Column | None = None) -> Tables:
     """Runs the extraction again on the latest snapshots; stored names and numbers are kept."""
     log = tables["raw_pages"].filter(parsing.is_stage_page(F.col("url")))
-    parsed = written(parsing.parse_stages(snapshots.latest_snapshots(log), spec), "reparsed")
+    parsed = written(parsing.parse_stages(latest_fetches(log), spec), "reparsed")
     good, bad = parsed.filter(F.col("problem").isNull()), parsed.filter(F.col("problem").isNotNull())
     results = parsing.stage_results(good)
     stored = tables["stage_profiles"].select("pcs_url", "race_name", "season", "stage_number")

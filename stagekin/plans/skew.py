@@ -38,7 +38,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """More partitions for heavy work per row where the input has fewer than there are cores."""
+    """More partitions for heavy work per row where a scan has fewer than there are cores.
+
+    Meant for scans: asking a frame behind a shuffle for its partitions would run that shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
