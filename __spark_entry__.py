@@ -399,9 +399,8 @@ def stream_changes(spark, folder):
     days = pages.select("id", "url", "html", "fetched_at")
     for day in range(1, 5):
         days.filter(F.dayofmonth("fetched_at") == day).coalesce(1).write.mode("append").parquet(f"{base}/landed")
-    ingest.start_changes_to_table(
-        ingest.page_stream(spark, f"{base}/landed", 1), f"{base}/log", f"{base}/checkpoint"
-    )
+    stream = ingest.page_stream(spark, f"{base}/landed", 1)
+    ingest.run_available(stream, f"{base}/checkpoint", ingest.append_changes(f"{base}/log"))
     return spark.read.parquet(f"{base}/log").select("id", "url", "html_sha256")
 
 

@@ -19,7 +19,7 @@ PARTITIONS = {"stage_profiles": ["season"], "race_startlists": ["race_slug", "se
 _MANIFEST = "version bigint, name string, path string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
@@ -27,7 +27,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def manifest(spark: SparkSession, root: str) -> dict[str, str]:
     """Table name -> folder of the newest version; at most one row per table is collected."""
     path = f"{root}/_manifest"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return {}
     entries = spark.read.schema(_MANIFEST).parquet(path)
     newest = entries.groupBy("name").agg(F.max_by("path", "version").alias("path"))
@@ -36,7 +36,7 @@ def manifest(spark: SparkSession, root: str) -> dict[str, str]:
 
 def version(spark: SparkSession, root: str) -> int:
     path = f"{root}/_manifest"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return 0
     return spark.read.schema(_MANIFEST).parquet(path).agg(F.max("version")).first()[0] or 0
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagekin.functions.text import with_fingerprint
+from stagekin.operators.snapshots import changed_ids
 from stagekin.plans import jobs
+from stagekin.plans.skew import written
 from stagekin.sources import store
 
 _NARROW = "id long, url string, fetched_at timestamp, html_sha256 string"
@@ -38,8 +40,9 @@ def _keep_changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
 def changes(pages: DataFrame) -> DataFrame:
     """Stream of kept fetches (id, url, fetched_at, html_sha256): state is one hash per URL.
 
-    The page text is fingerprinted before the shuffle and does not enter it. The size of a
-    micro-batch, and so of one URL's rows in it, is set by the source (files per trigger).
+    The page text is fingerprinted before the shuffle and does not enter it. One task holds the
+    narrow rows of a URL in one micro-batch, whose size the source sets (files per trigger); where a
+    URL may be very frequent, use ``append_changes``.
     """
     narrow = with_fingerprint(pages).select("id", "url", "fetched_at", "html_sha256")
     return narrow.groupBy("url").applyInPandasWithState(
@@ -73,19 +76,20 @@ def upsert_stages(root: str, **job_options) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def start_changes_to_table(pages: DataFrame, folder: str, checkpoint: str) -> None:
-    """Appends the kept fetches to a Parquet log, exactly once per micro-batch."""
-    (
-        changes(pages)
-        .withColumn("ingest_date", F.to_date("fetched_at"))
-        .writeStream.format("parquet")
-        .partitionBy("ingest_date")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+def append_changes(folder: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler: the kept fetches of each micro-batch, as one folder of the log.
+
+    The log itself is the state, so frequent URLs are split as in a batch job, and a repeated
+    micro-batch replaces its own folder.
+    """
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fetched = written(with_fingerprint(batch).select("id", "url", "fetched_at", "html_sha256"), "fetched")
+        log = None
+        if store.exists(spark, folder):
+            log = spark.read.schema(f"{_NARROW}, batch long").parquet(folder).filter(F.col("batch") < batch_id)
+            log = log.join(fetched.select("url").distinct(), "url", "left_semi")
+        changed_ids(fetched, log).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
+    return handle

@@ -156,12 +156,32 @@ def test_dry_run_and_replay(spark):
     assert sorted(r.url for r in jobs.replay_list(failures, log).collect()) == ["a", "c"]
 
 
-def test_stream_equals_batch(spark, folder, tmp_path):
+def test_streams_equal_batch(spark, folder, tmp_path):
     import __spark_entry__ as entry
 
     batch = sorted(map(tuple, entry.changed_snapshots(spark, folder).collect()))
     assert sorted(map(tuple, entry.stream_changes(spark, folder).collect())) == batch
 
+    landed = entry.proxy.raw_pages(spark, folder).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    for day in (1, 2, 3, 4):
+        landed.filter(F.dayofmonth("fetched_at") == day).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+    kept = ingest.changes(ingest.page_stream(spark, f"{tmp_path}/landed", 1))
+    kept.writeStream.format("parquet").option("path", f"{tmp_path}/log").option(
+        "checkpointLocation", f"{tmp_path}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
+    stateful = spark.read.parquet(f"{tmp_path}/log").select("id", "url", "html_sha256")
+    assert sorted(map(tuple, stateful.collect())) == batch
+
+
+def test_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    handle = ingest.append_changes(f"{tmp_path}/log")
+    first = pages(spark, [(1, "u", "<p>a</p>"), (2, "v", "<p>a</p>")])
+    second = pages(spark, [(3, "u", "<p>a</p>"), (4, "v", "<p>b</p>")], day=2)
+    handle(first, 0)
+    handle(second, 1)
+    handle(second, 1)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [1, 2, 4]
+
 
 def test_stream_upsert_is_repeatable(spark, tmp_path):
     root, landed = f"{tmp_path}/tables", f"{tmp_path}/landed"
