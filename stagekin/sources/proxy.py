@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stagekin.functions.urls import race_url
-from stagekin.plans.skew import row_number_within
+from stagekin.plans.skew import row_number_within, spread
 
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -38,12 +38,17 @@ def stage_profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines by order; a small test file is one split, which would leave the sorts to one core."""
+    return spread(table(spark, folder, "lineitem"), "l_orderkey")
+
+
 def stage_climbs(spark: SparkSession, folder: str) -> DataFrame:
     line, part = F.col("l_linenumber"), F.col("l_partkey")
     first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER)
     flag = F.col("l_returnflag")
     return (
-        table(spark, folder, "lineitem")
+        lines(spark, folder)
         .withColumn("rn", F.row_number().over(first))
         .filter("rn = 1")
         .select(
@@ -76,8 +81,8 @@ def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage_results(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER)
-    ranked = row_number_within(lines, ["l_orderkey"], LINE_ORDER, "rank")
+    ordered = lines(spark, folder).select("l_orderkey", *LINE_ORDER)
+    ranked = row_number_within(ordered, ["l_orderkey"], LINE_ORDER, "rank")
     return ranked.join(_suppliers(spark, folder), F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_orderkey").alias("stage_id"), F.col("rank").cast("int").alias("rank"),
         "rider_url", "rider_name", "team_name",
