@@ -26,6 +26,12 @@ from stagekin.sources.tables import empty_table  # noqa: E402
 from stagekin.sources.tables import startlist as startlist_of  # noqa: E402
 from stagekin.streaming import ingest  # noqa: E402
 
+try:  # the training-data queries are there only with their package
+    import corpus_pipeline
+    from stagekin.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 TARGET = oracles.TARGET
 LISTED = ("id", "pcs_url", "race_name", "season", "distance_km")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,10 +527,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in _QUERIES}
+    more = (*llm.QUERIES, corpus_pipeline.pipeline) if llm else ()
+    return {query.__name__: query for query in (*_QUERIES, *more)}
 
 
 def oracle_sql() -> dict[str, str]:
     known = queries()
     sql = dict(oracles.SQL, stream_changes=oracles.SQL["changed_snapshots"])
+    if llm:
+        sql |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return {name: text for name, text in sql.items() if name in known}
