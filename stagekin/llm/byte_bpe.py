@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stagekin.llm.common import blocks, worker_cache
 
 #: Matches that a worker remembers; emptied when there are more.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 NEVER = 1 << 62
 LONGEST = 64
 #: Letters, numbers and white space among the characters below U+0100, in the notation of re.

@@ -115,7 +115,7 @@ def shared_keys(docs: DataFrame, width: int, similar: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows in batches:
-            for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 4_000_000):
+            for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 2_000_000):
                 found = []
                 for one in shingle_sets(texts, width):
                     node = set_key(one)
@@ -252,7 +252,7 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 4_000_000):
+            for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 2_000_000):
                 sets = shingle_sets(texts, width)
                 yield batch(SETS, [set_key(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
 

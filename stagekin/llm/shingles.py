@@ -15,6 +15,8 @@ U = np.uint64
 BYTE_STEP = 0x9E3779B97F4A7C15
 WORD_STEPS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
               0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
+#: Bytes hashed in one go.
+STRETCH = 1 << 19
 SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -28,6 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """step**i and its inverse modulo 2**64, for i below n; kept in the worker for the next call."""
     kept = worker_cache("powers")
+    if n > 2 * STRETCH:  # a single word of that length
+        kept = {}
     if step not in kept or len(kept[step][0]) < n:
         kept[step] = []
         for base in (step, pow(step, -1, 1 << 64)):
@@ -41,17 +45,24 @@ def _powers(n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: bytes, steps: tuple[int, ...] = (BYTE_STEP,)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """First and last byte of each word of ``data``, which ends in a space, and its hash for each step.
 
-    A word's hash is a polynomial in its bytes; the difference of running sums gives all at once.
+    A word's hash is a polynomial in its bytes; the difference of running sums gives those of many words
+    at once. The sums go over stretches of about ``STRETCH`` bytes, so memory does not grow with a text.
     """
     codes = np.frombuffer(data, np.uint8)
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
     first, last = edges[0::2], edges[1::2]
-    sizes, found = (last - first).astype(np.uint64), []
-    for step in steps:
-        up, down = _powers(len(codes), step)
-        sums = np.concatenate(([U(0)], np.cumsum((codes.astype(np.uint64) + U(1)) * up)))
-        found.append(mix((sums[last] - sums[first]) * down[first] + sizes))
+    found = [np.empty(len(first), np.uint64) for _ in steps]
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(last, first[a] + STRETCH)))
+        low, own = first[a:b] - first[a], codes[first[a]:last[b - 1]].astype(np.uint64) + U(1)
+        high = last[a:b] - first[a]
+        for step, out in zip(steps, found, strict=True):
+            up, down = _powers(len(own), step)
+            sums = np.concatenate(([U(0)], np.cumsum(own * up)))
+            out[a:b] = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+        a = b
     return first, last, found
 
 

@@ -118,8 +118,7 @@ class Shard:
 
 MANIFEST = pa.schema([("shard", pa.string()), ("first_id", pa.int64()), ("first_hash", pa.int64()),
                       ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-DOCUMENT = pa.schema([("shard", pa.string()), ("doc_id", pa.int64()), ("offset", pa.int64()),
-                      ("n_tokens", pa.int64()), ("ids", pa.binary())])
+DOCUMENT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -160,14 +159,12 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         for rows in batches:
-            for name in rows.column(0).to_pylist():
+            for name, before in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     shard = Shard(stream.read())
                 for group in blocks(shard.documents(), lambda d: len(d[2]), 2_000_000):
-                    yield batch(DOCUMENT, [name] * len(group), [d[0] for d in group], [d[1] for d in group],
+                    yield batch(DOCUMENT, [d[0] for d in group], [before + d[1] for d in group],
                                 [len(d[2]) for d in group], [d[2].astype("<u4").tobytes() for d in group])
 
-    shards = manifest.select("shard").repartition(max(1, manifest.count()), "shard")
-    found = shards.mapInArrow(load, "shard string, doc_id long, offset long, n_tokens long, ids binary")
-    return found.join(manifest.select("shard", "ids_before"), "shard").select(
-        "doc_id", (F.col("ids_before") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    shards = manifest.select("shard", "ids_before").repartition(max(1, manifest.count()), "shard")
+    return shards.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")

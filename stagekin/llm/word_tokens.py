@@ -18,7 +18,7 @@ from stagekin.llm.common import blocks, worker_cache
 from stagekin.llm.shingles import BYTE_STEP, word_hashes
 
 #: Words that a worker remembers; all are forgotten when there would be more.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_600_000
 #: A word is known by one hash and checked by another.
 STEPS = (BYTE_STEP, 0xD1342543DE82EF95)
 #: No-break space and next line are white space like the others.
@@ -78,7 +78,7 @@ class WordEncoder:
         """Adds words that are not known; ``keys`` are sorted."""
         if len(self.keys) + len(keys) > REMEMBERED:
             self._forget()
-        if len(self.pieces) > REMEMBERED // 4:
+        if len(self.pieces) > REMEMBERED // 8:
             self.pieces.clear()
         cut = [self.find(word) for word in words]
         new = list({piece for pieces in cut for piece in pieces if piece not in self.pieces})
@@ -123,8 +123,8 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; the texts are taken together in groups of some million characters."""
-        for group in blocks(texts, lambda t: len(t or "") + 1, 4_000_000):
+        """The ids of each text; the texts are taken together in groups of about a million characters."""
+        for group in blocks(texts, lambda t: len(t or "") + 1, 1_000_000):
             plain = [self._plain(t or "") for t in group]
             quick = [p for p in plain if p is not None]
             found = iter(self._look_up(quick) or self._whole_arrays([t or "" for t, p in zip(group, plain, strict=True)
