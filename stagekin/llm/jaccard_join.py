@@ -42,6 +42,8 @@ AGREEING = 3
 BUCKET_BYTES = 16_000_000
 TILE_SHINGLES = 100_000
 TILE_SETS = 200
+#: Products of the sparse matrices held at a time.
+PRODUCTS = 1_000_000
 KEYS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 SHARED = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size_class", pa.int32()), ("needs", pa.int32())])
 SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -201,7 +203,7 @@ def _tiles(nodes: DataFrame) -> DataFrame:
 def _block_links(pairs: np.ndarray, parts: list[np.ndarray], similar: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of the links among sets: rows of the product of the incidence matrix, a few at a time.
 
-    Rows are taken up in order of reach: a set already linked to all that remain is not multiplied.
+    As many rows are multiplied at once as have about ``PRODUCTS`` products.
     """
     sizes = np.array([len(p) for p in parts], np.int64)
     columns = np.unique(np.concatenate(parts), return_inverse=True)[1]
@@ -211,14 +213,14 @@ def _block_links(pairs: np.ndarray, parts: list[np.ndarray], similar: int) -> tu
     post = owner[order]  # documents of each column
     first = np.searchsorted(columns[order], np.arange(columns.max() + 2))
     u, v = [], []
-    step = max(1, 2_000_000 // len(parts))
-    for a in range(0, len(parts), step):
-        b = min(len(parts), a + step)
+    work = np.add.reduceat((first[1:] - first[:-1])[columns], starts[:-1])  # products of each row
+    for rows in blocks(range(len(parts)), lambda k: int(work[k]) + len(parts), PRODUCTS):
+        a, b = rows[0], rows[-1] + 1
         mine = columns[starts[a]:starts[b]]
         lengths = first[mine + 1] - first[mine]
         row = np.repeat(owner[starts[a]:starts[b]] - a, lengths)
         ends = np.cumsum(lengths)
-        col = post[np.repeat(first[mine] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        col = post[np.repeat(first[mine] - ends + lengths, lengths) + np.arange(ends[-1])]
         overlap = np.bincount(row * len(parts) + col, minlength=(b - a) * len(parts)).reshape(b - a, len(parts))
         total = sizes[a:b, None] + sizes[None, :]
         i, j = np.nonzero((100 + similar) * overlap >= similar * total)
