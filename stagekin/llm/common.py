@@ -67,6 +67,12 @@ def dropped(df: DataFrame) -> None:
     remove(df.sparkSession, df._stagekin_path)
 
 
+def sent_if_small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """A written frame of a few numbers a row, marked for broadcast if it has at most ``rows`` rows; joined by
+    shuffling beyond that."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

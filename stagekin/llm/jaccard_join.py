@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import batch, blocks, text_bytes, written
+from stagekin.llm.common import batch, blocks, sent_if_small, text_bytes, written
 from stagekin.llm.components import components, smallest_reachable
 from stagekin.llm.shingles import U, mix, shingle_sets
 
@@ -46,7 +46,7 @@ TILE_SETS = 200
 PRODUCTS = 1_000_000
 KEYS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 SHARED = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size_class", pa.int32()), ("needs", pa.int32())])
-SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
 
 def most_differences(y: int, similar: int = SIMILAR) -> int:
@@ -253,24 +253,28 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
         "tile", "tile2", F.xxhash64("tile", "tile2").alias("block")), "tile-pairs")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends equal sets once
         for rows in batches:
             for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 2_000_000):
-                sets = shingle_sets(texts, width)
-                yield batch(SETS, [set_key(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
-
-    picked = _typed(docs).join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not chosen.filter("doc_id is null").isEmpty():
-        picked = picked.unionByName(_typed(docs).filter("doc_id is null"))
-    sets = written(picked.select("text").mapInArrow(extract, "node long, n long, shingles binary")
-                   .join(tiles.select("node", "tile"), "node").dropDuplicates(["node"])
-                   .select("node", "tile", "shingles"), "sets")
-    dealt = pairs.select("tile", "block").unionByName(
-        pairs.filter("tile < tile2").select(F.col("tile2").alias("tile"), "block")).join(sets, "tile")
+                sets = {set_key(s): s for s in shingle_sets(texts, width)}
+                new = [node for node in sets if node not in seen]
+                seen.update(new)
+                yield batch(SETS, new, [sets[n].tobytes() for n in new])
+
+    ids = sent_if_small(written(chosen.select("doc_id").distinct(), "candidate-ids"))
+    typed = _typed(docs)
+    picked = typed.join(ids, typed["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    sets = written(picked.select("text").mapInArrow(extract, "node long, shingles binary").join(
+        sent_if_small(tiles.select("node", "tile")), "node"), "sets")
+    sides = written(pairs.select("tile", "block").unionByName(
+        pairs.filter("tile < tile2").select(F.col("tile2").alias("tile"), "block")), "sides")
+    dealt = sets.join(sent_if_small(sides), "tile")
     edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def multiply(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
-        u, v = _block_links(table.column("node").to_numpy(), parts, similar)
+        nodes, index = np.unique(table.column("node").to_numpy(), return_index=True)
+        shingles = table.column("shingles")
+        u, v = _block_links(nodes, [np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in index], similar)
         return pa.table([u, v], schema=edge)
 
     return written(dealt.select("block", "node", "shingles").groupBy("block").applyInArrow(
