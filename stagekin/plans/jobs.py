@@ -23,11 +23,12 @@ Tables = dict[str, DataFrame]
 
 
 def failure_rows(failed: DataFrame, reason: Column, source: str, now: Column | None = None) -> DataFrame:
+    """A failure happens when its page was fetched, if that is known: two fetches of a URL are two failures."""
+    happened = F.current_timestamp() if now is None else now
+    if "fetched_at" in failed.columns:
+        happened = F.coalesce(F.col("fetched_at"), happened)
     return failed.select(
-        F.lit(source).alias("source"),
-        "url",
-        cut_reason(reason).alias("reason"),
-        (F.current_timestamp() if now is None else now).alias("occurred_at"),
+        F.lit(source).alias("source"), "url", cut_reason(reason).alias("reason"), happened.alias("occurred_at")
     )
 
 
@@ -70,7 +71,7 @@ def dry_run(df: DataFrame, sample: int = 5, **tests: Column) -> tuple[dict, list
 
 def _upsert_parsed(parsed: DataFrame, profiles: DataFrame, results: DataFrame, tables: Tables,
                    now: Column | None) -> Tables:
-    next_profiles = written(mutate.upsert_profiles(tables["stage_profiles"], profiles, now), "profiles")
+    next_profiles = written(mutate.upsert_profiles(tables["stage_profiles"], profiles, now, "arrival"), "profiles")
     ids = next_profiles.select("pcs_url", F.col("id").alias("stage_id"))
     touched = parsed.select(F.col("url").alias("pcs_url")).join(ids, "pcs_url").select("stage_id")
     climbs = parsing.stage_climbs(parsed).join(ids, "pcs_url").drop("pcs_url")
@@ -100,8 +101,8 @@ def ingest_stages(
         wanted = race_names.select(F.col("stage_url").alias("url")).distinct()
         pages = pages.join(wanted, "url", "left_semi")
     usable, blocked = split_challenges(pages)
-    # The extraction feeds five tables: it is computed once.
-    parsed = written(parsing.parse_stages(latest_fetches(usable), spec), "parsed")
+    # The extraction feeds five tables: it is computed once. A page that landed twice is one page.
+    parsed = written(parsing.parse_stages(latest_fetches(usable), spec).dropDuplicates(["url"]), "parsed")
     good, bad = parsed.filter(F.col("problem").isNull()), parsed.filter(F.col("problem").isNotNull())
     results = parsing.stage_results(good)
     profiles = parsing.stage_profiles(good, results, race_names)
@@ -118,7 +119,7 @@ def ingest_stages(
 def reparse_history(tables: Tables, spec: X.Spec = X.STAGE_PAGE, now: Column | None = None) -> Tables:
     """Runs the extraction again on the latest snapshots; stored names and numbers are kept."""
     log = tables["raw_pages"].filter(parsing.is_stage_page(F.col("url")))
-    parsed = written(parsing.parse_stages(latest_fetches(log), spec), "reparsed")
+    parsed = written(parsing.parse_stages(latest_fetches(log), spec).dropDuplicates(["url"]), "reparsed")
     good, bad = parsed.filter(F.col("problem").isNull()), parsed.filter(F.col("problem").isNotNull())
     results = parsing.stage_results(good)
     stored = tables["stage_profiles"].select("pcs_url", "race_name", "season", "stage_number")
@@ -134,21 +135,26 @@ def reparse_history(tables: Tables, spec: X.Spec = X.STAGE_PAGE, now: Column | N
 def ingest_startlists(
     pages: DataFrame, tables: Tables, races: DataFrame, spec: X.Spec = X.STARTLIST_PAGE, now: Column | None = None
 ) -> Tables:
-    """Replaces the start list of every race whose page was read, also by an empty one."""
+    """Replaces the start list of every race whose page could be read, also by an empty one.
+
+    A page that is empty or cannot be parsed leaves the stored list, is logged, and is not kept as snapshot.
+    """
     listed = with_urls(races).select(F.col("startlist_url").alias("url"), F.col("slug").alias("race_slug"), "season")
     wanted = pages.join(listed.select("url"), "url", "left_semi")
     usable, blocked = split_challenges(wanted)
     latest = latest_fetches(usable)
     fetched_at = F.current_timestamp() if now is None else now
-    riders = parsing.startlist_riders(latest, spec).join(listed, "url").withColumn("fetched_at", fetched_at)
-    touched = latest.filter(F.col("html") != "").select("url").join(listed, "url").select("race_slug", "season")
-    empty = latest.filter(F.coalesce(F.col("html"), F.lit("")) == "")
+    found = written(parsing.startlists(latest, spec), "startlists")
+    good, bad = found.filter("problem is null"), found.filter("problem is not null")
+    riders = parsing.startlist_riders(good).join(listed, "url").withColumn("fetched_at", fetched_at)
+    touched = good.select("url").join(listed, "url").select("race_slug", "season")
     failures = challenge_failures(blocked, C.STARTLIST_SOURCE, now).unionByName(
-        failure_rows(empty, F.lit("parse error: empty page"), C.STARTLIST_SOURCE, now)
+        failure_rows(bad, F.col("problem"), C.STARTLIST_SOURCE, now)
     )
+    readable = usable.join(bad.select("url"), "url", "left_anti")
     return {
         "race_startlists": mutate.replace_slices(tables["race_startlists"], riders, touched, "position"),
-        "raw_pages": keep_snapshots(tables["raw_pages"], usable),
+        "raw_pages": keep_snapshots(tables["raw_pages"], readable),
         "sync_failures": mutate.append(tables["sync_failures"], failures),
     }
 

@@ -69,7 +69,8 @@ def stage_profiles(parsed: DataFrame, results: DataFrame, race_names: DataFrame
         F.coalesce(F.size("climbs"), F.lit(0)).alias("nb_climbs"),
         "victory_type",
         "winner_group_size",
-        F.to_json(F.struct(*payload)).alias("raw_json"),
+        F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}).alias("raw_json"),
+        (F.col("fetched_at") if "fetched_at" in rows.columns else F.lit(None).cast("timestamp")).alias("arrival"),
     )
 
 
@@ -83,9 +84,14 @@ def race_stages(pages: DataFrame, spec: X.Spec = X.RACE_PAGE) -> DataFrame:
     )
 
 
-def startlist_riders(pages: DataFrame, spec: X.Spec = X.STARTLIST_PAGE) -> DataFrame:
-    """(url, race_name, position, rider columns); rows without a rider link are left out."""
-    found = X.extract(pages, spec).select("url", "race_name", F.posexplode("riders").alias("position", "r"))
+def startlists(pages: DataFrame, spec: X.Spec = X.STARTLIST_PAGE) -> DataFrame:
+    """One row per url: race_name, riders, and the problem of a page that is empty or cannot be parsed."""
+    return X.extract(pages, spec, keep=("url", "fetched_at")).dropDuplicates(["url"])
+
+
+def startlist_riders(found: DataFrame) -> DataFrame:
+    """(url, race_name, position, rider columns) of extracted pages; rows without a rider link are left out."""
+    found = found.select("url", "race_name", F.posexplode("riders").alias("position", "r"))
     return found.filter(F.coalesce(F.col("r.rider_url"), F.lit("")) != "").select(
         "url",
         "race_name",

@@ -68,8 +68,10 @@ def upsert_stages(root: str, **job_options) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         tables = {name: store.load(spark, root, name) for name in names}
         changed = jobs.ingest_stages(batch, tables, **job_options)
-        logged = tables["sync_failures"].select("source", "url", "reason")
-        fresh = changed["sync_failures"].join(logged, ["source", "url", "reason"], "left_anti")
+        # a failure is one fetch: the same page failing on another day is logged again
+        fetch = ["source", "url", "reason", "occurred_at"]
+        logged = tables["sync_failures"].select(*fetch)
+        fresh = changed["sync_failures"].join(logged, fetch, "left_anti").dropDuplicates(fetch)
         changed["sync_failures"] = tables["sync_failures"].unionByName(fresh.select(*tables["sync_failures"].columns))
         store.commit(spark, root, changed)
 

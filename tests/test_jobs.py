@@ -3,6 +3,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from stagekin.sources.tables import empty_table
+from stagekin.sources.worklist import with_urls
+from stagekin.schemas import TABLES
 from stagekin.plans import jobs, parsing
 from stagekin.sources import extract as X
 from stagekin.sources import store, tables, worklist
@@ -197,14 +200,35 @@ def test_stream_upsert_is_repeatable(spark, tmp_path):
                 for name in ("stage_profiles", "stage_climbs", "stage_results", "raw_pages", "sync_failures")}
 
     first = state()
-    assert [len(rows) for rows in first.values()] == [1, 2, 2, 2, 1]
+    assert [len(rows) for rows in first.values()] == [1, 2, 2, 2, 2]
     last = spark.read.parquet(landed).filter(F.col("fetched_at") == datetime(2024, 1, 2))
     handle(last, 1)
     assert state() == first
 
 
+def test_unreadable_start_list_is_kept_and_logged(spark):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    stored = spark.createDataFrame([("b", 2024, "rider/old")], "race_slug string, season int, rider_url string")
+    tables["race_startlists"] = tables["race_startlists"].unionByName(stored, allowMissingColumns=True)
+    races = spark.createDataFrame([("b", 2024, 1)], "slug string, season int, race_order int")
+    url = with_urls(races).first()["startlist_url"]
+    changed = jobs.ingest_startlists(pages(spark, [(1, url, "<h1>B</h1><![foo[x")], 1), tables, races, now=job_time())
+    assert [r.rider_url for r in changed["race_startlists"].collect()] == ["rider/old"]
+    assert changed["sync_failures"].count() == 1 and changed["raw_pages"].count() == 0
+
+
+def test_page_landed_twice_is_one_profile_and_ids_follow_arrival(spark):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    rows = [pages(spark, [(day, f"race/x-y/2024/stage-{6 - day}", stage_html())], day) for day in (1, 2, 3, 4)]
+    landed = rows[0].union(rows[1]).union(rows[1]).union(rows[2]).union(rows[3])
+    found = jobs.ingest_stages(landed, tables, now=job_time())["stage_profiles"].orderBy("id").collect()
+    assert [r.pcs_url[-1] for r in found] == ["5", "4", "3", "2"]
+    assert [r.id for r in found] == [1, 2, 3, 4]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    own = {query.__name__ for query in entry._QUERIES}
+    assert own == set(entry.oracle_sql()) & own and own <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "rank", "twin_id", "distance"]
