@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stagekin.llm.common import blocks, worker_cache
 
 #: Matches that a worker remembers; emptied when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 NEVER = 1 << 62
 LONGEST = 64
 #: Letters, numbers and white space among the characters below U+0100, in the notation of re.
@@ -171,13 +171,10 @@ class Merger:
 
 
 class Codec:
-    """Encoder and decoder of one rank file and pattern."""
+    """Encoder of one rank file and pattern."""
 
     def __init__(self, raw: bytes, pattern: str):
         ranks = read_ranks(raw)
-        self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         self.merger = Merger(ranks)
         self.whole = {token: np.array([rank], "<u4").tobytes() for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
@@ -193,8 +190,8 @@ class Codec:
         return self.find_latin(text)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; the texts are taken together in groups of about a million characters."""
-        for group in blocks(texts, lambda t: len(t or "") + 1, 1_000_000):
+        """The ids of each text; the texts are taken together in groups of about half a million characters."""
+        for group in blocks(texts, lambda t: len(t or "") + 1, 500_000):
             cut = [self.matches(t) if t else [] for t in group]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -208,17 +205,27 @@ class Codec:
             for pieces in cut:
                 yield b"".join(map(self.known.__getitem__, pieces))
 
+
+class Decoder:
+    """The tokens of a rank file by id."""
+
+    def __init__(self, raw: bytes):
+        ranks = read_ranks(raw)
+        self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-def codec(raw: bytes, pattern: str) -> Codec:
-    """The worker's codec for this rank file, made once a process."""
-    kept = worker_cache("byte_bpe")
-    key = hashlib.sha256(raw + pattern.encode()).digest()
+def _kept(kind, raw: bytes, *more: str):
+    """The worker's encoder or decoder for this rank file, made once a process."""
+    kept = worker_cache(kind.__name__)
+    key = hashlib.sha256(raw + "".join(more).encode()).digest()
     if key not in kept:
         kept.clear()
-        kept[key] = Codec(raw, pattern)
+        kept[key] = kind(raw, *more)
     return kept[key]
 
 
@@ -234,20 +241,20 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     @F.arrow_udf("binary")
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = codec(raw.value, pattern)
+        coder = _kept(Codec, raw.value, pattern)
         for texts in parts:
             yield pa.array(coder.encode(texts.to_pylist()), pa.binary(), size=len(texts))
 
     return df.withColumn(ids, encode(text))
 
 
-def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for."""
     raw = _sent(df, path)
 
     @F.arrow_udf("binary")
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = codec(raw.value, pattern)
+        coder = _kept(Decoder, raw.value)
         for rows in parts:
             yield pa.array((coder.decode(r.as_py()) for r in rows), pa.binary(), size=len(rows))
 

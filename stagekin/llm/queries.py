@@ -64,8 +64,8 @@ def byte_tokens(docs: DataFrame) -> DataFrame:
     """``docs`` with ids and the bytes decoded from them."""
     import public_tokenizers
 
-    path, pattern = vocabulary(BYTE_FILE), public_tokenizers.PATTERN
-    return byte_bpe.decoded(byte_bpe.encoded(docs, path, pattern), path, pattern)
+    path = vocabulary(BYTE_FILE)
+    return byte_bpe.decoded(byte_bpe.encoded(docs, path, public_tokenizers.PATTERN), path)
 
 
 def op6_byte_bpe(spark, folder):
