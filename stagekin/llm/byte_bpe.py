@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks, worker_cache
+from stagekin.llm.common import blocks, values, worker_cache
 
 #: Matches that a worker remembers; emptied when there are more.
 REMEMBERED = 250_000
@@ -189,7 +189,7 @@ class Codec:
             return self.find(text)
         return self.find_latin(text)
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; the texts are taken together in groups of about half a million characters."""
         for group in blocks(texts, lambda t: len(t or "") + 1, 500_000):
             cut = [self.matches(t) if t else [] for t in group]
@@ -243,7 +243,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _kept(Codec, raw.value, pattern)
         for texts in parts:
-            yield pa.array(coder.encode(texts.to_pylist()), pa.binary(), size=len(texts))
+            yield pa.array(coder.encode(values(texts)), pa.binary(), size=len(texts))
 
     return df.withColumn(ids, encode(text))
 

@@ -97,6 +97,12 @@ def blocks(items: Iterable, weight: Callable, limit: int) -> Iterator[list]:
         yield group
 
 
+def values(column: pa.Array, step: int = 500) -> Iterator:
+    """The values of a column, made a few rows at a time: a batch of long texts is not held twice."""
+    for k in range(0, len(column), step):
+        yield from column.slice(k, step).to_pylist()
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],

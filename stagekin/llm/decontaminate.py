@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks
+from stagekin.llm.common import blocks, values
 
 SIMILAR = 0.8
 #: Walks, their most steps, and the share of the steps that is sampled.
@@ -221,7 +221,7 @@ def _searcher(sent, similar: float, repeats: int):
         index = Index(sent.value, similar, repeats)
         for texts in columns:
             hits = []
-            for group in blocks(texts.to_pylist(), lambda t: len(t or "") + 1, 2_000_000):
+            for group in blocks(values(texts), lambda t: len(t or "") + 1, 2_000_000):
                 for one in index.find(group):
                     hits.append([{"item_id": i, "distance": d, "similarity": s} for i, d, s in one])
             yield pa.array(hits, HIT)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import batch, blocks, sent_if_small, text_bytes, written
+from stagekin.llm.common import batch, blocks, sent_if_small, text_bytes, values, written
 from stagekin.llm.components import components, smallest_reachable
 from stagekin.llm.shingles import U, mix, shingle_sets
 
@@ -100,8 +100,12 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            sets = shingle_sets(rows.column(1).to_pylist(), width)
-            yield batch(schema, rows.column(0), rows.column(2), [len(s) for s in sets], [set_key(s) for s in sets])
+            sizes, nodes = [], []
+            for texts in blocks(values(rows.column(1)), lambda t: len(t or "") + 1, 2_000_000):
+                for one in shingle_sets(texts, width):
+                    sizes.append(len(one))
+                    nodes.append(set_key(one))
+            yield batch(schema, rows.column(0), rows.column(2), sizes, nodes)
 
     return _typed(docs).mapInArrow(measure, "doc_id long, text_hash long, n_shingles long, node long")
 
@@ -117,7 +121,7 @@ def shared_keys(docs: DataFrame, width: int, similar: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows in batches:
-            for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 2_000_000):
+            for texts in blocks(values(rows.column(0)), lambda t: len(t or "") + 1, 2_000_000):
                 found = []
                 for one in shingle_sets(texts, width):
                     node = set_key(one)
@@ -255,7 +259,7 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task sends equal sets once
         for rows in batches:
-            for texts in blocks(rows.column(0).to_pylist(), lambda t: len(t or "") + 1, 2_000_000):
+            for texts in blocks(values(rows.column(0)), lambda t: len(t or "") + 1, 2_000_000):
                 sets = {set_key(s): s for s in shingle_sets(texts, width)}
                 new = [node for node in sets if node not in seen]
                 seen.update(new)

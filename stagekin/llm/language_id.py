@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks
+from stagekin.llm.common import blocks, values
 
 #: Labelled texts a language and windows of each, at most.
 LABELLED = 1500
@@ -161,7 +161,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], t
         network.weights = weights
         for texts in columns:
             found = []
-            for group in blocks(texts.to_pylist(), lambda t: len(t or "") + 64, 1_000_000):
+            for group in blocks(values(texts), lambda t: len(t or "") + 64, 1_000_000):
                 known = [i for i, t in enumerate(group) if langs and t and has_letter(t)]
                 answer = [{"lang_pred": "und", "score": 0.0} for _ in group]
                 if known:
