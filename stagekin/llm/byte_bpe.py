@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks, values, worker_cache
+from stagekin.llm.common import blocks, slices, worker_cache
 
 #: Matches that a worker remembers; emptied when there are more.
 REMEMBERED = 250_000
@@ -243,7 +243,8 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _kept(Codec, raw.value, pattern)
         for texts in parts:
-            yield pa.array(coder.encode(values(texts)), pa.binary(), size=len(texts))
+            for few in slices(texts):  # an answer may have fewer rows than a batch; whole batches of ids are large
+                yield pa.array(coder.encode(few.to_pylist()), pa.binary(), size=len(few))
 
     return df.withColumn(ids, encode(text))
 
@@ -256,6 +257,7 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _kept(Decoder, raw.value)
         for rows in parts:
-            yield pa.array((coder.decode(r.as_py()) for r in rows), pa.binary(), size=len(rows))
+            for few in slices(rows):
+                yield pa.array((coder.decode(r.as_py()) for r in few), pa.binary(), size=len(few))
 
     return df.withColumn(out, decode(ids))

@@ -97,10 +97,15 @@ def blocks(items: Iterable, weight: Callable, limit: int) -> Iterator[list]:
         yield group
 
 
-def values(column: pa.Array, step: int = 500) -> Iterator:
-    """The values of a column, made a few rows at a time: a batch of long texts is not held twice."""
+def slices(column: pa.Array, step: int = 500) -> Iterator[pa.Array]:
     for k in range(0, len(column), step):
-        yield from column.slice(k, step).to_pylist()
+        yield column.slice(k, step)
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of a column, made a few rows at a time: a batch of long texts is not held twice."""
+    for part in slices(column):
+        yield from part.to_pylist()
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
