@@ -6,8 +6,8 @@ between runs. An item is found in a document if some part of it has an edit dist
 
 Candidates come from the CGK embedding: a walk over the string that at each step writes the current
 byte and moves on by a random bit of (step, byte), so strings of small edit distance give outputs of
-small Hamming distance. The window at every word start is walked as is every word start of an item, and
-a sample of the output bytes is the hash; equal hashes are candidates. ``REPEATS`` walks with other bits
+small Hamming distance. The window at every word start is walked as is every word start of an item; in a
+run that holds characters of a script without spaces, every code point is a word start. A sample of the output bytes is the hash; equal hashes are candidates. ``REPEATS`` walks with other bits
 and samples, over all the words of an item, give the target recall at the limit of edits (tests measure it);
 two words of an item must point to the same place. Each candidate's item-sized window is verified by exact edit
 distance. Windows whose first sampled bytes fit no item are not walked further.
@@ -33,7 +33,8 @@ SIMILAR = 0.8
 REPEATS = 3
 STEPS = 32
 SAMPLED = 3 / 8
-#: Items of so many words are verified where two of their words agree on a place, shorter ones where one does.
+#: Items of so many words are verified where two of their words agree on a place (one, if no more can be walked),
+#: shorter ones where one does.
 FEW = 12
 #: Bytes of items in a block.
 ITEM_BYTES = 4_000_000
@@ -58,9 +59,38 @@ def normalized(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends + 1
 
 
+def _unspaced() -> np.ndarray:
+    """Which first two bytes of a code point stand for scripts written without spaces, or their punctuation."""
+    found = np.zeros(1 << 16, bool)
+    for first, last in ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1940, 0x1ABF), (0x1B00, 0x1BFF),
+                        (0x2E80, 0xA4CF), (0xA980, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF),
+                        (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)):
+        for point in range(first, last + 1, 32):
+            one = chr(point).encode("utf-8")
+            found[one[0] << 8 | one[1]] = True
+    return found
+
+
+UNSPACED = _unspaced()
+
+
 def word_starts(codes: np.ndarray) -> np.ndarray:
     gap = (codes == 32) | (codes == 0)
-    return np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    first = ~gap & np.concatenate(([True], gap[:-1]))
+    wide = np.flatnonzero(codes[:-1] >= 0xE0)
+    wide = wide[UNSPACED[codes[wide].astype(np.int32) << 8 | codes[wide + 1]]]
+    if len(wide):
+        runs = np.flatnonzero(first)
+        held = np.zeros(len(runs), bool)
+        held[np.searchsorted(runs, wide, "right") - 1] = True
+        begins = runs[held]
+        ends = np.flatnonzero(gap)
+        ends = np.append(ends, len(codes))[np.searchsorted(ends, begins)]
+        inside = np.zeros(len(codes) + 1, np.int8)
+        inside[begins] += 1
+        inside[ends] -= 1
+        first |= (np.cumsum(inside[:-1], dtype=np.int8) > 0) & (codes & 0xC0 != 0x80)
+    return np.flatnonzero(first)
 
 
 def walk_plan(repeat: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +157,8 @@ class Index:
         sizes = np.array([len(t) for t in self.items] or [0])
         offset, rest = words - starts[owner], starts[owner] + sizes[owner] - words
         steps = np.array([1 << min(STEPS, n).bit_length() - 1 if n else 0 for n in sizes.tolist()])[owner]
-        self.words = np.bincount(owner, minlength=len(items))
+        able = np.bincount(owner[rest >= steps], minlength=len(items))
+        self.needed = np.where(np.bincount(owner, minlength=len(items)) >= FEW, np.minimum(able, 2), 1)
         self.tables = []
         for count in sorted(set(steps.tolist()) - {0}):
             own = np.flatnonzero((steps == count) & (rest >= count))
@@ -206,7 +237,7 @@ class Index:
             group = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(1))))
             words = np.concatenate(([1], (rows[1:, 3] != rows[:-1, 3]).astype(int)))
             words[group] = 1
-            enough = np.add.reduceat(words, group) >= np.where(self.words[rows[group, 1]] >= FEW, 2, 1)
+            enough = np.add.reduceat(words, group) >= self.needed[rows[group, 1]]
             found.append(np.stack((rows[group, 0], rows[group, 1], np.minimum.reduceat(rows[:, 4], group),
                                    np.maximum.reduceat(rows[:, 4], group)), 1)[enough])
         return np.unique(np.concatenate(found), axis=0).tolist() if found else []
