@@ -1,4 +1,8 @@
-"""Items inside runs without spaces, and items with a single place to start from."""
+"""Items inside runs without spaces, and items with a single place to start from, and the recall at the limit of edits."""
+
+import random
+
+import pytest
 
 from stagekin.llm import decontaminate
 
@@ -25,3 +29,22 @@ def test_spaced_runs_start_at_words_only():
     codes, _ = decontaminate.normalized(["Ein Übermaß — 한국어 문장 “x”".encode(), "a漢字b c".encode()])
     starts = [bytes(codes[s:]).split(b"\0")[0].decode() for s in decontaminate.word_starts(codes)]
     assert starts[-5:] == ["a漢字b c", "漢字b c", "字b c", "b c", "c"] and len(starts) == 11
+
+
+@pytest.mark.parametrize(("words", "least"), [((4, 6), 0.5), ((12, 14), 0.6), ((15, 50), 0.87)])
+def test_recall_at_the_limit_of_edits(words, least):
+    """Items with a fifth of their letters edited that are still within the limit."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(2, 8)))
+    items = [" ".join(word() for _ in range(rng.randint(*words))) for _ in range(200)]
+    texts, within = [], []
+    for item in items:
+        letters = list(item)
+        for k in rng.sample(range(len(letters)), len(item) // 5):
+            letters[k] = rng.choice(("", letters[k] + "x", "y"))
+        texts.append(" ".join(word() for _ in range(80)) + "\n" + "".join(letters).upper() + "!! " + word())
+        copy = " ".join("".join(letters).split())
+        within.append(decontaminate.infix_distance(item.encode(), copy.encode(), 999) <= len(item) // 5)
+    hits = found(items, texts)
+    assert sum(within) > 150
+    assert sum(k in hits[k] for k in range(200) if within[k]) >= least * sum(within)
