@@ -37,7 +37,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
         raw = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(raw.value)
+        words = encoder(raw.value, special_as_text=True)  # the separator must not come from a text
         kind = id_type(max(words.size, end_id + 1))
         end = np.array([end_id], kind).tobytes()
         system, root = fs.FileSystem.from_uri(folder)

@@ -111,7 +111,8 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         start = 0
-        for i, end in enumerate(self.ends.all().tolist()):
+        for i in range(self.docs):
+            end = self.ends.select(i)
             yield (None if i < self.nulls else int(self.doc_ids[i])), start, self.ids[start:end]
             start = end
 

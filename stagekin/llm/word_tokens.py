@@ -3,12 +3,16 @@
 Where the file drops white space, lower-cases and splits by a pattern, a text of characters below
 U+0100 is cut into words, found again by their hashes in sorted arrays; a word met for the first time
 is cut into the matches of the pattern and the library encodes each distinct match once. Any other file or text goes to the library whole.
+
+The string of an added token in a text is that token, as in the library; a text that may hold one goes to the library
+whole. With ``special_as_text`` it is ordinary text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,19 @@ SPACES = bytes(32 if b in (0x85, 0xA0) else b for b in range(256))
 
 
 class WordEncoder:
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.size = self.tokenizer.get_vocab_size()
         pattern = self._pattern(json.loads(raw))
         latin = latin_pattern(pattern) if pattern else None
-        self.find = latin.findall if latin else None
+        # with ``special_as_text`` the library still finds added tokens that are not special
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()
+                 if not (special_as_text and t.special)]
+        self.find = latin.findall if latin and not any(re.search(r"\s", t) or not t for t in added) else None
+        self.added = [t.encode("latin-1") for t in added if max(t, default="\0") <= "\xff"]
         self.last = np.zeros(self.size, bool)  # ids that end a word
         for token, k in self.tokenizer.get_vocab().items():
             self.last[k] = token.endswith("</w>")
@@ -55,9 +63,10 @@ class WordEncoder:
     def _plain(self, text: str) -> bytes | None:
         """The lower-cased text, a byte a character; None: the library must see the whole text."""
         try:
-            return text.lower().encode("latin-1").translate(SPACES) if self.find else None
+            plain = text.lower().encode("latin-1").translate(SPACES) if self.find else None
         except UnicodeEncodeError:
             return None
+        return None if plain is None or any(t in plain for t in self.added) else plain
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
@@ -136,16 +145,16 @@ class WordEncoder:
         return [np.frombuffer(ids, "<u4") for ids in self._whole(texts)]
 
 
-def encoder(raw: bytes) -> WordEncoder:
+def encoder(raw: bytes, special_as_text: bool = False) -> WordEncoder:
     """The worker's encoder for this tokenizer file, made once a process, on one thread a task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     kept = worker_cache("word_tokens")
-    key = hashlib.sha256(raw).digest()
+    key = hashlib.sha256(raw).digest(), special_as_text
     if key not in kept:
         kept.clear()
-        kept[key] = WordEncoder(raw)
+        kept[key] = WordEncoder(raw, special_as_text)
     return kept[key]
 
 
