@@ -7,9 +7,9 @@ nothing. Equal vectors are one node with a count, so copies of any number cost o
 Centres are fitted on at most ``SAMPLE`` vectors (by hash, so the same ones each time); every vector is
 assigned. A vector is compared with its own cell and with each cell of a higher number that a linked
 vector could be in: with w the unit normal between the two centres, x.w is at most tan(a) times the
-component of the deviation along w, for a the angle of ``similar``. In d dimensions that component has
-spread 1/sqrt(d); ``SPREADS`` of them are allowed for, and sin(a), beyond which no link is possible, is
-the most. (With ``spreads=inf`` the search is exact at the price of more comparisons.)
+component of the deviation along w, for a the angle of ``similar``, and never more than sin(a), which is
+allowed for whatever the data: no link is missed. (``spreads`` allows for less, so many times 1/sqrt(d), the
+spread of that component where the deviations are alike in all d directions; fewer comparisons, but not exact.)
 
 Cells are dealt into tiles and pairs of tiles, so a cell of any size is many bounded tasks; a task
 emits counts per vector and a spanning forest of its links, not the links.
@@ -30,7 +30,7 @@ from stagekin.llm.components import components, smallest_reachable
 
 SIMILAR = 0.93
 SAMPLE = 20_000
-SPREADS = 5.0
+SPREADS = math.inf
 #: Vectors aimed at for a cell, centres at most (they go to every task), vectors a tile and probes a block.
 CELL = 500
 CENTRES = 4096
