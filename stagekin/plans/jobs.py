@@ -48,11 +48,15 @@ def keep_snapshots(log: DataFrame, pages: DataFrame) -> DataFrame:
     return mutate.append(log, kept)
 
 
-def latest_fetches(pages: DataFrame) -> DataFrame:
-    """The latest fetch per URL, partitioned for extraction, which is slow per byte."""
+def extraction_tasks(pages: DataFrame) -> int:
+    """Partitions for extraction, which is slow per byte."""
     spark = pages.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return snapshots.latest_snapshots(pages, tasks)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def latest_fetches(pages: DataFrame) -> DataFrame:
+    """The latest fetch per URL, partitioned for extraction."""
+    return snapshots.latest_snapshots(pages, extraction_tasks(pages))
 
 
 def counted(df: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:
@@ -137,21 +141,25 @@ def ingest_startlists(
 ) -> Tables:
     """Replaces the start list of every race whose page could be read, also by an empty one.
 
-    A page that is empty or cannot be parsed leaves the stored list, is logged, and is not kept as snapshot.
+    Every fetch is parsed and the latest readable one of a URL counts. A fetch that is empty or cannot be parsed
+    changes no list, is logged, and is not kept as snapshot; other fetches of its URL are kept.
     """
     listed = with_urls(races).select(F.col("startlist_url").alias("url"), F.col("slug").alias("race_slug"), "season")
     wanted = pages.join(listed.select("url"), "url", "left_semi")
     usable, blocked = split_challenges(wanted)
-    latest = latest_fetches(usable)
     fetched_at = F.current_timestamp() if now is None else now
-    found = written(parsing.startlists(latest, spec), "startlists")
+    fetches = usable.repartition(extraction_tasks(usable), "url", "id")
+    found = written(parsing.startlists(fetches, spec), "startlists")
     good, bad = found.filter("problem is null"), found.filter("problem is not null")
+    good = snapshots.latest_snapshots(good).dropDuplicates(["url"])
     riders = parsing.startlist_riders(good).join(listed, "url").withColumn("fetched_at", fetched_at)
     touched = good.select("url").join(listed, "url").select("race_slug", "season")
     failures = challenge_failures(blocked, C.STARTLIST_SOURCE, now).unionByName(
         failure_rows(bad, F.col("problem"), C.STARTLIST_SOURCE, now)
     )
-    readable = usable.join(bad.select("url"), "url", "left_anti")
+    failed = bad.select(*[F.col(name).alias(f"_{name}") for name in parsing.FETCH])
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in parsing.FETCH]
+    readable = usable.join(failed, same, "left_anti")
     return {
         "race_startlists": mutate.replace_slices(tables["race_startlists"], riders, touched, "position"),
         "raw_pages": keep_snapshots(tables["raw_pages"], readable),

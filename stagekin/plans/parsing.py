@@ -12,6 +12,10 @@ from stagekin.operators.outcomes import classify_stages, finish_gaps
 from stagekin.sources import extract as X
 
 
+#: What a fetch is known by.
+FETCH = ("url", "id", "fetched_at")
+
+
 def number(column: str, kind: str) -> Column:
     """A field that cannot be read as a number becomes null; the record survives."""
     return F.regexp_extract(column, r"[-+]?\d+(?:\.\d+)?", 0).try_cast(kind)
@@ -85,8 +89,8 @@ def race_stages(pages: DataFrame, spec: X.Spec = X.RACE_PAGE) -> DataFrame:
 
 
 def startlists(pages: DataFrame, spec: X.Spec = X.STARTLIST_PAGE) -> DataFrame:
-    """One row per url: race_name, riders, and the problem of a page that is empty or cannot be parsed."""
-    return X.extract(pages, spec, keep=("url", "fetched_at")).dropDuplicates(["url"])
+    """One row per fetch: race_name, riders, and the problem of a page that is empty or cannot be parsed."""
+    return X.extract(pages, spec, keep=FETCH).dropDuplicates(list(FETCH))
 
 
 def startlist_riders(found: DataFrame) -> DataFrame:
