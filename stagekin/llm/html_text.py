@@ -7,8 +7,10 @@ layer labels each; main text is joined by newlines. The network is written and t
 made up in many layouts (``html_pages``), in a few seconds and always alike; its weights go to the tasks.
 
 White space of any kind inside a block becomes one space, line breaks (``<br>``) too. Character references
-are decoded once. Scripts, styles and other text that no browser shows is no block. A null or empty page,
-or one without main text, gives an empty text. Tags that are never closed end with the page.
+are decoded once. Scripts, styles and other text that no browser shows is no block; where such an element is
+never closed, only its start tag is left out. Formulas, drawings and the fallback of objects are text like any
+other and stand in their line. A null or empty page, or one without main text, gives an empty text. Other tags
+that are never closed end with the page.
 """
 
 from __future__ import annotations
@@ -33,12 +35,18 @@ TOKEN = (r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
 NAMES = r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 #: Elements that stand in a line of text, that have no content, and whose content is no text of the page.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
-                   "strike strong sub sup time tt u var wbr br".split())
+                   "strike strong sub sup time tt u var wbr br object param svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title svg iframe object math".split())
+HIDDEN = frozenset("script style noscript template title iframe annotation annotation-xml".split())
+#: Tags inside a formula or drawing stand in its line, but these end it, as in a browser.
+FOREIGN = frozenset(("math", "svg"))
+BREAKOUT = frozenset("body blockquote center dd div dl dt embed h1 h2 h3 h4 h5 h6 head hr li menu nobr ol p pre ruby "
+                     "table ul article section main header footer nav aside".split())
 #: An open element of the value ends where one of the key begins inside the same parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
+TAGS = re.compile(TOKEN, re.S)
+ENDS = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*(?:>|\Z)", re.I) for tag in HIDDEN}
 BUCKETS, EMBEDDED, WORD_BUCKETS, MEASURES, HIDDEN_UNITS = 1024, 16, 64, 5, 14
 PAGES, EPOCHS = 700, 4
 
@@ -60,7 +68,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = links = at = 0
-    hidden = ""
+    foreign, endless = "", set()
 
     def flush() -> None:
         nonlocal linked
@@ -79,14 +87,14 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         if links:
             linked += len(text)
 
-    for token in re.finditer(TOKEN, page, re.S):
-        if token.start() > at and not hidden:
+    while token := TAGS.search(page, at):
+        if token.start() > at:
             add(page[at:token.start()])
         at = token.end()
         tag = (token[2] or "").lower()
-        if hidden:
-            hidden = "" if token[1] and tag == hidden else hidden
-        elif not tag:
+        if foreign and (tag in BREAKOUT or token[1] and tag == foreign):
+            foreign = ""
+        if not tag or foreign and tag not in HIDDEN:
             continue
         elif token[1]:
             if tag == "a":
@@ -98,15 +106,17 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
                 pass
             links = 0
         elif tag in HIDDEN:
-            if not token[3].endswith("/>"):
-                hidden = tag
-                if tag in ("script", "style"):  # nothing but their own end tag counts in them
-                    end = re.compile(f"</{tag}", re.I).search(page, at)
-                    at = end.start() if end else len(page)
+            if not token[3].endswith("/>") and tag not in endless:
+                end = ENDS[tag].search(page, at)  # nothing but their own end tag counts in them
+                at = end.end() if end else at
+                if not end:
+                    endless.add(tag)
         elif tag in ("br", "wbr", "img"):
             parts.append(" " if tag == "br" else "")
         elif tag in INLINE:
             links += tag == "a"
+            if tag in FOREIGN and not token[3].endswith("/>"):
+                foreign = tag
         else:
             flush()
             if stack and stack[-1][0] == "p":
@@ -115,7 +125,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
                 stack.pop()
             if tag not in VOID:
                 stack.append((tag, (_bucket(tag), *_names(token[3]))))
-    if at < len(page) and not hidden:
+    if at < len(page):
         add(page[at:])
     flush()
     return found
