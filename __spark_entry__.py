@@ -387,6 +387,12 @@ def profile_json(spark, folder):
     return rows.select("id", F.to_json(F.struct(*fields)).alias("raw_json"))
 
 
+def ingest_json(spark, folder):
+    """The whole record of every ingested stage as JSON, nulls kept; null for stages stored without one."""
+    found = jobs.ingest_stages(_landed(spark, folder), _stored_tables(spark, folder))["stage_profiles"]
+    return found.select("pcs_url", "raw_json")
+
+
 def page_fields(spark, folder):
     spec = X.Spec(fields=(X.Field("lang", "html", "lang"), X.Field("title", "title")))
     return X.extract(spread(proxy.table(spark, folder, "pages"), "page_id"), spec, keep=("page_id",)).drop("problem")
@@ -399,21 +405,40 @@ def page_links(spark, folder):
 
 
 def stream_changes(spark, folder):
-    """The change log computed as a stream over landed page files, one fetch day per file."""
+    """The change log computed as a stream over landed page files, one folder per fetch day.
+
+    All files land at once and no file order is promised, so all that has landed is one micro-batch.
+    """
     base = f"{scratch_folder(spark)}/stagekin/stream-{os.urandom(8).hex()}"
     pages = proxy.raw_pages(spark, folder).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    days = pages.select("id", "url", "html", "fetched_at")
-    for day in range(1, 5):
-        days.filter(F.dayofmonth("fetched_at") == day).coalesce(1).write.mode("append").parquet(f"{base}/landed")
-    stream = ingest.page_stream(spark, f"{base}/landed", 1)
+    dated = pages.select("id", "url", "html", "fetched_at", F.to_date("fetched_at").alias("fetch_date"))
+    dated.write.partitionBy("fetch_date").parquet(f"{base}/landed")
+    stream = ingest.page_stream(spark, f"{base}/landed")
     ingest.run_available(stream, f"{base}/checkpoint", ingest.append_changes(f"{base}/log"))
     return spark.read.parquet(f"{base}/log").select("id", "url", "html_sha256")
 
 
+def _stored_snapshots(spark, rows):
+    """The rows as a store of gzip files, read as a table."""
+    at = f"{scratch_folder(spark)}/stagekin/snapshots-{os.urandom(8).hex()}"
+    rows.write.option("compression", "gzip").json(at)
+    return spark.read.schema(rows.schema).json(at)
+
+
 def snapshot_roundtrip(spark, folder):
-    """Pages packed as an earlier system stored them, read back, and hashed."""
-    packed = proxy.table(spark, folder, "pages").select("page_id", text.gzip_text(F.col("html")).alias("packed"))
-    return packed.select("page_id", F.sha2(text.gunzip_text(F.col("packed")), 256).alias("html_hash"))
+    """Pages stored as gzip files, read back as a Spark source, and hashed."""
+    stored = _stored_snapshots(spark, proxy.table(spark, folder, "pages").select("page_id", "html"))
+    return stored.select("page_id", F.sha2("html", 256).alias("html_hash"))
+
+
+def stored_snapshot_log(spark, folder):
+    """The change log of all fetches where those of the first day were stored as gzip files by an earlier system."""
+    fetches = proxy.raw_pages(spark, folder)
+    first = F.to_date("fetched_at") == F.lit("2024-01-01").cast("date")
+    stored = _stored_snapshots(spark, fetches.filter(first))
+    log = written(snapshots.changed_ids(text.with_fingerprint(stored)), "stored-log")
+    later = snapshots.changed_ids(text.with_fingerprint(spread(fetches.filter(~first), "id")), log)
+    return log.unionByName(later).select("id", "url", "html_sha256")
 
 
 def falsy_fallback(spark, folder):
@@ -516,7 +541,7 @@ _QUERIES: tuple[Query, ...] = (
     upsert_profiles, upsert_children, replace_children, insert_absent, replace_slice, orphans, cascade_delete,
     dup_keys, enrich_last_wins, enrich_apply, url_meta, fingerprint, changed_snapshots, latest_snapshot, work_list,
     inline_work_list, failure_log, replay_list, label_lookup, climb_intensity, profile_json, page_fields, page_links,
-    stream_changes, snapshot_roundtrip, falsy_fallback, climb_counts, ingest_profiles, ingest_climbs, ingest_results,
+    stream_changes, snapshot_roundtrip, stored_snapshot_log, ingest_json, falsy_fallback, climb_counts, ingest_profiles, ingest_climbs, ingest_results,
     ingest_failures, reparse_profiles, startlist_ingest, enrich_job,
 )
 
@@ -533,7 +558,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     known = queries()
-    sql = dict(oracles.SQL, stream_changes=oracles.SQL["changed_snapshots"])
+    sql = dict(oracles.SQL, **dict.fromkeys(("stream_changes", "stored_snapshot_log"), oracles.SQL["changed_snapshots"]))
     if llm:
         sql |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return {name: text for name, text in sql.items() if name in known}
