@@ -11,6 +11,8 @@ from stagekin.llm.queries import byte_tokens, languages
 
 #: A document goes if it has no letters or its language's mean probability is below this.
 LEAST_SCORE = 0.35
+#: Near copies share this many hundredths of their sets of runs of so many words.
+WORDS, SIMILAR = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -19,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, width=WORDS, similar=SIMILAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
