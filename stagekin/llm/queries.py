@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagekin.llm import (
-    byte_bpe, decontaminate, embedding_dedup, html_text, jaccard_join, language_id, token_count, token_store,
-    url_filter, warc,
+    byte_bpe, decontaminate, embedding_dedup, filter_audit, html_text, importance, jaccard_join, language_id, token_count,
+    token_store, url_filter, warc, word_bpe,
 )
 from stagekin.llm.common import new_folder
 
@@ -100,9 +100,31 @@ def op10_warc(spark, folder):
         refers.alias("refers_to"))
 
 
+def op11_filter_audit(spark, folder):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return filter_audit.audited(_table(spark, folder, "documents"), _table(spark, folder, "labels"),
+                                filter_audit.text_rules(text), copies="E")
+
+
+def word_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ids and the text decoded from them, in UTF-8."""
+    path = vocabulary(WORD_FILE)
+    return word_bpe.decoded(word_bpe.encoded(docs, path), path)
+
+
+def op12_word_bpe(spark, folder):
+    return word_ids(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_importance(spark, folder):
+    return importance.drawn(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = (
     op1_language_id, op2_embedding_dedup, op3_jaccard_join, op4_benchmark_decontamination, op5_url_filter, op6_byte_bpe,
-    op7_token_files, op8_token_counts, op9_html_text, op10_warc,
+    op7_token_files, op8_token_counts, op9_html_text, op10_warc, op11_filter_audit, op12_word_bpe, op13_importance,
 )
 
 _REACH = """
@@ -177,4 +199,44 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM digests d JOIN firsts USING (h)""",
+    "op11_filter_audit": """
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 3 * length(t.text))::INT
+    + 8 * regexp_matches(t.text, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > first, FALSE)::INT AS mask
+  FROM texts t JOIN firsts f ON t.text = f.text LEFT JOIN said s ON t.doc_id = s.doc_id
+),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+filters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+),
+moves AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+),
+told AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM cells, moves GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM told""",
 }
