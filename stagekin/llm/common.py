@@ -52,6 +52,14 @@ def _remove_all() -> None:
             remove(spark, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: the frame as Parquet in the shared folder, read again."""
     spark = df.sparkSession
@@ -70,7 +78,11 @@ def dropped(df: DataFrame) -> None:
 def sent_if_small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
     """A written frame of a few numbers a row, marked for broadcast if it has at most ``rows`` rows; joined by
     shuffling beyond that."""
-    return F.broadcast(df) if df.count() <= rows else df
+    if df.count() > rows:
+        return df
+    sent = F.broadcast(df)
+    sent._stagekin_path = df._stagekin_path
+    return sent
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

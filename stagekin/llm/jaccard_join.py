@@ -7,12 +7,15 @@ counts are kept where they reach the bound. Which blocks can hold a link follows
   Sizes are dealt into classes; a set takes part in its own and, if a larger partner there is
   possible, in the next. In a class whose sets can differ in d shingles, the hash range is cut into
   k > d + 1 segments, and the key of a segment is a hash of the shingles in it: linked sets agree in
-  at least k - d segments, less those that are empty in both.
+  at least k - d segments, less those that are empty in both. The lower the similarity, the more
+  segments a difference gets, so that sets that share a common passage only agree in fewer.
 * A set that shares fewer keys with others than that cannot link and is dropped, twice over. Sets
   that share only a common passage go here, since few segments hold nothing but that passage.
 * The others are joined by their shared keys into candidate groups, ordered by size and dealt into
-  tiles of a bounded number of shingles. Two tiles are multiplied if they share a key and their sizes
-  allow a link. Each task emits a spanning forest of the links found, not the links.
+  tiles of a bounded number of shingles. For two tiles whose sizes allow a link, the product of their
+  incidence with the keys that both hold counts the shared keys of each pair of sets; only sets of a
+  pair that shares as many as a link needs are sent on, and the product of their incidence with the
+  shingles decides. Each task emits a spanning forest of the links found, not the links.
 
 Equal sets are one node throughout (a 64-bit hash of the set), so any number of copies costs one. The
 work of a group of different but similar sets grows with the square of its number of tiles.
@@ -22,25 +25,29 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import batch, blocks, sent_if_small, text_bytes, values, written
+from stagekin.llm.common import batch, blocks, dropped, fresh, sent_if_small, text_bytes, values, written
 from stagekin.llm.components import components, smallest_reachable
 from stagekin.llm.shingles import U, mix, shingle_sets
 
 #: Least similarity in hundredths; bounds below follow from it.
 SIMILAR = 85
 WIDTH = 4
-#: Ratio of the sizes of a class; agreeing segments asked for beyond the differences, and extra ones against empty segments.
+#: Ratio of the sizes of a class; agreeing segments asked for beyond the differences.
 CLASS_RATIO = 1.7
 AGREEING = 3
+#: Sets that share this part of their shingles or less have too few equal keys on average.
+UNLIKE = 0.6
 #: Bytes of text for a task of the key search; shingles and documents in a tile.
 BUCKET_BYTES = 16_000_000
 TILE_SHINGLES = 100_000
+#: At most 256: a place in a tile is a byte.
 TILE_SETS = 200
 #: Products of the sparse matrices held at a time.
 PRODUCTS = 1_000_000
@@ -57,6 +64,23 @@ def most_differences(y: int, similar: int = SIMILAR) -> int:
     return 2 * twice + (room - (100 + similar) * twice >= 100)
 
 
+@lru_cache
+def extra_segments(similar: int) -> float:
+    """Segments beyond one for each difference, as a part of the differences.
+
+    With m shingles a segment on average, two sets that share the part f agree in exp(-(1 - f) m) of the segments,
+    empty ones included, and linked ones in 1 - m * differences a shingle at least; m is where both are equal.
+    """
+    rate = 2 * (100 - similar) / (100 + similar)
+    if not rate:
+        return 0.0
+    low, high = 0.0, 1 / rate
+    for _ in range(50):
+        m = (low + high) / 2
+        low, high = (m, high) if math.exp((UNLIKE - 1) * m) < 1 - m * rate else (low, m)
+    return max(1 / (low * rate) - 1, 0.0) if low else 3.0
+
+
 def class_floors(top: int) -> np.ndarray:
     floors = [1]
     while floors[-1] <= top:
@@ -70,7 +94,7 @@ def segment_keys(one: np.ndarray, size_class: int, floors: np.ndarray, similar:
     Where empty segments could be all that agree, they get keys too.
     """
     d = most_differences(int(floors[size_class + 1]) - 1, similar)
-    k = d + AGREEING + d // 16
+    k = d + AGREEING + int(d * extra_segments(similar))
     segment = ((one >> U(32)) * U(k)) >> U(32)
     at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     sums = np.add.reduceat(mix(one + U(12345)), at)
@@ -176,32 +200,95 @@ def _enough(shared: DataFrame) -> DataFrame:
         shared.select("node", "size_class", "needs").distinct(), ["node", "size_class"]).filter("_n >= needs")
     kept = shared.join(able.select("node", "size_class"), ["node", "size_class"], "left_semi")
     common = kept.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    return written(kept.join(common, "key", "left_semi"), "shared-keys")
+    found = written(kept.join(common, "key", "left_semi"), "shared-keys")
+    dropped(shared)
+    return found
 
 
 def _tiles(nodes: DataFrame) -> DataFrame:
-    """nodes (node, component, n) with a tile: neighbours by component and size, within the bounds of a tile.
+    """nodes (node, component, n) with a tile and a place in it: neighbours by component and size, within the
+    bounds of a tile.
 
     Ranges of (component, n) go to tasks; each numbers its own tiles, so no task sees them all.
     """
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tile", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tile", pa.int64()), ("place", pa.int32())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tile, sets, shingles = TaskContext.get().partitionId() << 32, 0, 0
         for rows in batches:
-            found = []
+            found, places = [], []
             for n in rows.column(1).to_pylist():
                 if sets and (sets >= TILE_SETS or shingles + n > TILE_SHINGLES):
                     tile, sets, shingles = tile + 1, 0, 0
-                sets, shingles = sets + 1, shingles + n
                 found.append(tile)
-            yield batch(schema, rows.column(0), rows.column(1), found)
+                places.append(sets)
+                sets, shingles = sets + 1, shingles + n
+            yield batch(schema, rows.column(0), rows.column(1), found, places)
 
     parts = max(1, math.ceil(nodes.count() / (10 * TILE_SETS)))
     dealt = nodes.repartitionByRange(parts, "component", "n", "node").sortWithinPartitions("component", "n", "node")
-    return written(dealt.select("node", "n").mapInArrow(deal, "node long, n long, tile long"), "tiles")
+    return written(dealt.select("node", "n").mapInArrow(deal, "node long, n long, tile long, place int"), "tiles")
+
+
+def _sharing(members: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which pairs of places of two tiles share as many keys as both sets need.
+
+    ``members``: for each key its sets on both sides, each as needs * 256 + place.
+    """
+    shared = np.zeros(1 << 16, np.int64)
+    needs = np.zeros((2, 256), np.int64)
+    for some in blocks(members, lambda m: len(m[0]) * len(m[1]), PRODUCTS):
+        left = np.concatenate([a for a, _ in some])
+        right = np.concatenate([b for _, b in some])
+        needs[0, left & 255], needs[1, right & 255] = left >> 8, right >> 8
+        width = np.repeat([len(b) for _, b in some], [len(a) for a, _ in some])  # partners of each set on the left
+        first = np.repeat(np.cumsum([0, *[len(b) for _, b in some[:-1]]]), [len(a) for a, _ in some])
+        ends = np.cumsum(width)
+        partner = right[np.repeat(first - ends + width, width) + np.arange(ends[-1])]
+        shared += np.bincount(np.repeat(left & 255, width) << 8 | partner & 255, minlength=1 << 16)
+    shared = shared.reshape(256, 256)
+    return (shared >= np.maximum(needs[0][:, None], needs[1])) & (shared > 0)
+
+
+def _close(shared: DataFrame, tiles: DataFrame, similar: int) -> DataFrame:
+    """tile, tile2 and node: the sets that a product of two tiles must see."""
+    member = (F.col("needs") * 256 + F.col("place")).cast("int")  # at most a tile's sets a key
+    at = written(shared.join(tiles, "node").groupBy("key", "size_class", "tile").agg(
+        F.collect_list(member).alias("members")), "tile-keys")
+    spans = tiles.groupBy("tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    spans = sent_if_small(written(spans, "spans"))
+    at = at.join(spans, "tile")
+    other = at.withColumnsRenamed({"tile": "tile2", "members": "members2", "low": "low2", "high": "high2"})
+    fits = (100 * F.col("high") >= similar * F.col("low2")) & (100 * F.col("high2") >= similar * F.col("low"))
+    both = at.join(other, ["key", "size_class"]).filter((F.col("tile") <= F.col("tile2")) & fits)
+    schema = pa.schema([("tile", pa.int64()), ("tile2", pa.int64()), ("of", pa.int64()), ("place", pa.int32())])
+
+    def count(table: pa.Table) -> pa.Table:
+        tile, tile2 = table.column("tile")[0].as_py(), table.column("tile2")[0].as_py()
+        classes = table.column("size_class").to_numpy()
+        sides = []
+        for name in ("members", "members2"):
+            lists = table.column(name).combine_chunks()
+            flat, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            sides.append(np.split(flat, (cut - cut[0])[1:-1]))
+        enough = np.zeros((256, 256), bool)
+        for c in np.unique(classes):
+            enough |= _sharing([(sides[0][k], sides[1][k]) for k in np.flatnonzero(classes == c)])
+        if tile == tile2:
+            np.fill_diagonal(enough, False)
+        left, right = np.flatnonzero(enough.any(1)), np.flatnonzero(enough.any(0))
+        if tile == tile2:
+            left, right = np.union1d(left, right), left[:0]
+        n = len(left) + len(right)
+        return pa.table([np.full(n, tile), np.full(n, tile2), np.repeat([tile, tile2], [len(left), len(right)]),
+                         np.concatenate((left, right)).astype(np.int32)], schema=schema)
+
+    pairs = both.select("tile", "tile2", "size_class", "members", "members2").groupBy("tile", "tile2").applyInArrow(
+        count, "tile long, tile2 long, of long, place int")
+    place = tiles.select(F.col("tile").alias("of"), "place", "node")
+    return written(pairs.join(place, ["of", "place"]).select("tile", "tile2", "node"), "close")
 
 
 def _block_links(pairs: np.ndarray, parts: list[np.ndarray], similar: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,17 +331,9 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
     reps = sizes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     chosen = written(groups.join(reps, "node").select("node", "component", "n", "doc_id"), "candidates")
     tiles = _tiles(chosen.select("node", "component", "n"))
-
-    # tile pairs: a key's nodes lie in few tiles, since a group's tiles are neighbours
-    spans = tiles.groupBy("tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    at = shared.join(tiles, "node").select("key", "tile").distinct()
-    other = at.withColumnRenamed("tile", "tile2")
-    pairs = at.join(other, "key").filter("tile <= tile2").select("tile", "tile2").distinct()
-    left = spans.withColumnsRenamed({"low": "low1", "high": "high1"})
-    right = spans.withColumnsRenamed({"tile": "tile2", "low": "low2", "high": "high2"})
-    fits = (100 * F.col("high1") >= similar * F.col("low2")) & (100 * F.col("high2") >= similar * F.col("low1"))
-    pairs = written(pairs.join(left, "tile").join(right, "tile2").filter(fits).select(
-        "tile", "tile2", F.xxhash64("tile", "tile2").alias("block")), "tile-pairs")
+    close = _close(shared, tiles, similar)
+    dropped(shared)
+    dropped(tiles)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task sends equal sets once
@@ -265,14 +344,11 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
                 seen.update(new)
                 yield batch(SETS, new, [sets[n].tobytes() for n in new])
 
-    ids = sent_if_small(written(chosen.select("doc_id").distinct(), "candidate-ids"))
+    wanted = chosen.join(close.select("node").distinct(), "node", "left_semi").select("doc_id")
+    ids = sent_if_small(written(wanted.distinct(), "candidate-ids"))
     typed = _typed(docs)
     picked = typed.join(ids, typed["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = written(picked.select("text").mapInArrow(extract, "node long, shingles binary").join(
-        sent_if_small(tiles.select("node", "tile")), "node"), "sets")
-    sides = written(pairs.select("tile", "block").unionByName(
-        pairs.filter("tile < tile2").select(F.col("tile2").alias("tile"), "block")), "sides")
-    dealt = sets.join(sent_if_small(sides), "tile")
+    sets = written(picked.select("text").mapInArrow(extract, "node long, shingles binary"), "sets")
     edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -281,8 +357,10 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
         u, v = _block_links(nodes, [np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in index], similar)
         return pa.table([u, v], schema=edge)
 
-    return written(dealt.select("block", "node", "shingles").groupBy("block").applyInArrow(
-        multiply, "u long, v long"), "links")
+    found = written(sets.join(close, "node").groupBy("tile", "tile2").applyInArrow(multiply, "u long, v long"), "links")
+    for used in (chosen, close, ids, sets):
+        dropped(used)
+    return found
 
 
 def joined(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
@@ -312,10 +390,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     chosen = named.groupBy("group").agg(F.min("text_hash").alias("text_hash"), F.first("doc_id").alias("doc_id"))
     rows = named.groupBy("group", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     chosen = written(chosen.join(rows, ["group", "text_hash"]).select("doc_id", "text_hash", "n"), "chosen")
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
+    own_id, own_hash = fresh(docs, "_id"), fresh(docs, "_hash")
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
 
     def rows_of(ids: DataFrame) -> DataFrame:
-        same = keyed["_id"].eqNullSafe(ids["doc_id"]) & (keyed["_hash"] == ids["text_hash"])
+        same = keyed[own_id].eqNullSafe(ids["doc_id"]) & (keyed[own_hash] == ids["text_hash"])
         return keyed.join(ids, same, "left_semi").select(*docs.columns)
 
     lone = chosen.filter("n = 1").unionByName(
@@ -323,5 +402,5 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) ->
     kept = rows_of(lone)
     if chosen.filter("n > 1").isEmpty():
         return kept
-    repeated = rows_of(chosen.filter("n > 1")).withColumn("_hash", F.xxhash64("text"))
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    repeated = rows_of(chosen.filter("n > 1")).withColumn(own_hash, F.xxhash64("text"))
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", own_hash]).drop(own_hash))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks, values
+from stagekin.llm.common import blocks, fresh, values
 
 #: Labelled texts a language and windows of each, at most.
 LABELLED = 1500
@@ -175,5 +175,6 @@ def predicted(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], t
                 found += answer
             yield pa.array(found, kind)
 
-    found = docs.withColumn("_predicted", predict(text))
-    return found.withColumns({"lang_pred": F.col("_predicted.lang_pred"), "score": F.col("_predicted.score")}).drop("_predicted")
+    own = fresh(docs, "_predicted")
+    found = docs.withColumn(own, predict(text))
+    return found.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagekin.llm.common import fresh
+
 Rule = tuple[str, str, str]
 #: Rules in at most so many characters are sent to every task as a trie; more are joined.
 TRIE_CHARS = 8_000_000
@@ -109,8 +111,9 @@ def judged(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "a
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
     host, path = url_parts(F.col(url))
-    found = df.withColumns({"host": host, "path": path}).withColumn("_judged", look_up("host", "path"))
-    return found.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    own = fresh(df, "_judged")
+    found = df.withColumns({"host": host, "path": path}).withColumn(own, look_up("host", "path"))
+    return found.withColumns({"rule": F.col(f"{own}.rule"), "verdict": F.col(f"{own}.verdict")}).drop(own)
 
 
 def judged_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -120,6 +123,7 @@ def judged_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: s
     parsed = df.withColumns({"host": host, "path": path})
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumnsRenamed(
         {"host": "_rule_host", "path": "_rule_path"})
+    own = fresh(df, "_judged")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -128,7 +132,7 @@ def judged_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: s
              .withColumn("_rule_host", F.explode(suffixes)).withColumn("_rule_path", F.explode(prefixes)))
     rank = F.length("_rule_host").cast("long") * (1 << 32) + F.length("_rule_path")
     best = tried.join(rules, ["_rule_host", "_rule_path"]).groupBy("host", "path").agg(
-        F.max_by(F.struct(F.concat("_rule_host", "_rule_path").alias("rule"), "verdict"), rank).alias("_judged"))
+        F.max_by(F.struct(F.concat("_rule_host", "_rule_path").alias("rule"), "verdict"), rank).alias(own))
     found = parsed.drop("rule", "verdict").join(best, ["host", "path"], "left")
-    return found.withColumns({"rule": F.col("_judged.rule"),
-                              "verdict": F.coalesce("_judged.verdict", F.lit(default))}).drop("_judged")
+    return found.withColumns({"rule": F.col(f"{own}.rule"),
+                              "verdict": F.coalesce(f"{own}.verdict", F.lit(default))}).drop(own)

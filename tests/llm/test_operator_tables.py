@@ -35,14 +35,14 @@ def nothing(docs):
     return docs.limit(0)
 
 
-def plain_components(texts):
+def plain_components(texts, width=4, similar=85):
     """component_id by trying all pairs."""
     sets = []
     for _, text in texts:
         words = (text or "").lower().split()
-        sets.append({tuple(words[k:k + 4]) for k in range(max(1, len(words) - 3))} if words else set())
+        sets.append({tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
     links = [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] and sets[b]
-             and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
     root = list(range(len(texts)))
     for _ in links:
         was = list(root)
@@ -81,6 +81,36 @@ def test_jaccard_join_families(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(plain_components(rows))
 
 
+def test_jaccard_join_families_of_the_pipeline(spark):
+    """Five words and 0.80: families that share long passages with each other but link only within."""
+    rng = np.random.default_rng(8)
+    common = [f"c{j}" for j in range(60)]
+    rows = []
+    for k in range(300):
+        family = k % 12
+        words = [f"f{family}w{j}" for j in range(90)]
+        for j in rng.integers(0, 90, int(rng.integers(0, 5))):
+            words[j] = f"x{rng.integers(9)}"
+        rows.append((k, " ".join(words[:30] + common + words[30:])))
+    found = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(
+        plain_components(rows, 5, 80))
+
+
+def test_own_columns_are_kept(spark, docs):
+    """Columns of the input that have the names of inner ones."""
+    clash = docs.withColumns({n: F.lit(n) for n in ("_id", "_hash", "_judged", "_predicted", "lang_pred", "score", "url")})
+    for stage in (jaccard_join.one_of_each(clash), corpus_pipeline.known_language(spark, clash, "")):
+        rows = stage.collect()
+        assert stage.columns == clash.columns and rows
+        assert all(r[n] == n for r in rows for n in ("_id", "_hash", "_predicted", "lang_pred", "score"))
+    judged = url_filter.judged(clash, queries.URL_RULES)
+    assert {r["_judged"] for r in judged.collect()} == {"_judged"}
+    joined = url_filter.judged_by_join(clash, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string"))
+    assert {r["_judged"] for r in joined.collect()} == {"_judged"}
+    assert {r["_predicted"] for r in queries.languages(clash).collect()} == {"_predicted"}
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(0, 300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(16)
     found = components.components(edges)
@@ -246,9 +276,9 @@ def test_pipeline(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     found = {r.doc_id: r for r in corpus_pipeline.pipeline(spark, folder).collect()}
     texts = [(r.doc_id, r.text) for r in docs.collect()]
-    kept = {i for i, n, c in plain_components(texts) if i == c or not n}
+    kept = {i for i, n, c in plain_components(texts, corpus_pipeline.WORDS, corpus_pipeline.SIMILAR) if i == c or not n}
     benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    hits = decontaminate.Index(benchmark, 0.8, 3).find([t for _, t in texts])
+    hits = decontaminate.Index(benchmark, decontaminate.SIMILAR, decontaminate.REPEATS).find([t for _, t in texts])
     leaked = {i for (i, t), h in zip(texts, hits, strict=True) if h}
     exact = {i for i, t in texts if any(" ".join(b.split()) in " ".join((t or "").split()) for _, b in benchmark)}
     assert exact <= leaked
