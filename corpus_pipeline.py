@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagekin.llm import decontaminate, jaccard_join
+from stagekin.llm import decontaminate, jaccard_join, language_id
 from stagekin.llm.common import written
-from stagekin.llm.queries import byte_tokens, languages
+from stagekin.llm.queries import byte_tokens, held_out
 
 #: A document goes if it has no letters or its language's mean probability is below this.
 LEAST_SCORE = 0.35
@@ -16,8 +16,10 @@ WORDS, SIMILAR = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    kept = languages(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    """Columns of the documents pass unchanged, whatever their names are."""
+    learned = language_id.fitted(docs.filter(~held_out(docs)))
+    told = language_id.predicted(docs.select(F.struct("*").alias("row"), "text"), learned)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
