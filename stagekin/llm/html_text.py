@@ -66,6 +66,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
     """(text, path, share of its characters in links) of each block of a page."""
     found: list[tuple[str, tuple[int, ...], float]] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    opened: dict[str, int] = {}  # open elements by tag, and their buckets: the path without a walk over the stack
+    buckets: dict[int, int] = {}
     parts: list[str] = []
     linked = links = at = 0
     foreign, endless = "", set()
@@ -74,12 +76,26 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            path = tuple(sorted({b for _, own in stack for b in own}
-                                | ({_bucket("/" + stack[-1][0])} if stack else set())))
+            path = tuple(sorted(buckets.keys() | ({_bucket("/" + stack[-1][0])} if stack else set())))
             found.append((text, path, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
+    def push(tag: str, own: tuple[int, ...]) -> None:
+        stack.append((tag, own))
+        opened[tag] = opened.get(tag, 0) + 1
+        for b in own:
+            buckets[b] = buckets.get(b, 0) + 1
+
+    def pop() -> str:
+        tag, own = stack.pop()
+        opened[tag] -= 1
+        for b in own:
+            buckets[b] -= 1
+            if not buckets[b]:
+                del buckets[b]
+        return tag
+
     def add(raw: str) -> None:
         nonlocal linked
         text = html.unescape(raw)
@@ -99,10 +115,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         elif token[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in INLINE or tag in VOID or not any(t == tag for t, _ in stack):
+            if tag in INLINE or tag in VOID or not opened.get(tag):
                 continue
             flush()
-            while stack.pop()[0] != tag:
+            while pop() != tag:
                 pass
             links = 0
         elif tag in HIDDEN:
@@ -120,11 +136,11 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], float]]:
         else:
             flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
+                pop()
             if tag not in VOID:
-                stack.append((tag, (_bucket(tag), *_names(token[3]))))
+                push(tag, (_bucket(tag), *_names(token[3])))
     if at < len(page):
         add(page[at:])
     flush()

@@ -45,7 +45,7 @@ AGREEING = 3
 #: Sets that share this part of their shingles or less have too few equal keys on average.
 UNLIKE = 0.6
 #: Bytes of text for a task of the key search; shingles and documents in a tile.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 6_000_000
 TILE_SHINGLES = 100_000
 #: At most 256: a place in a tile is a byte.
 TILE_SETS = 200
@@ -172,9 +172,17 @@ def shared_keys(docs: DataFrame, width: int, similar: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = [("key", "<u8"), ("node", "<i8"), ("c", "<u2"), ("needs", "<u2")]
-        raw = [p.as_py() for rows in batches for p in rows.column(1)]
-        rows = np.frombuffer(b"".join(raw), kind)
-        del raw
+        packed = bytearray()
+        for some in batches:
+            for p in some.column(1):
+                packed += p.as_buffer()
+        rows = np.frombuffer(packed, kind)
+        order = np.argsort(rows["key"], kind="stable")
+        key = rows["key"][order]
+        more = np.zeros(len(key) + 1, bool)
+        more[1:-1] = key[1:] == key[:-1]
+        rows = rows[order[more[1:] | more[:-1]]]  # keys of a single row are most of them
+        del packed, order, key, more
         rows = rows[np.lexsort((rows["node"], rows["key"]))]
         if not len(rows):
             return

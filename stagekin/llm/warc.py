@@ -147,8 +147,11 @@ def _parse(packed: bytes, with_payload: bool) -> tuple:
             payload if with_payload else None)
 
 
-def members(stream, step: int = 1 << 20) -> Iterator[bytes]:
-    """The unpacked gzip members of a stream, one in memory at a time."""
+def members(stream, step: int = 1 << 14) -> Iterator[bytes]:
+    """The unpacked gzip members of a stream, one in memory at a time.
+
+    What follows a member in a read is copied once for it, so reads are short.
+    """
     unpack, parts = zlib.decompressobj(31), []
     while data := stream.read(step):
         while data:
