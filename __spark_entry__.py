@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,11 @@ from stagekin.functions import scalars, text, urls  # noqa: E402
 from stagekin.operators import (  # noqa: E402
     elevation, enrich, features, listing, matchup, mutate, neighbors, outcomes, percentiles, snapshots,
 )
-from stagekin.plans import jobs, parsing  # noqa: E402
-from stagekin.plans.skew import scratch_folder, spread, written  # noqa: E402
+from stagekin.plans import jobs, parsing, runs  # noqa: E402
+from stagekin.plans.skew import new_folder, spread, written  # noqa: E402
 from stagekin.sources import extract as X  # noqa: E402
 from stagekin.schemas import TABLES  # noqa: E402
-from stagekin.sources import proxy, worklist  # noqa: E402
+from stagekin.sources import proxy, store, worklist  # noqa: E402
 from stagekin.sources.tables import empty_table  # noqa: E402
 from stagekin.sources.tables import startlist as startlist_of  # noqa: E402
 from stagekin.streaming import ingest  # noqa: E402
@@ -404,23 +405,87 @@ def page_links(spark, folder):
     return found.select("race_url", "stage_no", "stage_url")
 
 
+def _dated_pages(spark, folder):
+    pages = proxy.raw_pages(spark, folder).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    return pages.select("id", "url", "html", "fetched_at", F.to_date("fetched_at").alias("fetch_date"))
+
+
 def stream_changes(spark, folder):
     """The change log computed as a stream over landed page files, one folder per fetch day.
 
     All files land at once and no file order is promised, so all that has landed is one micro-batch.
     """
-    base = f"{scratch_folder(spark)}/stagekin/stream-{os.urandom(8).hex()}"
-    pages = proxy.raw_pages(spark, folder).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    dated = pages.select("id", "url", "html", "fetched_at", F.to_date("fetched_at").alias("fetch_date"))
-    dated.write.partitionBy("fetch_date").parquet(f"{base}/landed")
+    base = new_folder(spark, "stream")
+    _dated_pages(spark, folder).write.partitionBy("fetch_date").parquet(f"{base}/landed")
     stream = ingest.page_stream(spark, f"{base}/landed")
     ingest.run_available(stream, f"{base}/checkpoint", ingest.append_changes(f"{base}/log"))
+    return store.load(spark, f"{base}/log", "raw_pages").select("id", "url", "html_sha256")
+
+
+def _landed_late(spark, folder, base):
+    """Pages of odd days, then those of even days, which are late by then."""
+    for rest in (1, 0):
+        days = _dated_pages(spark, folder).filter(F.dayofmonth("fetched_at") % 2 == rest)
+        days.write.mode("append").partitionBy("fetch_date").parquet(f"{base}/landed")
+        yield rest
+
+
+def stream_late_changes(spark, folder):
+    """The change log of two runs of a stream, the second with late fetches: compared in order of arrival."""
+    base = new_folder(spark, "stream")
+    for _ in _landed_late(spark, folder, base):
+        stream = ingest.page_stream(spark, f"{base}/landed")
+        ingest.run_available(stream, f"{base}/checkpoint", ingest.append_changes(f"{base}/log"))
+    return store.load(spark, f"{base}/log", "raw_pages").select("id", "url", "html_sha256")
+
+
+def stream_state_changes(spark, folder):
+    """The same from the state of the stream itself, which holds the last hash of each URL."""
+    base = new_folder(spark, "stream")
+    for _ in _landed_late(spark, folder, base):
+        kept = ingest.changes(ingest.page_stream(spark, f"{base}/landed"))
+        kept.writeStream.format("parquet").option("path", f"{base}/log").option(
+            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/log").select("id", "url", "html_sha256")
 
 
+def stored_log(spark, folder):
+    """Fetches of four days appended to a stored log in two commits; those of two days read back."""
+    root = new_folder(spark, "store")
+    pages = _dated_pages(spark, folder)
+    for early in (True, False):
+        runs.keep_snapshots(spark, root, pages.filter((F.dayofmonth("fetched_at") <= 2) == early))
+    found = store.load(spark, root, "raw_pages", between=(datetime(2024, 1, 2), datetime(2024, 1, 4)))
+    return found.select("id", "url", "html_sha256")
+
+
+def _ingested(spark, folder):
+    """A store after two ingests: every stage, then one in four again; cells with several parts merged."""
+    root = new_folder(spark, "store")
+    runs.ingest_stages(spark, root, _landed(spark, folder))
+    runs.ingest_stages(spark, root, _landed(spark, folder, 2).filter(F.floor(F.col("id") / 10) % 4 == 1))
+    store.compact(spark, root, "raw_pages")
+    return root
+
+
+def stored_profiles(spark, folder):
+    root = _ingested(spark, folder)
+    children = [store.load(spark, root, name).groupBy("stage_id").agg(F.count("*").alias(name))
+                for name in ("stage_climbs", "stage_results")]
+    found = store.load(spark, root, "stage_profiles").withColumnRenamed("id", "stage_id")
+    for rows in children:
+        found = found.join(rows, "stage_id", "left")
+    return found.select("pcs_url", F.col("distance_km").cast("double").alias("distance_km"), "stage_climbs", "stage_results")
+
+
+def run_counters(spark, folder):
+    found = store.load(spark, _ingested(spark, folder), "sync_runs")
+    return found.groupBy("source").agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed"))
+
+
 def _stored_snapshots(spark, rows):
     """The rows as a store of gzip files, read as a table."""
-    at = f"{scratch_folder(spark)}/stagekin/snapshots-{os.urandom(8).hex()}"
+    at = new_folder(spark, "snapshots")
     rows.write.option("compression", "gzip").json(at)
     return spark.read.schema(rows.schema).json(at)
 
@@ -501,6 +566,66 @@ def ingest_failures(spark, folder):
     return changed["sync_failures"].select("source", "url", "reason")
 
 
+def _failed(changed):
+    return changed["sync_failures"].select("source", "url", F.substring("reason", 1, 11).alias("kind"),
+                                           F.date_format("occurred_at", "yyyy-MM-dd").alias("day"))
+
+
+def refetch_profiles(spark, folder):
+    """Several fetches of a stage in one batch, good and bad ones in any order: the latest readable one counts."""
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    found = jobs.ingest_stages(spread(proxy.refetched_pages(spark, folder), "id"), tables)["stage_profiles"]
+    return found.select("pcs_url", F.col("distance_km").cast("double").alias("distance_km"))
+
+
+def refetch_failures(spark, folder):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    return _failed(jobs.ingest_stages(spread(proxy.refetched_pages(spark, folder), "id"), tables))
+
+
+def _discovered(spark, folder):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    return jobs.ingest_stages(_landed(spark, folder), tables, proxy.race_pages(spark, folder))
+
+
+def discovered_profiles(spark, folder):
+    """Stages that a readable race page links to, under the name of the race."""
+    return _discovered(spark, folder)["stage_profiles"].select("pcs_url", "race_name")
+
+
+def discovery_failures(spark, folder):
+    return _failed(_discovered(spark, folder))
+
+
+def reparse_readable(spark, folder):
+    """Two stored snapshots per page, the later one often unreadable: the latest readable one is parsed."""
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    pages = proxy.refetched_pages(spark, folder).withColumn("html_sha256", F.lit("-"))
+    usable, _ = jobs.split_challenges(pages)
+    tables["raw_pages"] = usable.select(*tables["raw_pages"].columns)
+    found = jobs.reparse_history(tables)["stage_profiles"]
+    return found.select("pcs_url", F.col("distance_km").cast("double").alias("distance_km"))
+
+
+def enrich_failures(spark, folder):
+    tables = {name: empty_table(spark, name) for name in TABLES}
+    return _failed(jobs.enrich_climbs(proxy.broken_climb_pages(spark, folder), tables, _part_races(spark, folder)))
+
+
+def _part_races(spark, folder):
+    slug = F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))
+    return proxy.table(spark, folder, "part").select(
+        slug.alias("slug"), F.lit(2024).alias("season"), F.col("p_partkey").alias("race_order"))
+
+
+def rider_records(spark, folder):
+    return parsing.rider_profiles(proxy.rider_pages(spark, folder))
+
+
+def ranking_records(spark, folder):
+    return parsing.ranking_rows(proxy.ranking_pages(spark, folder))
+
+
 def reparse_profiles(spark, folder):
     """Two stored versions per page: the later one is parsed, stored names are kept."""
     tables = _stored_tables(spark, folder)
@@ -527,11 +652,7 @@ def startlist_ingest(spark, folder):
 def enrich_job(spark, folder):
     tables = {name: empty_table(spark, name) for name in TABLES}
     tables["stage_climbs"] = proxy.stage_climbs(spark, folder)
-    slug = F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))
-    races = proxy.table(spark, folder, "part").select(
-        slug.alias("slug"), F.lit(2024).alias("season"), F.col("p_partkey").alias("race_order")
-    )
-    return jobs.enrich_climbs(proxy.climb_pages(spark, folder), tables, races)["stage_climbs"]
+    return jobs.enrich_climbs(proxy.climb_pages(spark, folder), tables, _part_races(spark, folder))["stage_climbs"]
 
 
 _QUERIES: tuple[Query, ...] = (
@@ -541,8 +662,10 @@ _QUERIES: tuple[Query, ...] = (
     upsert_profiles, upsert_children, replace_children, insert_absent, replace_slice, orphans, cascade_delete,
     dup_keys, enrich_last_wins, enrich_apply, url_meta, fingerprint, changed_snapshots, latest_snapshot, work_list,
     inline_work_list, failure_log, replay_list, label_lookup, climb_intensity, profile_json, page_fields, page_links,
-    stream_changes, snapshot_roundtrip, stored_snapshot_log, ingest_json, falsy_fallback, climb_counts, ingest_profiles, ingest_climbs, ingest_results,
-    ingest_failures, reparse_profiles, startlist_ingest, enrich_job,
+    stream_changes, stream_late_changes, stream_state_changes, snapshot_roundtrip, stored_snapshot_log, stored_log,
+    stored_profiles, run_counters, ingest_json, falsy_fallback, climb_counts, ingest_profiles, ingest_climbs, ingest_results,
+    ingest_failures, refetch_profiles, refetch_failures, discovered_profiles, discovery_failures, reparse_profiles,
+    reparse_readable, startlist_ingest, enrich_job, enrich_failures, rider_records, ranking_records,
 )
 
 
@@ -559,6 +682,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     known = queries()
     sql = dict(oracles.SQL, **dict.fromkeys(("stream_changes", "stored_snapshot_log"), oracles.SQL["changed_snapshots"]))
+    sql["stream_state_changes"] = sql["stream_late_changes"]
     if llm:
         sql |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return {name: text for name, text in sql.items() if name in known}

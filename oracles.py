@@ -344,4 +344,49 @@ select c.stage_id, c.climb_order, c.climb_url, c.category,
  case when f.size is not null then f.size * 50 else c.top_elevation_m end as top_elevation_m,
  case when f.size is not null then cast(coalesce(nullif(f.size % 3, 0), f.size) as double) else c.km_before_finish end as km_before_finish
 from v_climbs c left join facts f on f.climb_url = c.climb_url"""),
+    "stream_late_changes": _on("v_hashed", """select id, url, html_sha256 from (
+ select id, url, html_sha256, lag(html_sha256) over (partition by url order by day(fetched_at) % 2 desc, fetched_at, id) as before
+ from v_hashed) x where before is null or before <> html_sha256"""),
+    "stored_log": _on("v_log", """select id, url, html_sha256 from v_log
+where fetched_at >= timestamp '2024-01-02' and fetched_at < timestamp '2024-01-04'"""),
+    "stored_profiles": _on("v_landed", """select url as pcs_url, cast(dist + case o_orderkey % 4 when 1 then 1 else 0 end as double) as distance_km,
+ 2 as stage_climbs, 2 as stage_results from v_landed where not blocked and not blank"""),
+    "run_counters": _on("v_landed", """select 'pcs' as source, cast(sum(case when blocked or blank then 0 else n end) as bigint) as ok,
+ cast(sum(case when blocked or blank then n else 0 end) as bigint) as failed
+from (select blocked, blank, case o_orderkey % 4 when 1 then 2 else 1 end as n from v_landed) x"""),
+    "refetch_profiles": _on("v_landed", """select url as pcs_url, cast(dist + case o_orderkey % 4 when 1 then 1 else 0 end as double) as distance_km
+from v_landed where not blocked and not blank"""),
+    "refetch_failures": _on("v_landed", """select 'pcs' as source, url, case when blocked and (n = 1 or o_orderkey % 4 = 1) then 'fetch error' else 'parse error' end as kind,
+ '2024-01-0' || n as day from v_landed cross join (values (1), (2)) as v(n)
+where case when n = 1 then blocked or blank when o_orderkey % 4 = 1 then blocked or blank else o_orderkey % 4 <> 3 end"""),
+    "discovered_profiles": _on("v_landed", """select url as pcs_url, 'Race ' || o_orderkey as race_name from v_landed
+where not blocked and not blank and o_orderkey % 11 <> 0 and o_orderkey % 19 <> 0"""),
+    "discovery_failures": _on("v_landed", """select 'pcs' as source, 'race/k-' || o_orderkey || '/2024' as url,
+ case when o_orderkey % 11 = 0 then 'fetch error' else 'parse error' end as kind, '2024-01-01' as day
+from v_landed where o_orderkey % 11 = 0 or o_orderkey % 19 = 0
+union all select 'pcs', url, case when blocked then 'fetch error' else 'parse error' end, '2024-01-01'
+from v_landed where (blocked or blank) and o_orderkey % 11 <> 0 and o_orderkey % 19 <> 0"""),
+    "reparse_readable": _on("v_landed", """select url as pcs_url, cast(dist + case o_orderkey % 4 when 1 then 1 else 0 end as double) as distance_km
+from v_landed where not blocked and not blank"""),
+    "enrich_failures": """select 'enrich_climbs' as source, 'race/p-' || p_partkey || '/2024/route/climbs' as url,
+ case p_partkey % 9 when 1 then 'fetch error' else 'parse error' end as kind, '2024-01-01' as day from part where p_partkey % 9 < 2""",
+    "rider_records": """select 'rider/' || s_suppkey as pcs_url, s_name as name, (s_nationkey + 1980) || '-01-02' as birthdate,
+ case when s_suppkey % 7 <> 0 then cast(s_suppkey % 40 + 50 as double) end as weight, 1.6 + (s_suppkey % 30) / 100.0 as height,
+ 'N' || s_nationkey as nationality from supplier""",
+    "ranking_records": """select 'ranking/' || c_custkey as url, n as position, case n when 2 then '' else cast(n + 1 as varchar) end as rank,
+ cast((c_custkey + n) * 3 as varchar) as points, 'R' as rider_name, 'rider/' || (c_custkey + n) as rider_url, 'T' || c_nationkey as team_name
+from customer cross join (values (0), (1), (2)) as v(n)""",
+    "ingest_json": _on("v_landed", f"""select url as pcs_url, case when not blocked and not blank then
+ '{{"pcs_url":"' || url || '","race_name":"' || {_RACE} || '","season":' || season || ',"stage_number":"' || stage_number
+ || '","distance":' || cast(dist as decimal(6,2)) || ',"vertical_meters":' || (o_custkey % 5000)
+ || ',"profile_score":null,"profile_icon":null,"stage_type":null,"date":null,"departure":null,"arrival":null,"victory_type":"'
+ || case when o_custkey % 40 >= 20 then 'solo_or_breakaway' else 'reduced_group_sprint' end
+ || '","winner_group_size":' || case when o_custkey % 40 = 0 then 2 else 1 end
+ || ',"climbs":[{{"climb_order":1,"climb_name":"First","climb_url":"location/' || o_custkey || '","category":"HC"}},'
+ || '{{"climb_order":2,"climb_name":"Second","climb_url":"location/' || (o_custkey + 1) || '","category":null}}],"results":['
+ || '{{"rank":1,"rider_name":"A","rider_url":"rider/' || o_custkey || '","team_name":null,"status":null,"finish_time_seconds":14400}},'
+ || '{{"rank":2,"rider_name":"B","rider_url":"rider/' || (o_custkey + 1) || '","team_name":null,"status":null,"finish_time_seconds":'
+ || (14400 + o_custkey % 40) || '}},{{"rank":null,"rider_name":"C","rider_url":"rider/0","team_name":null,"status":null,"finish_time_seconds":null}}],'
+ || '"errors":["profile_score: ?"]}}' end as raw_json
+from v_landed where (not blocked and not blank) or season <= 1996"""),
 }

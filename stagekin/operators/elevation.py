@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagekin import constants as C
-from stagekin.plans.skew import HOT_ROWS, SLICES, lookup_join, row_number_within, written
+from stagekin.plans.skew import HOT_ROWS, lookup_join, row_number_within, written
 
 _LAST = 1 << 40
 
@@ -19,7 +19,7 @@ def usable_climbs(climbs: DataFrame) -> DataFrame:
 
 
 def elevation_points(
-    stages: DataFrame, climbs: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES
+    stages: DataFrame, climbs: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(stage_id, point_no, km, elevation): start, foot and summit of each climb, finish.
 
@@ -62,7 +62,7 @@ def elevation_points(
     )
     numbered = row_number_within(
         points.select("stage_id", "p.km", "p.seq", "p.elevation"), ["stage_id"], ["km", "seq"], "point_no",
-        hot_rows, slices, (lines.select("stage_id", (F.col("usable") * 2 + 2).alias("points")), "points"),
+        hot_rows, (lines.select("stage_id", (F.col("usable") * 2 + 2).alias("points")), "points"),
     )
     return numbered.select("stage_id", "point_no", "km", "elevation")
 

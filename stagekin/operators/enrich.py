@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,10 @@ def latest_facts(details: DataFrame) -> DataFrame:
 
     ``details`` has race_order and row_order. Rows without a link are left out.
     """
-    place = F.struct("race_order", "row_order")
-    return (
-        details.filter(F.coalesce(F.col("climb_url"), F.lit("")) != "")
-        .groupBy("climb_url")
-        .agg(F.max_by(F.struct(*FACTS), place).alias("facts"))
-        .select("climb_url", "facts.*")
-    )
+    # one number for both orders: a struct would need a sort aggregate
+    place = F.col("race_order").cast("decimal(19,0)") * F.lit(Decimal(2 * 10**18)) + F.col("row_order").cast("long")
+    linked = details.filter(F.coalesce(F.col("climb_url"), F.lit("")) != "")
+    return linked.groupBy("climb_url").agg(*[F.max_by(name, place).alias(name) for name in FACTS])
 
 
 def apply_facts(climbs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -37,12 +37,14 @@ def _take(name: str, source: str) -> Column:
 
 
 def upsert_profiles(
-    current: DataFrame, incoming: DataFrame, now: Column | None = None, arrival: str | None = None
+    current: DataFrame, incoming: DataFrame, now: Column | None = None, arrival: str | None = None,
+    highest: int | None = None,
 ) -> DataFrame:
     """Insert or replace on ``pcs_url``.
 
     Every data column is overwritten, null included; id and created_at stay; fetched_at and
-    updated_at become ``now``. New ids continue after the highest one in order of ``arrival``.
+    updated_at become ``now``. New ids continue after ``highest``, by default the highest one in
+    ``current``, in order of ``arrival``.
     """
     now = F.current_timestamp() if now is None else now
     kept = {"id", "created_at"}
@@ -56,7 +58,7 @@ def upsert_profiles(
     new = rows.join(current.select("pcs_url"), "pcs_url", "left_anti")
     order = F.col(arrival) if arrival else F.xxhash64("pcs_url")
     numbered = row_number_within(new.select("pcs_url", order.alias("_order")), [], ["_order", "pcs_url"], "_no")
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar() if highest is None else F.lit(highest)
     new_ids = numbered.select("pcs_url", (top + F.col("_no")).alias("_new_id"))
 
     touched = F.col("n.pcs_url").isNotNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagekin import constants as C
 from stagekin.functions.scalars import whole_percent
-from stagekin.plans.skew import HOT_ROWS, SLICES, lookup_join, running_total_within, written
+from stagekin.plans.skew import HOT_ROWS, lookup_join, ranged_total, written
 
 
 def percentile(below: Column, rows: Column) -> Column:
@@ -46,17 +46,17 @@ def radar_of(pool: DataFrame, target: int, dims: tuple[str, ...] = C.RADAR_FEATU
 
 
 def radar_all(
-    pool: DataFrame, dims: tuple[str, ...] = C.RADAR_FEATURES, hot_rows: int = HOT_ROWS, slices: int = SLICES
+    pool: DataFrame, dims: tuple[str, ...] = C.RADAR_FEATURES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Percentile and value of each axis for every stage: (id, feature, value, percentile).
 
     A global rank would run in one task. Here values are counted first, so frequent values shrink
-    to one row; the running total over distinct values is split into value slices; the result is
+    to one row; the running total over distinct values is summed by ranges of values; the result is
     joined back with the rows of frequent values salted.
     """
     values = _long(pool, ["id"], [(c, F.col(c)) for c in dims])
     counts = written(values.groupBy("feature", "value").agg(F.count("*").alias("equal")), "value_counts")
-    ranked = running_total_within(counts, ["feature"], ["value"], "equal", "below", hot_rows, slices)
+    ranked = ranged_total(counts, ["feature"], ["value"], "equal", "below")
     totals = counts.groupBy("feature").agg(F.sum("equal").alias("rows"))
     # One row per axis.
     ranked = written(ranked.join(F.broadcast(totals), "feature"), "value_ranks")

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stagekin.functions.text import with_fingerprint
+from stagekin.operators.mutate import first_wins
 from stagekin.plans.skew import HOT_ROWS, SLICES, hot_keys, sliced, written
 
 
+def fetch_order(fetched_at: str = "fetched_at", id_column: str = "id") -> Column:
+    """One number that orders fetches by time, then id, so that the latest is found by a hash aggregate.
+
+    Nulls come first. Ids lie within 2^63 of 0, times within 10^17 microseconds, so the numbers fit 38 digits.
+    """
+    micros = F.coalesce(F.unix_micros(F.col(fetched_at).cast("timestamp")), F.lit(-(10**17)))
+    step = F.lit(Decimal(2 * 10**19))
+    return micros.cast("decimal(18,0)") * step + F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
+
+
 def latest_ids(log: DataFrame) -> DataFrame:
-    """(url, id) of the latest stored snapshot per URL; an aggregate of narrow columns."""
-    return (
-        log.groupBy("url")
-        .agg(F.max(F.struct("fetched_at", "id")).alias("last"))
-        .select("url", F.col("last.id").alias("id"))
-    )
+    """(url, id) of the latest stored snapshot per URL; a hash aggregate of narrow columns."""
+    return log.groupBy("url").agg(F.max_by("id", fetch_order()).alias("id"))
+
+
+def latest_state(rows: DataFrame) -> DataFrame:
+    """url, id, fetched_at and html_sha256 of the latest fetch of each URL."""
+    own = rows.select("url", "id", "fetched_at", "html_sha256")
+    return first_wins(own.withColumn("_order", -fetch_order()), ["url"], "_order").drop("_order")
 
 
 def latest_snapshots(log: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -75,9 +90,13 @@ def _compared_in_slices(rows: DataFrame, order: list[str], hot: DataFrame, slice
     return joined.withColumn("_before", F.when(F.col("_no") == 1, F.col("_handed")).otherwise(F.col("_lag")))
 
 
+def with_hash(pages: DataFrame) -> DataFrame:
+    return pages if "html_sha256" in pages.columns else with_fingerprint(pages)
+
+
 def changed_snapshots(fetches: DataFrame, log: DataFrame | None = None, hot_rows: int = HOT_ROWS,
                       slices: int = SLICES) -> DataFrame:
     """The fetches to store, page text included. Only narrow columns are sorted."""
-    marked = fetches if "html_sha256" in fetches.columns else with_fingerprint(fetches)
+    marked = with_hash(fetches)
     kept = changed_ids(marked, log, hot_rows, slices).select("id", "html_sha256")
     return fetches.drop("html_sha256").join(kept, "id")

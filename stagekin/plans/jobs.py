@@ -7,6 +7,9 @@ changed tables; ``stagekin.sources.store.commit`` writes them as one version. Fa
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from stagekin.sources import extract as X
 from stagekin.sources.worklist import with_urls
 
 Tables = dict[str, DataFrame]
+#: Tables that are only ever added to.
+LOGS = ("raw_pages", "sync_failures", "sync_runs")
 
 
 def failure_rows(failed: DataFrame, reason: Column, source: str, now: Column | None = None) -> DataFrame:
@@ -42,21 +47,37 @@ def challenge_failures(blocked: DataFrame, source: str, now: Column | None = Non
     return failure_rows(blocked, F.lit("fetch error: challenge page returned instead of content"), source, now)
 
 
-def keep_snapshots(log: DataFrame, pages: DataFrame) -> DataFrame:
-    """The snapshot log with the fetches appended whose content changed."""
-    kept = snapshots.changed_snapshots(pages, log)
-    return mutate.append(log, kept)
-
-
 def extraction_tasks(pages: DataFrame) -> int:
     """Partitions for extraction, which is slow per byte."""
     spark = pages.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def latest_fetches(pages: DataFrame) -> DataFrame:
-    """The latest fetch per URL, partitioned for extraction."""
-    return snapshots.latest_snapshots(pages, extraction_tasks(pages))
+def read_fetches(pages: DataFrame, spec: X.Spec, label: str) -> DataFrame:
+    """Every fetch read once (``parsing.readings``), written because several outputs follow from it."""
+    spread_by = [name for name in ("url", "id") if name in pages.columns]
+    return written(parsing.readings(pages.repartition(extraction_tasks(pages), *spread_by), spec), label)
+
+
+def unreadable(found: DataFrame, source: str, now: Column | None) -> DataFrame:
+    return failure_rows(found.filter("problem is not null"), F.col("problem"), source, now)
+
+
+def appended(tables: Tables, changes: Tables) -> Tables:
+    """Next tables from changes in which the logs hold their new rows only."""
+    return {name: mutate.append(tables[name], rows) if name in LOGS else rows for name, rows in changes.items()
+            if name not in LOGS or name in tables}
+
+
+def run_counts(found: list[DataFrame], failures: DataFrame, source: str) -> DataFrame:
+    """A row a source of ``sync_runs``: fetches that could be read, and rows of the failure log."""
+    good = [f.filter("problem is null").select(F.lit(source).alias("source"), F.lit(1).alias("ok"), F.lit(0).alias("failed"))
+            for f in found]
+    bad = failures.select("source", F.lit(0).alias("ok"), F.lit(1).alias("failed"))
+    counted = reduce(DataFrame.unionByName, [*good, bad]).groupBy("source").agg(
+        F.sum("ok").alias("ok"), F.sum("failed").alias("failed"))
+    return counted.select(F.lit(uuid.uuid4().hex).alias("run"), "source", F.lit(None).cast("string").alias("batch"),
+                          "ok", "failed", F.current_timestamp().alias("finished_at"))
 
 
 def counted(df: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:
@@ -74,8 +95,9 @@ def dry_run(df: DataFrame, sample: int = 5, **tests: Column) -> tuple[dict, list
 
 
 def _upsert_parsed(parsed: DataFrame, profiles: DataFrame, results: DataFrame, tables: Tables,
-                   now: Column | None) -> Tables:
-    next_profiles = written(mutate.upsert_profiles(tables["stage_profiles"], profiles, now, "arrival"), "profiles")
+                   now: Column | None, highest: int | None = None) -> Tables:
+    upserted = mutate.upsert_profiles(tables["stage_profiles"], profiles, now, "arrival", highest)
+    next_profiles = written(upserted, "profiles")
     ids = next_profiles.select("pcs_url", F.col("id").alias("stage_id"))
     touched = parsed.select(F.col("url").alias("pcs_url")).join(ids, "pcs_url").select("stage_id")
     climbs = parsing.stage_climbs(parsed).join(ids, "pcs_url").drop("pcs_url")
@@ -87,87 +109,117 @@ def _upsert_parsed(parsed: DataFrame, profiles: DataFrame, results: DataFrame, t
     }
 
 
-def ingest_stages(
+def stage_changes(
     pages: DataFrame,
     tables: Tables,
     race_pages: DataFrame | None = None,
     spec: X.Spec = X.STAGE_PAGE,
     race_spec: X.Spec = X.RACE_PAGE,
     now: Column | None = None,
+    highest: int | None = None,
 ) -> Tables:
-    """Discover, snapshot, parse, classify and upsert; failures aside.
+    """``ingest_stages`` with only the new rows of the logs.
 
-    With ``race_pages`` only the stages they link to are taken, under the race's own name.
+    The current tables may be cut to the rows that the pages can change; ``highest`` is then the highest profile id
+    of all. ``raw_pages`` is read for the last hash of a URL only: ``page_state`` can take its place.
     """
-    race_names = None
+    race_names, failures, seen = None, [], []
     if race_pages is not None:
-        race_names = parsing.race_stages(race_pages, race_spec).select("stage_url", "race_name").distinct()
+        open_races, blocked_races = split_challenges(race_pages)
+        races = read_fetches(open_races, race_spec, "races")
+        seen.append(races)
+        listed = parsing.race_stages_of(parsing.latest_readable(races))
+        race_names = listed.select("stage_url", "race_name").distinct()
         wanted = race_names.select(F.col("stage_url").alias("url")).distinct()
         pages = pages.join(wanted, "url", "left_semi")
+        failures = [challenge_failures(blocked_races, C.DEFAULT_SOURCE, now), unreadable(races, C.DEFAULT_SOURCE, now)]
     usable, blocked = split_challenges(pages)
-    # The extraction feeds five tables: it is computed once. A page that landed twice is one page.
-    parsed = written(parsing.parse_stages(latest_fetches(usable), spec).dropDuplicates(["url"]), "parsed")
-    good, bad = parsed.filter(F.col("problem").isNull()), parsed.filter(F.col("problem").isNotNull())
+    found = read_fetches(usable, spec, "parsed")
+    good = parsing.typed_stages(parsing.latest_readable(found))
     results = parsing.stage_results(good)
     profiles = parsing.stage_profiles(good, results, race_names)
-    failures = challenge_failures(blocked, C.DEFAULT_SOURCE, now).unionByName(
-        failure_rows(bad, F.col("problem"), C.DEFAULT_SOURCE, now)
-    )
+    failures += [challenge_failures(blocked, C.DEFAULT_SOURCE, now), unreadable(found, C.DEFAULT_SOURCE, now)]
+    failed = reduce(DataFrame.unionByName, failures)
     return {
-        **_upsert_parsed(good, profiles, results, tables, now),
-        "raw_pages": keep_snapshots(tables["raw_pages"], usable),
-        "sync_failures": mutate.append(tables["sync_failures"], failures),
+        **_upsert_parsed(good, profiles, results, tables, now, highest),
+        "raw_pages": snapshots.changed_snapshots(usable, tables["raw_pages"]),
+        "sync_failures": failed,
+        "sync_runs": run_counts([*seen, found], failed, C.DEFAULT_SOURCE),
     }
 
 
-def reparse_history(tables: Tables, spec: X.Spec = X.STAGE_PAGE, now: Column | None = None) -> Tables:
-    """Runs the extraction again on the latest snapshots; stored names and numbers are kept."""
+def ingest_stages(pages: DataFrame, tables: Tables, race_pages: DataFrame | None = None, **options) -> Tables:
+    """Discover, snapshot, parse, classify and upsert; failures aside.
+
+    Every fetch is parsed: each unreadable one is logged, the latest readable one of a URL counts. With
+    ``race_pages`` only the stages they link to are taken, under the race's own name; race pages that are
+    blocked or unreadable are logged.
+    """
+    return appended(tables, stage_changes(pages, tables, race_pages, **options))
+
+
+def reparse_history(tables: Tables, **options) -> Tables:
+    """Runs the extraction again on stored snapshots; stored names and numbers are kept.
+
+    The latest snapshot of a URL is read, and where it cannot be read the earlier ones: the latest readable counts.
+    """
+    return appended(tables, reparse_changes(tables, **options))
+
+
+def reparse_changes(tables: Tables, spec: X.Spec = X.STAGE_PAGE, now: Column | None = None) -> Tables:
+    """``reparse_history`` with only the new rows of the log of failures."""
     log = tables["raw_pages"].filter(parsing.is_stage_page(F.col("url")))
-    parsed = written(parsing.parse_stages(latest_fetches(log), spec).dropDuplicates(["url"]), "reparsed")
-    good, bad = parsed.filter(F.col("problem").isNull()), parsed.filter(F.col("problem").isNotNull())
+    last = read_fetches(snapshots.latest_snapshots(log), spec, "reparsed")
+    bad = last.filter("problem is not null")
+    earlier = log.join(bad.select("url").distinct(), "url", "left_semi").join(bad.select("url", "id"), ["url", "id"], "left_anti")
+    found = last.unionByName(read_fetches(earlier, spec, "reparsed"))
+    good = parsing.typed_stages(parsing.latest_readable(found))
     results = parsing.stage_results(good)
     stored = tables["stage_profiles"].select("pcs_url", "race_name", "season", "stage_number")
     fresh = parsing.stage_profiles(good, results).drop("race_name", "season", "stage_number")
     profiles = fresh.join(stored, "pcs_url", "left")
-    failures = failure_rows(bad, F.col("problem"), C.DEFAULT_SOURCE, now)
+    failed = unreadable(found, C.DEFAULT_SOURCE, now)
     return {
         **_upsert_parsed(good, profiles, results, tables, now),
-        "sync_failures": mutate.append(tables["sync_failures"], failures),
+        "sync_failures": failed,
+        "sync_runs": run_counts([found], failed, C.DEFAULT_SOURCE),
     }
 
 
-def ingest_startlists(
+def startlist_changes(
     pages: DataFrame, tables: Tables, races: DataFrame, spec: X.Spec = X.STARTLIST_PAGE, now: Column | None = None
 ) -> Tables:
-    """Replaces the start list of every race whose page could be read, also by an empty one.
-
-    Every fetch is parsed and the latest readable one of a URL counts. A fetch that is empty or cannot be parsed
-    changes no list, is logged, and is not kept as snapshot; other fetches of its URL are kept.
-    """
+    """``ingest_startlists`` with only the new rows of the logs."""
     listed = with_urls(races).select(F.col("startlist_url").alias("url"), F.col("slug").alias("race_slug"), "season")
     wanted = pages.join(listed.select("url"), "url", "left_semi")
     usable, blocked = split_challenges(wanted)
     fetched_at = F.current_timestamp() if now is None else now
-    fetches = usable.repartition(extraction_tasks(usable), "url", "id")
-    found = written(parsing.startlists(fetches, spec), "startlists")
-    good, bad = found.filter("problem is null"), found.filter("problem is not null")
-    good = snapshots.latest_snapshots(good).dropDuplicates(["url"])
+    found = read_fetches(usable, spec, "startlists")
+    good, bad = parsing.latest_readable(found), found.filter("problem is not null")
     riders = parsing.startlist_riders(good).join(listed, "url").withColumn("fetched_at", fetched_at)
     touched = good.select("url").join(listed, "url").select("race_slug", "season")
-    failures = challenge_failures(blocked, C.STARTLIST_SOURCE, now).unionByName(
-        failure_rows(bad, F.col("problem"), C.STARTLIST_SOURCE, now)
-    )
     failed = bad.select(*[F.col(name).alias(f"_{name}") for name in parsing.FETCH])
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in parsing.FETCH]
     readable = usable.join(failed, same, "left_anti")
+    failures = challenge_failures(blocked, C.STARTLIST_SOURCE, now).unionByName(unreadable(found, C.STARTLIST_SOURCE, now))
     return {
         "race_startlists": mutate.replace_slices(tables["race_startlists"], riders, touched, "position"),
-        "raw_pages": keep_snapshots(tables["raw_pages"], readable),
-        "sync_failures": mutate.append(tables["sync_failures"], failures),
+        "raw_pages": snapshots.changed_snapshots(readable, tables["raw_pages"]),
+        "sync_failures": failures,
+        "sync_runs": run_counts([found], failures, C.STARTLIST_SOURCE),
     }
 
 
-def enrich_climbs(
+def ingest_startlists(pages: DataFrame, tables: Tables, races: DataFrame, **options) -> Tables:
+    """Replaces the start list of every race whose page could be read, also by an empty one.
+
+    Every fetch is parsed and the latest readable one of a URL counts. A fetch that is empty or cannot be parsed
+    changes no list, is logged, and is not kept as snapshot; other fetches of its URL are kept.
+    """
+    return appended(tables, startlist_changes(pages, tables, races, **options))
+
+
+def climb_changes(
     pages: DataFrame,
     tables: Tables,
     races: DataFrame,
@@ -175,19 +227,27 @@ def enrich_climbs(
     zero_is_missing: bool = True,
     now: Column | None = None,
 ) -> Tables:
-    """Climb facts of all race pages applied to every climb with the same link."""
+    """``facts`` by climb link, and the new rows of the logs."""
     order = with_urls(races).select(F.col("climbs_url").alias("url"), "race_order")
     usable, blocked = split_challenges(pages.join(order.select("url"), "url", "left_semi"))
-    details = parsing.climb_facts(latest_fetches(usable), spec, zero_is_missing).join(order, "url")
+    found = read_fetches(usable, spec, "climb-pages")
+    details = parsing.climb_facts_of(parsing.latest_readable(found), zero_is_missing).join(order, "url")
+    failures = challenge_failures(blocked, C.CLIMBS_SOURCE, now).unionByName(unreadable(found, C.CLIMBS_SOURCE, now))
     return {
-        "stage_climbs": enrich.apply_facts(tables["stage_climbs"], enrich.latest_facts(details)),
-        "raw_pages": keep_snapshots(tables["raw_pages"], usable),
-        "sync_failures": mutate.append(
-            tables["sync_failures"], challenge_failures(blocked, C.CLIMBS_SOURCE, now)
-        ),
+        "facts": enrich.latest_facts(details),
+        "raw_pages": snapshots.changed_snapshots(usable, tables["raw_pages"]),
+        "sync_failures": failures,
+        "sync_runs": run_counts([found], failures, C.CLIMBS_SOURCE),
     }
 
 
+def enrich_climbs(pages: DataFrame, tables: Tables, races: DataFrame, **options) -> Tables:
+    """Climb facts of all race pages applied to every climb with the same link; unreadable pages are logged."""
+    changes = climb_changes(pages, tables, races, **options)
+    changes["stage_climbs"] = enrich.apply_facts(tables["stage_climbs"], changes.pop("facts"))
+    return appended(tables, changes)
+
+
 def replay_list(failures: DataFrame, log: DataFrame) -> DataFrame:
     """URLs whose latest failure is not followed by a stored snapshot."""
     last = failures.groupBy("url").agg(F.max("occurred_at").alias("failed_at"))

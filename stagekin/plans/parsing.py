@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagekin import constants as C
-from stagekin.functions.scalars import falsy_or
+from stagekin.functions.scalars import falsy_or, time_to_seconds
 from stagekin.functions.urls import stage_meta
+from stagekin.operators.mutate import first_wins
 from stagekin.operators.outcomes import classify_stages, finish_gaps
+from stagekin.operators.snapshots import fetch_order
 from stagekin.sources import extract as X
 
 
@@ -16,6 +18,34 @@ from stagekin.sources import extract as X
 FETCH = ("url", "id", "fetched_at")
 
 
+def readings(pages: DataFrame, spec: X.Spec) -> DataFrame:
+    """One row per fetch: the extracted fields, and the problem of a page that is empty or cannot be parsed.
+
+    A fetch that landed twice is one; of two texts of the same fetch the one with the smaller hash counts.
+    """
+    keep = [name for name in FETCH if name in pages.columns]
+    found = X.extract(pages.withColumn("_digest", F.xxhash64("html")), spec, keep=(*keep, "_digest"))
+    return first_wins(found, keep, "_digest").drop("_digest")
+
+
+def latest_readable(found: DataFrame) -> DataFrame:
+    """The latest fetch of each URL that could be read."""
+    good = found.filter("problem is null")
+    return first_wins(good.withColumn("_order", -fetch_order()), ["url"], "_order").drop("_order")
+
+
+def typed_stages(found: DataFrame) -> DataFrame:
+    """Profile fields of extracted stage pages as numbers; climbs and results as arrays of text records.
+
+    ``_errors`` lists the fields that held a text which is no such number.
+    """
+    kinds = {"distance": "decimal(6,2)", "vertical_meters": "int", "profile_score": "int"}
+    failed = [F.when((F.trim(name) != "") & number(name, kind).isNull(), F.concat(F.lit(f"{name}: "), name))
+              for name, kind in kinds.items()]
+    with_errors = found.withColumn("_errors", F.array_compact(F.array(*failed)))
+    return with_errors.withColumns({name: number(name, kind) for name, kind in kinds.items()})
+
+
 def number(column: str, kind: str) -> Column:
     """A field that cannot be read as a number becomes null; the record survives."""
     return F.regexp_extract(column, r"[-+]?\d+(?:\.\d+)?", 0).try_cast(kind)
@@ -23,13 +53,7 @@ def number(column: str, kind: str) -> Column:
 
 def parse_stages(pages: DataFrame, spec: X.Spec = X.STAGE_PAGE) -> DataFrame:
     """One row per stage page: typed profile fields, climbs and results as arrays of text records."""
-    return X.extract(pages, spec, keep=("url", "fetched_at")).withColumns(
-        {
-            "distance": number("distance", "decimal(6,2)"),
-            "vertical_meters": number("vertical_meters", "int"),
-            "profile_score": number("profile_score", "int"),
-        }
-    )
+    return typed_stages(X.extract(pages, spec, keep=("url", "fetched_at")))
 
 
 def stage_climbs(parsed: DataFrame) -> DataFrame:
@@ -61,8 +85,8 @@ def stage_profiles(parsed: DataFrame, results: DataFrame, race_names: DataFrame
         names = race_names.groupBy("stage_url").agg(F.max("race_name").alias("_given"))
         rows = rows.join(names.withColumnRenamed("stage_url", "url"), "url", "left")
         given = F.col("_given")
-    payload = [c for c in rows.columns if c not in ("_given", "problem", "fetched_at")]
-    return rows.withColumn("meta", stage_meta(F.col("url"), given)).select(
+    meta = rows.withColumn("meta", stage_meta(F.col("url"), given))
+    return meta.select(
         F.col("url").alias("pcs_url"),
         "meta.*",
         "stage_type",
@@ -73,26 +97,43 @@ def stage_profiles(parsed: DataFrame, results: DataFrame, race_names: DataFrame
         F.coalesce(F.size("climbs"), F.lit(0)).alias("nb_climbs"),
         "victory_type",
         "winner_group_size",
-        F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}).alias("raw_json"),
+        F.to_json(record(), {"ignoreNullFields": "false"}).alias("raw_json"),
         (F.col("fetched_at") if "fetched_at" in rows.columns else F.lit(None).cast("timestamp")).alias("arrival"),
     )
 
 
+def record() -> Column:
+    """The whole record of a parsed stage with ``meta``: every field typed, climbs numbered, results ranked."""
+    def climb(c: Column, k: Column) -> Column:
+        names = ("climb_name", "climb_url", "category")
+        return F.struct((k + 1).alias("climb_order"), *[c[name].alias(name) for name in names])
+
+    def result(r: Column) -> Column:
+        names = ("rider_name", "rider_url", "team_name", "status")
+        seconds = time_to_seconds(r["time"]).cast("int")
+        return F.struct(r["rank"].try_cast("int").alias("rank"), *[r[name].alias(name) for name in names],
+                        seconds.alias("finish_time_seconds"))
+
+    return F.struct(
+        F.col("url").alias("pcs_url"), F.col("meta.race_name").alias("race_name"), F.col("meta.season").alias("season"),
+        F.col("meta.stage_number").alias("stage_number"), "distance", "vertical_meters", "profile_score", "profile_icon",
+        "stage_type", "date", "departure", "arrival", "victory_type", "winner_group_size",
+        F.transform("climbs", climb).alias("climbs"), F.transform("results", result).alias("results"),
+        F.col("_errors").alias("errors"))
+
+
 def race_stages(pages: DataFrame, spec: X.Spec = X.RACE_PAGE) -> DataFrame:
     """(race_url, race_name, stage_no, stage_url): the stages a race page links to."""
-    found = X.extract(pages, spec).select(
-        F.col("url").alias("race_url"), "race_name", F.posexplode("stage_urls").alias("pos", "stage_url")
-    )
+    return race_stages_of(X.extract(pages, spec))
+
+
+def race_stages_of(found: DataFrame) -> DataFrame:
+    found = found.select(F.col("url").alias("race_url"), "race_name", F.posexplode("stage_urls").alias("pos", "stage_url"))
     return found.filter(F.col("stage_url") != "").select(
         "race_url", "race_name", (F.col("pos") + 1).alias("stage_no"), "stage_url"
     )
 
 
-def startlists(pages: DataFrame, spec: X.Spec = X.STARTLIST_PAGE) -> DataFrame:
-    """One row per fetch: race_name, riders, and the problem of a page that is empty or cannot be parsed."""
-    return X.extract(pages, spec, keep=FETCH).dropDuplicates(list(FETCH))
-
-
 def startlist_riders(found: DataFrame) -> DataFrame:
     """(url, race_name, position, rider columns) of extracted pages; rows without a rider link are left out."""
     found = found.select("url", "race_name", F.posexplode("riders").alias("position", "r"))
@@ -110,11 +151,11 @@ def climb_facts(pages: DataFrame, spec: X.Spec = X.CLIMBS_PAGE, zero_is_missing:
 
     The distance to the finish has two spellings; a 0 in the first falls through to the second.
     """
-    rows = (
-        X.extract(pages, spec)
-        .select("url", F.posexplode("climbs").alias("row_order", "c"))
-        .select("url", "row_order", "c.*")
-    )
+    return climb_facts_of(X.extract(pages, spec), zero_is_missing)
+
+
+def climb_facts_of(found: DataFrame, zero_is_missing: bool = True) -> DataFrame:
+    rows = found.select("url", F.posexplode("climbs").alias("row_order", "c")).select("url", "row_order", "c.*")
     return rows.select(
         "url",
         "row_order",

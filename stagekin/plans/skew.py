@@ -6,9 +6,12 @@ n / hot_rows hot keys; that bound is what makes the small hot-key frames safe to
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +32,29 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; removed when the application ends."""
+    path = f"{scratch_folder(spark)}/stagekin/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@atexit.register
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    for path in _made if spark else ():
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        with contextlib.suppress(Exception):
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/stagekin/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,27 +84,45 @@ def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int)
     return hot.select(*[F.col(key).alias(f"_hot_{key}") for key in keys], F.col(count_col).alias("_hot_rows"))
 
 
-def sliced(df: DataFrame, keys: list[str], order_by: str, hot: DataFrame | None, slices: int = SLICES) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order_by: str, hot: DataFrame, slices: int = SLICES) -> DataFrame:
     """Adds ``_slice``: 0 for ordinary keys, an ascending quantile of ``order_by`` for hot ones.
 
     Equal ``order_by`` values share a slice, so order within slices plus order of slices is the
     order within the key. ``order_by`` is numeric or a time; nulls belong to the first slice.
-    With no keys the whole frame is one hot group.
     """
     steps = [i / slices for i in range(1, slices)]
     bounds = F.percentile_approx(order_by, steps, 1000).alias("_bounds")
-    if keys:
-        names = [f"_hot_{key}" for key in keys]
-        matched = df.join(F.broadcast(hot), _same_keys(df, keys, hot))
-        found = matched.groupBy(*names).agg(bounds)
-        marked = df.join(F.broadcast(found), _same_keys(df, keys, found), "left")
-    else:
-        names = []
-        marked = df.withColumn("_bounds", df.agg(bounds).scalar())
+    names = [f"_hot_{key}" for key in keys]
+    matched = df.join(F.broadcast(hot), _same_keys(df, keys, hot))
+    found = matched.groupBy(*names).agg(bounds)
+    marked = df.join(F.broadcast(found), _same_keys(df, keys, found), "left")
     position = F.size(F.filter("_bounds", lambda bound: bound < F.col(order_by)))
     return marked.withColumn("_slice", F.coalesce(F.greatest(position, F.lit(0)), F.lit(0))).drop("_bounds", *names)
 
 
+def ranged_total(df: DataFrame, keys: list[str], order_by: list[str], weight: str | None, name: str) -> DataFrame:
+    """Sum of ``weight`` (or the number) of the rows before each row of its key, by ranges of the whole order.
+
+    The rows are dealt into ranges of (keys, order), so that equal keys and very frequent first values are split by
+    the rest of the order; each range is summed by itself, and the ranges of a key hand on their totals. A key that
+    lies in several ranges has one row a range in the frame that is broadcast: at most the number of partitions.
+    ``order_by`` tells rows apart, at least up to ties that may stay together. Ascending order, nulls first.
+    """
+    order = [F.col(c).asc_nulls_first() for c in order_by]
+    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order_by)])
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "ranged")
+    amount = F.col(weight) if weight else F.lit(1)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "_range").agg(F.sum(amount).alias("_total")).select(
+        *[F.col(key).alias(f"_hot_{key}") for key in keys], F.col("_range").alias("_hot_range"),
+        F.sum("_total").over(before).alias("_before")).filter("_before <> 0")
+    within = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    test = _same_keys(dealt, keys, offsets) & (dealt["_range"] == offsets["_hot_range"])
+    own = dealt.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return own.join(F.broadcast(offsets), test, "left").withColumn(
+        name, F.col("_within") + F.coalesce(F.col("_before"), F.lit(0))).select(*df.columns, name)
+
+
 def running_total_within(
     df: DataFrame,
     keys: list[str],
@@ -90,52 +130,24 @@ def running_total_within(
     weight: str | None,
     name: str,
     hot_rows: int = HOT_ROWS,
-    slices: int = SLICES,
     counts: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` (or the number) of the rows before each row of its key.
 
-    Ascending order, nulls first. Keys with more than ``hot_rows`` rows are cut into slices whose
-    totals are added up front, so that no task sorts a whole hot group; without keys the frame is
-    one group, on all tasks. ``counts`` names rows per key and its count column where they are
-    known already; otherwise they are counted first, which reads the key columns only.
+    Ascending order, nulls first. Where a key has more than ``hot_rows`` rows, and without keys, the rows are summed
+    by ranges of the order (``ranged_total``), so that no task sorts a whole hot group. ``counts`` names rows per
+    key and its count column where they are known already; otherwise they are counted first, which reads the key
+    columns only.
     """
-
-    def totals_before(window):
-        if not weight:
-            return F.row_number().over(window) - 1
-        frame = window.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(weight).over(frame), F.lit(0))
-
-    order = [F.col(c).asc_nulls_first() for c in order_by]
-    hot = None
     if keys:
         known, count_col = counts or (df.groupBy(*keys).count(), "count")
-        hot = hot_keys(known, keys, count_col, hot_rows)
-        if hot is None:
-            return df.withColumn(name, totals_before(Window.partitionBy(*keys).orderBy(*order)))
-    # Several passes follow: the frame is computed once.
-    marked = sliced(written(df, "ordered"), keys, order_by[0], hot, slices)
-    amount = F.col(weight) if weight else F.lit(1)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    hot_part = marked.join(F.broadcast(hot), _same_keys(marked, keys, hot), "left_semi") if keys else marked
-    offsets = (
-        hot_part.groupBy(*keys, "_slice")
-        .agg(F.sum(amount).alias("_total"))
-        .select(
-            *[F.col(key).alias(f"_hot_{key}") for key in keys],
-            F.col("_slice").alias("_hot_slice"),
-            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
-        )
-    )
-    test = _same_keys(marked, keys, offsets) & (marked["_slice"] == offsets["_hot_slice"])
-    within = totals_before(Window.partitionBy(*keys, "_slice").orderBy(*order))
-    return (
-        marked.withColumn("_within", within)
-        .join(F.broadcast(offsets), test, "left")
-        .withColumn(name, F.col("_within") + F.coalesce(F.col("_before"), F.lit(0)))
-        .select(*df.columns, name)
-    )
+        if hot_keys(known, keys, count_col, hot_rows) is None:
+            window = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+            if not weight:
+                return df.withColumn(name, F.row_number().over(window) - 1)
+            frame = window.rowsBetween(Window.unboundedPreceding, -1)
+            return df.withColumn(name, F.coalesce(F.sum(weight).over(frame), F.lit(0)))
+    return ranged_total(df, keys, order_by, weight, name)
 
 
 def row_number_within(
@@ -144,11 +156,10 @@ def row_number_within(
     order_by: list[str],
     name: str,
     hot_rows: int = HOT_ROWS,
-    slices: int = SLICES,
     counts: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by keys order by order_by)`` in bounded groups."""
-    numbered = running_total_within(df, keys, order_by, None, name, hot_rows, slices, counts)
+    numbered = running_total_within(df, keys, order_by, None, name, hot_rows, counts)
     return numbered.withColumn(name, F.col(name) + 1)
 
 

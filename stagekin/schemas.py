@@ -67,13 +67,21 @@ RACE_STARTLISTS = _struct(
 
 RAW_PAGES = _struct(id=_long, url=_text, html=_text, html_sha256=_text, fetched_at=_time)
 
+#: The last kept fetch of each URL: what a new fetch is compared with, without reading the log.
+PAGE_STATE = _struct(url=_text, id=_long, fetched_at=_time, html_sha256=_text)
+
 SYNC_FAILURES = _struct(source=_text, url=_text, reason=_text, occurred_at=_time)
 
+#: What a run did: fetches that could be read and failures, by source.
+SYNC_RUNS = _struct(run=_text, source=_text, batch=_text, ok=_long, failed=_long, finished_at=_time)
+
 TABLES = {
     "stage_profiles": STAGE_PROFILES,
     "stage_climbs": STAGE_CLIMBS,
     "stage_results": STAGE_RESULTS,
     "race_startlists": RACE_STARTLISTS,
     "raw_pages": RAW_PAGES,
+    "page_state": PAGE_STATE,
     "sync_failures": SYNC_FAILURES,
+    "sync_runs": SYNC_RUNS,
 }

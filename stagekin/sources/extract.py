@@ -8,6 +8,7 @@ only; numbers, times and ordinals are native expressions on its output.
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -71,74 +72,178 @@ def _steps(path: str) -> list[tuple[str | None, frozenset[str], str | None]]:
     return steps
 
 
-def _fits(element, step) -> bool:
-    tag, classes, ident = step
-    return (tag is None or element[0] == tag) and classes <= element[1] and (ident is None or element[2] == ident)
+class _Steps:
+    """The steps of many paths as bits: one bit a step, set in ``fits`` where an element fits that step.
+
+    The state of an open element has the bits of the steps that can come next: bit j of a path stands for its first
+    j steps having been matched by the element and its ancestors, in order. A state never loses bits on the way down.
+    """
+
+    def __init__(self, paths: list[str]):
+        self.tests, self.ends, self.start = [], {}, 0
+        for path in dict.fromkeys(paths):
+            steps = _steps(path)
+            self.start |= 1 << len(self.tests)
+            self.tests += steps
+            self.ends[path] = 1 << len(self.tests) - 1
+        self.last = sum(self.ends.values())
+        self.known: dict[tuple, int] = {}
+
+    def fits(self, tag: str, classes: str, ident: str | None) -> int:
+        key = tag, classes, ident
+        mask = self.known.get(key)
+        if mask is None:
+            own = frozenset(classes.split())
+            mask = sum(1 << k for k, (t, c, i) in enumerate(self.tests)
+                       if (t is None or t == tag) and c <= own and (i is None or i == ident))
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[key] = mask
+        return mask
+
+    def below(self, state: int, mask: int) -> tuple[int, int]:
+        """The ends of the paths that an element completes, and the state of its children."""
+        hit = state & mask
+        return hit & self.last, state | (hit & ~self.last) << 1
 
 
-def _matches(stack, steps) -> bool:
-    """The last element fits the last step, and the other steps fit its ancestors in order."""
-    if len(stack) < len(steps) or not _fits(stack[-1], steps[-1]):
-        return False
-    at = 0
-    for element in stack[:-1]:
-        if at < len(steps) - 1 and _fits(element, steps[at]):
-            at += 1
-    return at == len(steps) - 1
+@dataclass(frozen=True)
+class _Plan:
+    """A specification with its paths compiled: those from the page's root, and those from a record's element.
+
+    Paths from a record's element are matched for all open records at once: a match within an inner record is one
+    within every record around it, so for each number of steps only the deepest start that has them is kept.
+    """
+
+    spec: Spec
+    outer: _Steps
+    inner: _Steps
+    lengths: dict[str, int]
+
+    @classmethod
+    def of(cls, spec: Spec) -> _Plan:
+        outer = [*(f.path for f in spec.fields), *(r.path for r in spec.records)]
+        inner = [f.path for r in spec.records for f in r.fields if f.path]
+        return cls(spec, _Steps(outer), _Steps(inner), {p: len(_steps(p)) for p in inner})
 
 
 class _Reader(HTMLParser):
-    """Walks one page and fills ``values``; open captures are closed with their element."""
+    """Walks one page and fills ``values`` in time linear in the page, however deep its elements nest.
 
-    def __init__(self, spec: Spec, paths: dict):
+    A stack element holds its tag, its state on the outer paths and the starts of the inner ones. Text is collected
+    once for all open captures; a capture is a place in it. Records that still lack a field wait in order of depth,
+    and an element that matches takes the outermost of them: each waits once.
+    """
+
+    def __init__(self, plan: _Plan):
         super().__init__(convert_charrefs=True)
-        self.spec, self.paths = spec, paths
-        self.stack: list[tuple] = []
-        self.texts: list[tuple] = []  # (depth, target dict, field, pieces)
-        self.open_rows: list[tuple] = []  # (depth, records, row)
+        self.plan, spec = plan, plan.spec
+        self.stack: list[tuple[str, int, dict]] = []
+        self.at: dict[str, list[int]] = {}  # open elements by tag
+        self.containers: list[int] = []
+        self.pieces: list[str] = []
+        self.captures: list[tuple[int, int, Field, list[dict]]] = []  # depth, first piece, field, targets
+        self.rows: list[list[tuple[int, dict]]] = [[] for _ in spec.records]  # open ones
+        self.waiting = [[deque() for _ in r.fields] for r in spec.records]
+        self.open: set[str] = set()  # fields of the page that are being captured
         self.values = {f.name: [] if f.many else None for f in spec.fields}
         self.values.update({r.name: [] for r in spec.records})
 
-    def _start_capture(self, target: dict, field: Field, attrs: dict) -> None:
-        if field.attr is not None:
-            self._put(target, field, attrs.get(field.attr))
-        elif field.many or target.get(field.name) is None:
-            if not any(t is target and f is field for _, t, f, _ in self.texts):
-                self.texts.append((len(self.stack), target, field, []))
+    def _capture(self, field: Field, targets: list[dict]) -> None:
+        self.captures.append((len(self.stack), len(self.pieces), field, targets))
 
     @staticmethod
-    def _put(target: dict, field: Field, value: str | None) -> None:
-        if value is None:
-            return
+    def _put(target: dict, field: Field, value: str) -> None:
         if field.many:
             target[field.name].append(value)
         elif target.get(field.name) is None:
             target[field.name] = value
 
+    def _page_fields(self, hit: int, named: dict) -> None:
+        for field in self.plan.spec.fields:
+            if not hit & self.plan.outer.ends[field.path]:
+                continue
+            if field.attr is not None:
+                if named.get(field.attr) is not None:
+                    self._put(self.values, field, named[field.attr])
+            elif (field.many or self.values[field.name] is None) and field.name not in self.open:
+                self.open.add(field.name)
+                self._capture(field, [self.values])
+
+    def _new_records(self, hit: int, named: dict) -> None:
+        depth = len(self.stack)
+        for k, records in enumerate(self.plan.spec.records):
+            if not hit & self.plan.outer.ends[records.path]:
+                continue
+            row = {f.name: None for f in records.fields}
+            self.values[records.name].append(row)
+            self.rows[k].append((depth, row))
+            for field, waiting in zip(records.fields, self.waiting[k], strict=True):
+                if field.path:
+                    waiting.append((depth, row))
+                elif field.attr is None:
+                    self._capture(field, [row])
+                elif named.get(field.attr) is not None:
+                    row[field.name] = named[field.attr]
+
+    def _record_fields(self, mask: int, named: dict, starts: dict) -> dict:
+        """Fills the records around the element; returns the deepest starts of the paths for its children."""
+        inner, place, after = self.plan.inner, len(self.stack) - 1, starts
+        reached = {}  # by path: a record matches if it starts at this depth or above
+        for path, n in self.plan.lengths.items():
+            own = mask // (inner.ends[path] >> n - 1) & (1 << n) - 1
+            if not own:
+                continue
+            before = starts.get(path, ())
+            if own >> n - 1:
+                deepest = min(before[n - 2], place) if n > 1 and len(before) >= n - 1 else place if n == 1 else -1
+                if deepest >= 0:
+                    reached[path] = deepest
+            if n > 1:
+                now = list(before) + [-1] * (n - 1 - len(before))
+                for j in range(n - 1):
+                    if own >> j & 1:
+                        now[j] = max(now[j], min(before[j - 1] if j and len(before) >= j else -1 if j else place, place))
+                after = {**after, path: tuple(now)}
+        for k, records in enumerate(self.plan.spec.records if reached else ()):
+            for field, waiting in zip(records.fields, self.waiting[k], strict=True):
+                deepest = reached.get(field.path, -1)
+                if deepest < 0 or not waiting or waiting[0][0] > deepest:
+                    continue
+                value = named.get(field.attr) if field.attr is not None else None
+                if field.attr is not None and value is None:
+                    continue
+                targets = []
+                while waiting and waiting[0][0] <= deepest:
+                    targets.append(waiting.popleft()[1])
+                if field.attr is None:
+                    self._capture(field, targets)
+                else:
+                    for row in targets:
+                        row[field.name] = value
+        return after
+
     def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_ITSELF:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    self._close_to(i)
-                    break
-                if self.stack[i][0] in _CONTAINERS:
-                    break
+        if tag in _CLOSES_ITSELF and self.at.get(tag):
+            last = self.at[tag][-1]
+            if not self.containers or last > self.containers[-1]:
+                self._close_to(last)
         named = {name: value or "" for name, value in attrs}
-        self.stack.append((tag, frozenset(named.get("class", "").split()), named.get("id")))
-        for records in self.spec.records:
-            if _matches(self.stack, self.paths[records.path]):
-                row = {f.name: None for f in records.fields}
-                self.values[records.name].append(row)
-                self.open_rows.append((len(self.stack), records, row))
-        for field in self.spec.fields:
-            if _matches(self.stack, self.paths[field.path]):
-                self._start_capture(self.values, field, named)
-        for depth, records, row in self.open_rows:
-            for field in records.fields:
-                inside = self.stack[depth:] if field.path else self.stack[depth - 1 : depth]
-                own = not field.path and depth == len(self.stack)
-                if own or (field.path and inside and _matches(inside, self.paths[field.path])):
-                    self._start_capture(row, field, named)
+        classes, ident = named.get("class", ""), named.get("id")
+        _, state, starts = self.stack[-1] if self.stack else ("", self.plan.outer.start, {})
+        hit, state = self.plan.outer.below(state, self.plan.outer.fits(tag, classes, ident))
+        mask = self.plan.inner.fits(tag, classes, ident)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in _CONTAINERS:
+            self.containers.append(len(self.stack))
+        self.stack.append((tag, state, starts))
+        if hit:
+            self._new_records(hit, named)
+            self._page_fields(hit, named)
+        if mask and any(self.rows):
+            after = self._record_fields(mask, named, starts)
+            if after is not starts:
+                self.stack[-1] = tag, state, after
         if tag in _VOID:
             self._close_to(len(self.stack) - 1)
 
@@ -148,26 +253,34 @@ class _Reader(HTMLParser):
             self._close_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._close_to(i)
-                return
+        if self.at.get(tag):
+            self._close_to(self.at[tag][-1])
 
     def handle_data(self, data):
-        if self.texts and self.stack and self.stack[-1][0] not in ("script", "style"):
-            for *_, pieces in self.texts:
-                pieces.append(data)
+        if self.captures and self.stack and self.stack[-1][0] not in ("script", "style"):
+            self.pieces.append(data)
 
     def _close_to(self, depth: int) -> None:
-        del self.stack[depth:]
-        still = []
-        for capture in self.texts:
-            if capture[0] > depth:
-                self._put(capture[1], capture[2], " ".join("".join(capture[3]).split()))
-            else:
-                still.append(capture)
-        self.texts = still
-        self.open_rows = [row for row in self.open_rows if row[0] <= depth]
+        while len(self.stack) > depth:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in _CONTAINERS:
+                self.containers.pop()
+        while self.captures and self.captures[-1][0] > depth:
+            _, first, field, targets = self.captures.pop()
+            text = " ".join("".join(self.pieces[first:]).split())
+            for target in targets:
+                self._put(target, field, text)
+            if targets[0] is self.values:
+                self.open.discard(field.name)
+        if not self.captures:
+            self.pieces.clear()
+        for rows, waiting in zip(self.rows, self.waiting, strict=True):
+            while rows and rows[-1][0] > depth:
+                rows.pop()
+            for some in waiting:
+                while some and some[-1][0] > depth:
+                    some.pop()
 
     def finish(self) -> dict:
         self.close()
@@ -178,13 +291,11 @@ class _Reader(HTMLParser):
 def extract(pages: DataFrame, spec: Spec, keep: tuple[str, ...] = ("url",), html: str = "html") -> DataFrame:
     """Adds the fields of ``spec`` and ``problem`` to the kept columns of each page.
 
-    A page that cannot be read has null fields and a text in ``problem``; it never ends the job.
+    A page that cannot be read to its end has a text in ``problem`` and the fields that were complete by then; it
+    never ends the job.
     """
     kept = pages.select(*keep, html)
-    paths = {f.path: _steps(f.path) for f in spec.fields}
-    for records in spec.records:
-        paths[records.path] = _steps(records.path)
-        paths.update({f.path: _steps(f.path) for f in records.fields if f.path})
+    plan = _Plan.of(spec)
     out_schema = ", ".join(
         [*[f"{c} {kept.schema[c].dataType.simpleString()}" for c in keep], spec.schema(), "problem string"]
     )
@@ -193,12 +304,12 @@ def extract(pages: DataFrame, spec: Spec, keep: tuple[str, ...] = ("url",), html
     def read(text: str | None) -> dict:
         if not text:
             return {"problem": "parse error: empty page"}
+        reader = _Reader(plan)
         try:
-            reader = _Reader(spec, paths)
             reader.feed(text)
             return reader.finish()
         except Exception as error:  # one page must not end the batch
-            return {"problem": f"parse error: {error}"}
+            return {**reader.values, "problem": f"parse error: {error}"}
 
     def run(batches):
         for batch in batches:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from stagekin.functions.urls import race_url
 from stagekin.plans.skew import row_number_within, spread
 
+#: A page that cannot be read to its end, and one that stands in place of the content.
+BROKEN, BLOCKED = "<html><body><![foo[x", "<html><body>Just a moment</body></html>"
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -158,7 +160,7 @@ def stage_pages(spark: SparkSession, folder: str, day: int = 1) -> DataFrame:
         '</td></tr><tr class="result"><td class="rank">DNF</td><td><a class="rider" href="rider/0">C</a></td></tr>',
         "</table></body></html>",
     )
-    html = F.when(key % 13 == 0, "<html><body>Just a moment</body></html>").when(key % 17 == 0, "").otherwise(page)
+    html = F.when(key % 13 == 0, BLOCKED).when(key % 17 == 0, "").otherwise(page)
     return table(spark, folder, "orders").select(
         (key * 10 + day).alias("id"),
         _text(race_url(slug, F.year("o_orderdate")), "/stage-", key).alias("url"),
@@ -201,3 +203,46 @@ def climb_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(climb(key), climb(key + 1)).alias("html"),
         F.lit("2024-01-01").cast("timestamp").alias("fetched_at"),
     )
+
+
+def refetched_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The stage pages of two days in one table: some stages are unreadable, empty or not fetched on the second."""
+    later = stage_pages(spark, folder, 2)
+    kind = F.floor(F.col("id") / 10) % 4
+    html = F.when(kind == 0, BROKEN).when(kind == 2, "").otherwise(F.col("html"))
+    return stage_pages(spark, folder, 1).unionByName(later.filter(kind != 3).withColumn("html", html))
+
+
+def race_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A race page per order with a link to its stage; some are interstitials, some cannot be read."""
+    key = F.floor(F.col("id") / 10)
+    page = _text("<h1>Race ", key, '</h1><div class="stages"><a href="', F.col("url"), '">S</a></div>')
+    return stage_pages(spark, folder).select(
+        "id", _text("race/k-", key, "/2024").alias("url"),
+        F.when(key % 11 == 0, BLOCKED).when(key % 19 == 0, BROKEN).otherwise(page).alias("html"), "fetched_at")
+
+
+def broken_climb_pages(spark: SparkSession, folder: str) -> DataFrame:
+    html = F.when(F.col("id") % 9 == 0, BROKEN).when(F.col("id") % 9 == 1, BLOCKED).otherwise(F.col("html"))
+    return climb_pages(spark, folder).withColumn("html", html)
+
+
+def rider_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A rider page per supplier; some weigh nothing readable."""
+    key = F.col("s_suppkey")
+    weight = F.when(key % 7 == 0, "?").otherwise(_text(key % 40 + 50, " kg"))
+    page = _text("<h1> ", F.col("s_name"), ' </h1><p class="birthdate">', F.col("s_nationkey") + 1980, '-01-02</p><i class="weight">',
+                 weight, '</i><i class="height">1.', key % 30 + 60, ' m</i><b class="nationality">N', F.col("s_nationkey"), "</b>")
+    return table(spark, folder, "supplier").select(_text("rider/", key).alias("url"), page.alias("html"))
+
+
+def ranking_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A ranking page per customer: two ranked riders and one without a rank."""
+    key = F.col("c_custkey")
+
+    def entry(rank, rider):
+        return _text('<p class="result"><i class="rank">', rank, '</i><a class="rider" href="rider/', rider, '">R</a><i class="team">T',
+                     F.col("c_nationkey"), '</i><i class="points">', rider * 3, "</i></p>")
+
+    page = F.concat(entry("1", key), entry("2", key + 1), entry("", key + 2))
+    return table(spark, folder, "customer").select(_text("ranking/", key).alias("url"), page.alias("html"))

@@ -6,13 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stagekin.functions.text import with_fingerprint
-from stagekin.operators.snapshots import changed_ids
-from stagekin.plans import jobs
-from stagekin.plans.skew import written
-from stagekin.sources import store
+from stagekin.plans import runs
 
 _NARROW = "id long, url string, fetched_at timestamp, html_sha256 string"
 
@@ -25,29 +22,42 @@ def page_stream(spark: SparkSession, folder: str, files_per_trigger: int | None
     return reader.parquet(folder)
 
 
-def _keep_changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Rows of one URL in one micro-batch: narrow columns, in order of fetch."""
-    rows = pd.concat(list(batches)).sort_values(["fetched_at", "id"], kind="stable")
-    last = state.get[0] if state.exists else None
-    before = rows["html_sha256"].shift(1)
-    before.iloc[0] = last
-    state.update((rows["html_sha256"].iloc[-1],))
-    kept = rows[rows["html_sha256"] != before]
-    if len(kept):
-        yield kept
+class _LastHash(StatefulProcessor):
+    """The hash of the last kept fetch of each URL, forgotten after a time without change if one is given."""
 
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
 
-def changes(pages: DataFrame) -> DataFrame:
-    """Stream of kept fetches (id, url, fetched_at, html_sha256): state is one hash per URL.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "html_sha256 string", self.keep_ms)
 
-    The page text is fingerprinted before the shuffle and does not enter it. One task holds the
-    narrow rows of a URL in one micro-batch, whose size the source sets (files per trigger); where a
-    URL may be very frequent, use ``append_changes``.
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        rows = pd.concat(list(rows)).sort_values(["fetched_at", "id"], kind="stable")
+        before = rows["html_sha256"].shift(1)
+        before.iloc[0] = self.last.get()[0] if self.last.exists() else None
+        kept = rows[rows["html_sha256"] != before]
+        if len(kept):
+            self.last.update((kept["html_sha256"].iloc[-1],))
+            yield kept[["id", "url", "fetched_at", "html_sha256"]]
+
+    def close(self) -> None:
+        pass
+
+
+def changes(pages: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Stream of kept fetches (id, url, fetched_at, html_sha256): state is one hash per URL, in RocksDB.
+
+    No log is read. Fetches are compared in order of time within a micro-batch, and in order of arrival across
+    them. The page text is fingerprinted before the shuffle and does not enter it. One task holds the narrow rows
+    of a URL in one micro-batch, whose size the source sets (files per trigger); where a URL may be very frequent,
+    use ``append_changes``. ``keep_ms``: a URL without a change for so long starts anew.
     """
+    pages.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     narrow = with_fingerprint(pages).select("id", "url", "fetched_at", "html_sha256")
-    return narrow.groupBy("url").applyInPandasWithState(
-        _keep_changes, _NARROW, "last string", "append", "NoTimeout"
-    )
+    return narrow.groupBy("url").transformWithStateInPandas(
+        _LastHash(keep_ms), _NARROW, "append", "ProcessingTime" if keep_ms else "None")
 
 
 def run_available(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -56,42 +66,25 @@ def run_available(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, i
     query.start().awaitTermination()
 
 
-def upsert_stages(root: str, **job_options) -> Callable[[DataFrame, int], None]:
+def upsert_stages(root: str, stream: str = "stages", **job_options) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler: stage pages into profiles, climbs, results, snapshots and failures.
 
-    A repeated batch gives the same tables: unchanged snapshots are not stored again, the upserts
-    are keyed, and failures already logged for a fetch are left out.
+    The number of the batch is stored with its version under ``stream``: a repeated batch changes nothing. Only
+    cells with a page of the batch are rewritten.
     """
-    names = ("stage_profiles", "stage_climbs", "stage_results", "raw_pages", "sync_failures")
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        tables = {name: store.load(spark, root, name) for name in names}
-        changed = jobs.ingest_stages(batch, tables, **job_options)
-        # a failure is one fetch: the same page failing on another day is logged again
-        fetch = ["source", "url", "reason", "occurred_at"]
-        logged = tables["sync_failures"].select(*fetch)
-        fresh = changed["sync_failures"].join(logged, fetch, "left_anti").dropDuplicates(fetch)
-        changed["sync_failures"] = tables["sync_failures"].unionByName(fresh.select(*tables["sync_failures"].columns))
-        store.commit(spark, root, changed)
+        runs.ingest_stages(batch.sparkSession, root, batch, batch=(stream, batch_id), **job_options)
 
     return handle
 
 
-def append_changes(folder: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: the kept fetches of each micro-batch, as one folder of the log.
+def append_changes(root: str, stream: str = "snapshots") -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler: the kept fetches of each micro-batch, added to the log of the store below ``root``.
 
-    The log itself is the state, so frequent URLs are split as in a batch job, and a repeated
-    micro-batch replaces its own folder.
+    What a fetch is compared with comes from the cells of ``page_state`` that hold a URL of the batch, so the log is
+    not read. Frequent URLs are split as in a batch job; a repeated micro-batch changes nothing.
     """
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fetched = written(with_fingerprint(batch).select("id", "url", "fetched_at", "html_sha256"), "fetched")
-        log = None
-        if store.exists(spark, folder):
-            log = spark.read.schema(f"{_NARROW}, batch long").parquet(folder).filter(F.col("batch") < batch_id)
-            log = log.join(fetched.select("url").distinct(), "url", "left_semi")
-        changed_ids(fetched, log).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        runs.keep_snapshots(batch.sparkSession, root, batch, (stream, batch_id))
 
     return handle

@@ -71,7 +71,7 @@ def pool(spark, values):
 def test_percentiles(spark, hot_rows):
     values = [1, 2, 2, 3] + [7] * 8
     df = pool(spark, values)
-    found = {(r.id, r.feature): r.percentile for r in percentiles.radar_all(df, ("a", "b"), hot_rows, 3).collect()}
+    found = {(r.id, r.feature): r.percentile for r in percentiles.radar_all(df, ("a", "b"), hot_rows).collect()}
     n = len(values)
     for i, v in enumerate(values):
         expected = int(sum(x < v for x in values) / (n - 1) * 100 + 0.5)
@@ -102,7 +102,7 @@ def test_elevation(spark, hot_rows):
     climbs = spark.createDataFrame(
         [(1, 1, 1000, 10.0, 20.0), (2, 1, 0, 10.0, 20.0), (4, 1, 500, 10.0, 45.0), (4, 2, 800, 5.0, 0.0)], CLIMBS
     )
-    points = elevation.elevation_points(stages, climbs, hot_rows, 3)
+    points = elevation.elevation_points(stages, climbs, hot_rows)
     found = {}
     for r in points.orderBy("stage_id", "point_no").collect():
         found.setdefault(r.stage_id, []).append((r.km, round(r.elevation, 6)))

@@ -183,7 +183,7 @@ def test_repeated_micro_batch_changes_nothing(spark, tmp_path):
     handle(first, 0)
     handle(second, 1)
     handle(second, 1)
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [1, 2, 4]
+    assert sorted(r.id for r in store.load(spark, f"{tmp_path}/log", "raw_pages").collect()) == [1, 2, 4]
 
 
 def test_stream_upsert_is_repeatable(spark, tmp_path):

@@ -18,7 +18,7 @@ def hot_rows(seed, n=400):
 def test_row_number_within_is_exact(spark, keys, limit):
     rows = hot_rows(1)
     df = spark.createDataFrame(rows, "k string, v int, i int")
-    found = {r.i: r.no for r in skew.row_number_within(df, keys, ["v", "i"], "no", limit, 7).collect()}
+    found = {r.i: r.no for r in skew.row_number_within(df, keys, ["v", "i"], "no", limit).collect()}
     groups = {}
     for k, v, i in rows:
         groups.setdefault(k if keys else "", []).append((v, i))
@@ -29,14 +29,14 @@ def test_row_number_within_is_exact(spark, keys, limit):
 def test_running_total_of_weights(spark):
     rows = hot_rows(2)
     df = spark.createDataFrame([(k, v, i, i % 5) for k, v, i in rows], "k string, v int, i int, w int")
-    found = {r.i: r.s for r in skew.running_total_within(df, ["k"], ["v", "i"], "w", "s", 10, 9).collect()}
+    found = {r.i: r.s for r in skew.running_total_within(df, ["k"], ["v", "i"], "w", "s", 10).collect()}
     for k, v, i in rows:
         assert found[i] == sum(j % 5 for kk, vv, j in rows if kk == k and (vv, j) < (v, i))
 
 
 def test_slices_with_nulls_first(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", None, 3), ("a", 1, 4)], "k string, v int, i int")
-    found = {r.i: r.no for r in skew.row_number_within(df, ["k"], ["v", "i"], "no", 1, 3).collect()}
+    found = {r.i: r.no for r in skew.row_number_within(df, ["k"], ["v", "i"], "no", 1).collect()}
     assert found == {1: 1, 3: 2, 4: 3, 2: 4}
 
 
