@@ -85,6 +85,18 @@ def sent_if_small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
     return sent
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs run inside send texts to Python workers in batches of so many rows, which both sides hold in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import batch, blocks, dropped, fresh, sent_if_small, text_bytes, values, written
+from stagekin.llm.common import batch, blocks, dropped, fresh, sent_if_small, short_batches, text_bytes, values, written
 from stagekin.llm.components import components, smallest_reachable
 from stagekin.llm.shingles import U, mix, shingle_sets
 
@@ -50,7 +50,7 @@ TILE_SHINGLES = 100_000
 #: At most 256: a place in a tile is a byte.
 TILE_SETS = 200
 #: Products of the sparse matrices held at a time.
-PRODUCTS = 1_000_000
+PRODUCTS = 500_000
 KEYS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 SHARED = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size_class", pa.int32()), ("needs", pa.int32())])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -379,10 +379,13 @@ def joined(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataF
     doc_id is never the smallest of a component that has others. Repeated rows have equal sets and share a
     component.
     """
-    sizes = written(set_sizes(docs, width), "set-sizes")
-    edges = links(docs, sizes, width, similar)
+    with short_batches(docs.sparkSession):
+        sizes = written(set_sizes(docs, width), "set-sizes")
+        edges = links(docs, sizes, width, similar)
+        connected = components(edges)
+    dropped(edges)
     least = sizes.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("m"))
-    rooted = least.join(components(edges).withColumnRenamed("component", "group"), "node", "left").select(
+    rooted = least.join(connected.withColumnRenamed("component", "group"), "node", "left").select(
         "node", "m", F.coalesce("group", "node").alias("group"))
     named = rooted.join(rooted.groupBy("group").agg(F.min("m").alias("c")), "group").select("node", "group", "c")
     component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))

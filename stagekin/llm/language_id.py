@@ -139,7 +139,9 @@ def fitted(labelled: DataFrame, seed: int = 11) -> tuple[list[str], dict[str, np
     # of a long text a few stretches are enough to learn from
     pieces = F.array(*[F.substring("text", F.greatest(F.lit(1), (F.length("text") * k / WINDOWS_EACH).cast("int")), WINDOW)
                        for k in range(WINDOWS_EACH)])
-    taken = drawn.select("lang", pieces.alias("pieces")).limit(2 * LABELLED * len(langs)).collect()
+    # a very frequent text can be drawn more often than wanted: the same rows are left in every run
+    ordered = drawn.orderBy(F.xxhash64("text", F.lit(seed)), "lang")
+    taken = ordered.select("lang", pieces.alias("pieces")).limit(2 * LABELLED * len(langs)).collect()
     known = [(langs.index(r["lang"]), p) for r in sorted(taken) for p in set(r["pieces"]) if has_letter(p)]
     data = [(c, *row) for c, p in known for row in [(p.encode("utf-8")[:WINDOW].ljust(WINDOW, b"\0"),)]]
     if not data:
