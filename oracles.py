@@ -371,7 +371,7 @@ from v_landed where not blocked and not blank"""),
     "enrich_failures": """select 'enrich_climbs' as source, 'race/p-' || p_partkey || '/2024/route/climbs' as url,
  case p_partkey % 9 when 1 then 'fetch error' else 'parse error' end as kind, '2024-01-01' as day from part where p_partkey % 9 < 2""",
     "rider_records": """select 'rider/' || s_suppkey as pcs_url, s_name as name, (s_nationkey + 1980) || '-01-02' as birthdate,
- case when s_suppkey % 7 <> 0 then cast(s_suppkey % 40 + 50 as double) end as weight, 1.6 + (s_suppkey % 30) / 100.0 as height,
+ case when s_suppkey % 7 <> 0 then cast(s_suppkey % 40 + 50 as double) end as weight, cast('1.' || (s_suppkey % 30 + 60) as double) as height,
  'N' || s_nationkey as nationality from supplier""",
     "ranking_records": """select 'ranking/' || c_custkey as url, n as position, case n when 2 then '' else cast(n + 1 as varchar) end as rank,
  cast((c_custkey + n) * 3 as varchar) as points, 'R' as rider_name, 'rider/' || (c_custkey + n) as rider_url, 'T' || c_nationkey as team_name

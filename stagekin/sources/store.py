@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from stagekin.schemas import TABLES
 from stagekin.sources.tables import empty_table
 
-#: Buckets of a keyed table that is written for the first time.
-BUCKETS = 64
+#: Buckets of a keyed table that is written for the first time; ``deal`` gives a grown table more.
+BUCKETS = 16
 
 
 @dataclass(frozen=True)
@@ -94,13 +94,15 @@ class Table:
 class Change:
     """Rows to add to a table in place of all rows of the cells ``replaces`` (None: of every cell).
 
-    ``whole``: the rows depend on all of the table, for instance on its highest id.
+    ``whole``: the rows depend on all of the table, for instance on its highest id. ``buckets``: their new number,
+    if every cell is replaced.
     """
 
     name: str
     rows: DataFrame
     replaces: set[str] | None = field(default_factory=set)
     whole: bool = False
+    buckets: int | None = None
 
 
 @dataclass(frozen=True)
@@ -234,9 +236,9 @@ def _claimed(after: Snapshot) -> bool:
 def _write(base: Snapshot, change: Change, segment: str) -> tuple[Part, ...]:
     """Writes the rows of a change as a new segment: its parts."""
     spark, name = base.spark, change.name
-    layout, table = LAYOUTS[name], base.table(name)
+    layout, buckets = LAYOUTS[name], change.buckets or base.table(name).buckets
     rows = change.rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]])
-    cell = F.to_date(layout.by[0]) if layout.daily else _bucket(layout.by, table.buckets)
+    cell = F.to_date(layout.by[0]) if layout.daily else _bucket(layout.by, buckets)
     folders = [*layout.folders, layout.cell]
     # Rebalancing gives files of even size: it merges small ones and splits a hot partition.
     rows = rows.withColumn(layout.cell, cell).hint("rebalance", *folders)
@@ -256,7 +258,7 @@ def _merged(base: Snapshot, changes: list[Change], added: list[tuple[Part, ...]]
     for change, parts in zip(changes, added, strict=True):
         before = replace(base.table(change.name), parts=tables.get(change.name, Table()).parts)
         kept = () if change.replaces is None else tuple(p for p in before.parts if p.cell not in change.replaces)
-        tables[change.name] = replace(before, parts=kept + parts)
+        tables[change.name] = Table(change.buckets or before.buckets, kept + parts)
     return tables
 
 
@@ -380,6 +382,11 @@ def compact(spark: SparkSession, root: str, name: str, least_parts: int = 2) ->
     return transact(spark, root, build)
 
 
+def deal(spark: SparkSession, root: str, name: str, buckets: int) -> int:
+    """Deals a keyed table into another number of buckets; rows stay as they are."""
+    return transact(spark, root, lambda base: [Change(name, base.load(name), None, buckets=buckets)])
+
+
 def vacuum(spark: SparkSession, root: str, versions: int = 10, hours: float = 24) -> int:
     """Deletes segments that none of the newest ``versions`` names and older version files; the number of both.
 

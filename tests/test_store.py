@@ -166,6 +166,18 @@ def test_compaction_keeps_rows_and_vacuum_removes_what_nobody_names(spark, tmp_p
     assert len(stored(spark, root, "raw_pages", "id")) == 6
 
 
+def test_a_grown_table_gets_more_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    rows = climbs(spark, [(k, 1, "c") for k in range(200)])
+    store.commit(spark, root, {"stage_profiles": profiles(spark, [(k, f"u{k}", 2024) for k in range(200)]), "stage_climbs": rows})
+    store.deal(spark, root, "stage_climbs", 40)
+    table = store.snapshot(spark, root).table("stage_climbs")
+    assert table.buckets == 40 and len(table.parts) == 40 and store.load(spark, root, "stage_climbs").count() == 200
+    keys = spark.createDataFrame([(7,)], "stage_id int")
+    cells = store.snapshot(spark, root).cells("stage_climbs", keys)
+    assert [r.stage_id for r in store.snapshot(spark, root).load("stage_climbs", cells).filter("stage_id = 7").collect()] == [7]
+
+
 def test_dry_run_and_single_item(spark, tmp_path):
     root = str(tmp_path)
     landed = pages(spark, [(k, f"race/a/2024/stage-{k}", STAGE.format(k, "k"), 1) for k in (1, 2)])
