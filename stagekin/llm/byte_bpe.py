@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks, slices, worker_cache
+from stagekin.llm.common import blocks, fresh, slices, worker_cache
 
 #: Matches that a worker remembers; emptied when there are more.
 REMEMBERED = 250_000
@@ -249,6 +249,27 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return df.withColumn(ids, encode(text))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+               out: str = "decoded") -> DataFrame:
+    """``df`` with the ids of each whole text and the bytes decoded from these ids, by one Python worker a task."""
+    raw = _sent(df, path)
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.binary())])
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def both(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder, back = _kept(Codec, raw.value, pattern), _kept(Decoder, raw.value)
+        for texts in parts:
+            for few in slices(texts, 200):
+                coded = list(coder.encode(few.to_pylist()))
+                yield pa.StructArray.from_arrays(
+                    [pa.array(coded, pa.binary()), pa.array(map(back.decode, coded), pa.binary(), size=len(coded))],
+                    fields=list(kind))
+
+    own = fresh(df, "_coded")
+    found = df.withColumn(own, both(text))
+    return found.withColumns({ids: F.col(f"{own}.ids"), out: F.col(f"{own}.decoded")}).drop(own)
+
+
 def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for."""
     raw = _sent(df, path)

@@ -64,8 +64,7 @@ def byte_tokens(docs: DataFrame) -> DataFrame:
     """``docs`` with ids and the bytes decoded from them."""
     import public_tokenizers
 
-    path = vocabulary(BYTE_FILE)
-    return byte_bpe.decoded(byte_bpe.encoded(docs, path, public_tokenizers.PATTERN), path)
+    return byte_bpe.round_trip(docs, vocabulary(BYTE_FILE), public_tokenizers.PATTERN)
 
 
 def op6_byte_bpe(spark, folder):
