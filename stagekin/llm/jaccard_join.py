@@ -335,7 +335,8 @@ def links(docs: DataFrame, sizes: DataFrame, width: int = WIDTH, similar: int =
     """Edges (u, v) that connect all linked nodes; ``sizes``: the rows of ``set_sizes``."""
     shared = _enough(_enough(shared_keys(docs, width, similar)))
     stars = shared.join(shared.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v")
-    groups = components(stars)
+    # most keys of a set have the same smallest node: told once, not once a key and partition
+    groups = components(stars.distinct())
     reps = sizes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     chosen = written(groups.join(reps, "node").select("node", "component", "n", "doc_id"), "candidates")
     tiles = _tiles(chosen.select("node", "component", "n"))
