@@ -11,8 +11,12 @@ component of the deviation along w, for a the angle of ``similar``, and never mo
 allowed for whatever the data: no link is missed. (``spreads`` allows for less, so many times 1/sqrt(d), the
 spread of that component where the deviations are alike in all d directions; fewer comparisons, but not exact.)
 
-Cells are dealt into tiles and pairs of tiles, so a cell of any size is many bounded tasks; a task
-emits counts per vector and a spanning forest of its links, not the links.
+Cells are dealt, in order of the angle to their centre, into tiles bounded by vectors and bytes. The angles
+of two linked vectors to any third differ by a at most, so two tiles meet only if their ranges of angles are
+that close, and a vector probes only the tiles of another cell that its own angle to that centre allows. A
+cell of any size is many bounded tasks; a task emits counts per vector and a spanning forest of its links,
+not the links. Where vectors lie in all directions alike, neither bound excludes much: the work of a label
+then grows with the square of its distinct vectors, in blocks of two tiles.
 """
 
 from __future__ import annotations
@@ -25,16 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import batch, written
+from stagekin.llm.common import batch, dropped, sent_if_small, written
 from stagekin.llm.components import components, smallest_reachable
 
 SIMILAR = 0.93
 SAMPLE = 20_000
 SPREADS = math.inf
-#: Vectors aimed at for a cell, centres at most (they go to every task), vectors a tile and probes a block.
+#: Vectors aimed at for a cell, centres at most (they go to every task), vectors a tile and probes a block, bytes a tile.
 CELL = 500
 CENTRES = 4096
-TILE = 250
+TILE = 1000
+TILE_BYTES = 4_000_000
+#: Rounding allowed for in angles.
+SLACK = 1e-6
+#: A node with more than one row in so many of the table is looked up without a shuffle; there are no more such nodes.
+HEAVY = 1000
 NODE = "node long, label long, weight long, vector binary"
 
 
@@ -85,12 +94,13 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cells(nodes: DataFrame, similar: float, spreads: float) -> DataFrame:
-    """nodes with ``cell``, ``near`` (cosine with its centre) and ``probes``, further cells to look in."""
+    """nodes with ``cell``, ``angle`` to its centre, ``probes`` (further cells to look in) and ``angles`` to theirs."""
     stats = nodes.groupBy(F.octet_length("vector").alias("bytes")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
     common = stats.orderBy(F.desc("n"), "bytes").first()
     if common is None:
-        return nodes.selectExpr("*", "0 as cell", "0D as near", "cast(array() as array<int>) as probes")
+        return nodes.selectExpr("*", "0 as cell", "0D as angle", "cast(array() as array<int>) as probes",
+                                "cast(array() as array<double>) as angles")
     width = common["bytes"]
     k = max(1, min(CENTRES, math.ceil(common["n"] / (common["labels"] * CELL))))
     same = nodes.filter(F.octet_length("vector") == width)
@@ -104,7 +114,8 @@ def _cells(nodes: DataFrame, similar: float, spreads: float) -> DataFrame:
     sine = math.sqrt(1 - similar * similar)
     reach = min(sine, sine / similar * spreads / math.sqrt(dims)) + 1e-9
     schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary()),
-                        ("cell", pa.int32()), ("near", pa.float64()), ("probes", pa.list_(pa.int32()))])
+                        ("cell", pa.int32()), ("angle", pa.float64()), ("probes", pa.list_(pa.int32())),
+                        ("angles", pa.list_(pa.float64()))])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle = sent.value
@@ -112,22 +123,23 @@ def _cells(nodes: DataFrame, similar: float, spreads: float) -> DataFrame:
         for rows in batches:
             raw = [v.as_py() for v in rows.column("vector")]
             cell = np.full(len(raw), -1, np.int32)  # vectors of another length are a cell of their own
-            near, probes = np.zeros(len(raw)), [[] for _ in raw]
+            angle, probes, angles = np.zeros(len(raw)), [[] for _ in raw], [[] for _ in raw]
             fits = np.flatnonzero([len(v) == width for v in raw])
             for part in np.array_split(fits, -(-len(fits) // 1000)) if len(fits) else ():
                 unit = _unit(np.frombuffer(b"".join([raw[i] for i in part]), np.float64).reshape(len(part), -1))
                 cosine = unit @ middle.T
                 home = cosine.argmax(1)
                 best = cosine[np.arange(len(part)), home]
-                cell[part], near[part] = home, best
+                turn = np.arccos(np.clip(cosine, -1, 1))
+                cell[part], angle[part] = home, turn[np.arange(len(part)), home]
                 far = (best[:, None] - cosine) <= reach * apart[home]
                 far &= np.arange(k) > home[:, None]
-                for i, row in zip(part, far, strict=True):
-                    probes[i] = np.flatnonzero(row).tolist()
-            yield batch(schema, *rows.columns, cell, near, probes)
+                for i, row, to in zip(part, far, turn, strict=True):
+                    probes[i], angles[i] = np.flatnonzero(row), to[row]
+            yield batch(schema, *rows.columns, cell, angle, probes, angles)
 
     return nodes.select("node", "label", "weight", "vector").mapInArrow(
-        assign, NODE + ", cell int, near double, probes array<int>")
+        assign, NODE + ", cell int, angle double, probes array<int>, angles array<double>")
 
 
 def _compare(similar: float):
@@ -152,7 +164,7 @@ def _compare(similar: float):
             linked = one @ two.T >= similar
             if within:
                 np.fill_diagonal(linked, False)
-            i, j = np.nonzero(linked)
+            i, j = np.nonzero(np.triu(linked) if within else linked)
             us.append(ids[a[i]])
             vs.append(ids[b[j]])
             node.append(ids[a])
@@ -175,51 +187,63 @@ def _compare(similar: float):
 
 
 def _tiled(cells: DataFrame) -> DataFrame:
-    """Cells with a tile: neighbours by label, cell and cosine with the centre, at most ``TILE`` vectors each."""
-    parts = max(1, math.ceil(cells.count() / (8 * TILE)))
-    order = ("label", "cell", "near", "node")
+    """Cells with a tile: neighbours by label, cell and angle to the centre, at most ``TILE`` vectors each and, beyond
+    one vector, ``TILE_BYTES``."""
+    most, most_bytes = TILE, TILE_BYTES
+    parts = max(1, math.ceil(cells.count() / (8 * most)))
+    order = ("label", "cell", "angle", "node")
     schema = pa.schema([("node", pa.int64()), ("tile", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tile, size, last = TaskContext.get().partitionId() << 32, 0, None
+        tile, size, held, last = TaskContext.get().partitionId() << 32, 0, 0, None
         for rows in batches:
             found = []
-            for key in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
-                if size >= TILE or last is not None and key != last:
-                    tile, size = tile + 1, 0
-                size, last = size + 1, key
+            for *key, width in zip(*(rows.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if size and (size >= most or held + width > most_bytes or key != last):
+                    tile, size, held = tile + 1, 0, 0
+                size, held, last = size + 1, held + width, key
                 found.append(tile)
             yield batch(schema, rows.column(0), found)
 
-    dealt = cells.select("node", "label", "cell", "near").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    tiles = dealt.select("node", "label", "cell").mapInArrow(deal, "node long, tile long")
+    dealt = cells.select("node", "label", "cell", "angle", F.octet_length("vector").alias("bytes"))
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    tiles = dealt.select("node", "label", "cell", "bytes").mapInArrow(deal, "node long, tile long")
     return cells.join(tiles, "node")
 
 
 def neighbours(nodes: DataFrame, similar: float = SIMILAR, spreads: float = SPREADS) -> DataFrame:
     """Rows (node, other, n): counts of linked vectors where ``other`` is null, else spanning edges."""
-    cells = written(_tiled(written(_cells(nodes, similar, spreads), "cells")), "tiles")
-    tiles = written(cells.select("label", "cell", "tile").distinct(), "tile-list")
-    second = tiles.withColumnRenamed("tile", "tile2")
-    pairs = tiles.join(second, ["label", "cell"]).filter("tile <= tile2").select(
+    turn = math.acos(similar) + SLACK
+    placed = written(_cells(nodes, similar, spreads), "cells")
+    cells = written(_tiled(placed), "tiles")
+    dropped(placed)
+    tiles = sent_if_small(written(cells.groupBy("label", "cell", "tile").agg(
+        F.min("angle").alias("low"), F.max("angle").alias("high")), "tile-list"))
+    second = tiles.withColumnsRenamed({"tile": "tile2", "low": "low2", "high": "high2"})
+    meet = (F.col("low2") - F.col("high") <= turn) & (F.col("low") - F.col("high2") <= turn)
+    pairs = tiles.join(second, ["label", "cell"]).filter((F.col("tile") <= F.col("tile2")) & meet).select(
         F.xxhash64("tile", "tile2", F.lit("pair")).alias("block"), "tile", "tile2")
-    # what other cells send to a cell, in blocks of bounded size for each of its tiles
-    sent = cells.select("node", "label", F.explode("probes").alias("cell"))
-    loads = sent.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
-    targets = tiles.join(loads, ["label", "cell"])
+    # what vectors of other cells probe of a tile, in blocks of bounded size
+    sent = cells.select("node", "label", F.explode(F.arrays_zip("probes", "angles")).alias("to")).select(
+        "node", "label", F.col("to.probes").alias("cell"), F.col("to.angles").alias("angle"))
+    reached = (F.col("angle") >= F.col("low") - turn) & (F.col("angle") <= F.col("high") + turn)
+    hits = written(sent.join(tiles, ["label", "cell"]).filter(reached).select("node", "tile"), "hits")
+    loads = sent_if_small(written(hits.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks")), "loads"))
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks"))
     block = F.xxhash64("tile", "chunk", F.lit("probe")).alias("block")
-    probes = sent.join(targets, ["label", "cell"]).withColumn("chunk", chunk).select(block, "node", F.lit(1).alias("side"))
-    receivers = targets.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    member = cells.select("node", "tile")
+    probes = hits.join(loads, "tile").withColumn("chunk", chunk).select(block, "node", F.lit(1).alias("side"))
+    receivers = loads.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     firsts = pairs.select("block", "tile", F.lit(0).alias("side")).unionByName(
         pairs.filter("tile < tile2").select("block", F.col("tile2").alias("tile"), F.lit(1).alias("side"))).unionByName(
         receivers.select(block, "tile", F.lit(0).alias("side")))
-    dealt = firsts.join(member, "tile").select("block", "node", "side").unionByName(probes.select("block", "node", "side"))
+    dealt = firsts.join(cells.select("node", "tile"), "tile").select("block", "node", "side").unionByName(probes)
     full = dealt.join(cells.select("node", "weight", "vector"), "node")
-    return written(full.groupBy("block").applyInArrow(_compare(similar), "node long, other long, n long"), "neighbours")
+    found = written(full.groupBy("block").applyInArrow(_compare(similar), "node long, other long, n long"), "neighbours")
+    for used in (cells, tiles, hits, loads):
+        dropped(used)
+    return found
 
 
 def deduplicated(vectors: DataFrame, similar: float = SIMILAR, spreads: float = SPREADS) -> DataFrame:
@@ -237,9 +261,17 @@ def deduplicated(vectors: DataFrame, similar: float = SIMILAR, spreads: float =
     rooted = least.join(roots.withColumnRenamed("component", "root"), "node", "left").select(
         "node", "m", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("m").alias("c")), "root")
-    known = nodes.select("node", "weight").join(counts, "node", "left").join(named, "node").select(
-        "node", "c", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
+    known = written(nodes.select("node", "weight").join(counts, "node", "left").join(named, "node").select(
+        "node", "weight", "c", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links")), "known")
+    # rows that link with nothing need no lookup; those of the few very frequent vectors get it without a shuffle
+    alone = rows.filter("node is null").select("*", F.lit(None).cast("long").alias("c"), F.lit(0).cast("long").alias("links"))
+    often = F.col("weight") * HEAVY > rows.count()
+    heavy = F.broadcast(known.filter(often).drop("weight"))
+    rest = known.filter(~often).drop("weight")
+    linkable = rows.filter("node is not null")
+    full = linkable.join(heavy, "node").unionByName(
+        linkable.join(heavy.select("node"), "node", "left_anti").join(rest, "node")).unionByName(alone)
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("c"))
-    return rows.join(known, "node", "left").select(
+    return full.select(
         "vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
