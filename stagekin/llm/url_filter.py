@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import fresh
+from stagekin.llm.common import fresh, sent_if_small, written
 
 Rule = tuple[str, str, str]
 #: Rules in at most so many characters are sent to every task as a trie; more are joined.
@@ -118,7 +118,12 @@ def judged(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "a
 
 def judged_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """The same for rule tables of any size: host suffixes and path prefixes of the distinct
-    (host, path) pairs meet the rules in an equality join, and the longest one is kept."""
+    (host, path) pairs meet the rules in an equality join, and the longest one is kept.
+
+    Only prefixes as long as the path of some rule of that host are made, so a very long path costs no more
+    than the rules. Repeated urls are judged once and each gets the verdict; a small table of the lengths is written
+    when the query is built.
+    """
     host, path = url_parts(F.col(url))
     parsed = df.withColumns({"host": host, "path": path})
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumnsRenamed(
@@ -127,9 +132,9 @@ def judged_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: s
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))
-    tried = (parsed.select("host", "path").distinct()
-             .withColumn("_rule_host", F.explode(suffixes)).withColumn("_rule_path", F.explode(prefixes)))
+    lengths = sent_if_small(written(rules.select("_rule_host", F.length("_rule_path").alias("_n")).distinct(), "rule-lengths"))
+    tried = parsed.select("host", "path").distinct().withColumn("_rule_host", F.explode(suffixes)).join(
+        lengths, "_rule_host").filter("_n <= length(path)").withColumn("_rule_path", F.expr("substring(path, 1, _n)"))
     rank = F.length("_rule_host").cast("long") * (1 << 32) + F.length("_rule_path")
     best = tried.join(rules, ["_rule_host", "_rule_path"]).groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("_rule_host", "_rule_path").alias("rule"), "verdict"), rank).alias(own))
