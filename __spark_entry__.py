@@ -336,6 +336,40 @@ def work_list(spark, folder):
     return worklist.with_urls(worklist.in_season(pairs, 1997))
 
 
+def _even_seasons(spark, folder):
+    """A store of all stages, climbs and start lists, and a work list of some races of every second season."""
+    slug = F.lower(F.replace("race_name", F.lit(" "), F.lit("-"))).alias("slug")
+    profiles = proxy.stage_profiles(spark, folder)
+    riders = proxy.table(spark, folder, "orders").select(
+        F.lower(F.replace("o_orderpriority", F.lit(" "), F.lit("-"))).alias("race_slug"),
+        F.year("o_orderdate").alias("season"), F.concat(F.lit("rider/"), "o_custkey").alias("rider_url"),
+    ).distinct()
+    rows = {"stage_profiles": profiles, "stage_climbs": proxy.stage_climbs(spark, folder), "race_startlists": riders}
+    root = new_folder(spark, "seasons")
+    store.commit(spark, root, {
+        name: empty_table(spark, name).unionByName(df.select(*[c for c in df.columns if c in TABLES[name].names]),
+                                                   allowMissingColumns=True)
+        for name, df in rows.items()
+    })
+    return root, profiles.select(slug, "season").distinct().filter("season % 2 = 0 and slug < '4'")
+
+
+def listed_startlists(spark, folder):
+    """Riders of the races on a work list, from the folders of its seasons only."""
+    root, pairs = _even_seasons(spark, folder)
+    found = worklist.of_races(store.load(spark, root, "race_startlists"), pairs)
+    return found.groupBy("race_slug", "season").agg(F.count("*").alias("riders"), F.min("rider_url").alias("first_rider"))
+
+
+def listed_climbs(spark, folder):
+    """Climbs of the stages of a work list: a season job on stored tables."""
+    root, pairs = _even_seasons(spark, folder)
+    stages = worklist.of_races(store.load(spark, root, "stage_profiles"), pairs, F.split_part("pcs_url", F.lit("/"), F.lit(2)))
+    climbs = store.load(spark, root, "stage_climbs").withColumnRenamed("stage_id", "id")
+    return stages.join(climbs, "id").groupBy("race_name", "season").agg(
+        F.count_distinct("id").alias("stages"), F.count("*").alias("climbs"))
+
+
 def inline_work_list(spark, folder):
     """Pairs 'slug:season,slug:season', one text per order."""
     year = F.year("o_orderdate")
@@ -661,7 +695,8 @@ _QUERIES: tuple[Query, ...] = (
     elevation_xy, listing_page, listing_filtered, listing_total, dashboard_stats, filter_options, stage_detail,
     upsert_profiles, upsert_children, replace_children, insert_absent, replace_slice, orphans, cascade_delete,
     dup_keys, enrich_last_wins, enrich_apply, url_meta, fingerprint, changed_snapshots, latest_snapshot, work_list,
-    inline_work_list, failure_log, replay_list, label_lookup, climb_intensity, profile_json, page_fields, page_links,
+    inline_work_list, listed_startlists, listed_climbs, failure_log, replay_list, label_lookup, climb_intensity,
+    profile_json, page_fields, page_links,
     stream_changes, stream_late_changes, stream_state_changes, snapshot_roundtrip, stored_snapshot_log, stored_log,
     stored_profiles, run_counters, ingest_json, falsy_fallback, climb_counts, ingest_profiles, ingest_climbs, ingest_results,
     ingest_failures, refetch_profiles, refetch_failures, discovered_profiles, discovery_failures, reparse_profiles,

@@ -288,6 +288,11 @@ union all select url, url, null, null, null from pages"""),
     "work_list": _on("v_profiles", """select distinct slug, season, 'race/' || slug || '/' || season as race_url,
  'race/' || slug || '/' || season || '/startlist' as startlist_url, 'race/' || slug || '/' || season || '/route/climbs' as climbs_url
 from v_profiles where season = 1997"""),
+    "listed_startlists": """select slug as race_slug, season, count(*) as riders, min(rider_url) as first_rider from (
+select distinct lower(replace(o_orderpriority, ' ', '-')) as slug, cast(year(o_orderdate) as int) as season,
+ 'rider/' || o_custkey as rider_url from orders) x where season % 2 = 0 and slug < '4' group by 1, 2""",
+    "listed_climbs": _on("v_profiles v_climbs", """select race_name, season, count(distinct id) as stages, count(*) as climbs
+from v_profiles join v_climbs on stage_id = id where season % 2 = 0 and slug < '4' group by 1, 2"""),
     "inline_work_list": """select split_part(pair, ':', 1) as slug, cast(split_part(pair, ':', 2) as int) as season, count(*) as stages
 from (select unnest(string_split(races, ',')) as pair from (
  select lower(replace(o_orderpriority, ' ', '-')) || ':' || year(o_orderdate) || ',' || lower(o_orderstatus) || ':' || (year(o_orderdate) + 1) as races

@@ -68,29 +68,3 @@ CLIMBS_SOURCE = "enrich_climbs"
 STAGE_URL = r"^race/([^/]+)/(\d{4})/(?:stage-)?(.+)"
 STARTLIST_SUFFIX = "/startlist"
 CLIMBS_SUFFIX = "/route/climbs"
-
-# Configured work list: every slug in every season.
-RACE_SLUGS = (
-    "tour-de-france",
-    "giro-d-italia",
-    "vuelta-a-espana",
-    "paris-nice",
-    "tirreno-adriatico",
-    "volta-a-catalunya",
-    "itzulia-basque-country",
-    "tour-de-romandie",
-    "criterium-du-dauphine",
-    "tour-de-suisse",
-    "tour-of-britain",
-    "tour-de-pologne",
-    "tour-of-oman",
-    "uae-tour",
-    "volta-ao-algarve",
-    "tour-down-under",
-    "vuelta-a-burgos",
-    "renewi-tour",
-    "tour-de-wallonie",
-    "tour-de-l-ain",
-)
-SEASONS = (2023, 2024, 2025, 2026)
-CURRENT_SEASON = 2026

@@ -45,10 +45,6 @@ def startlist(startlists: DataFrame, slug: str, season: int) -> DataFrame:
     return startlists.filter((F.col("race_slug") == slug) & (F.col("season") == season))
 
 
-def by_id(df: DataFrame, value: int, column: str = "id") -> DataFrame:
-    return df.filter(F.col(column) == value)
-
-
 def only_url(pages: DataFrame, url: str | None) -> DataFrame:
     """Single-item mode: the job input cut to one URL when one is given."""
     return pages.filter(F.col("url") == url) if url else pages

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagekin import constants as C
 from stagekin.functions.urls import race_url
+from stagekin.plans.skew import written
 
 
-def configured(spark: SparkSession, season: int | None = None) -> DataFrame:
-    """Every configured slug in every configured season."""
-    seasons = F.array(*[F.lit(value) for value in C.SEASONS])
-    slugs = spark.createDataFrame([(slug, i) for i, slug in enumerate(C.RACE_SLUGS)], "slug string, slug_no int")
-    pairs = slugs.select("slug", F.posexplode(seasons).alias("season_no", "season"), "slug_no").select(
-        "slug", "season", (F.col("slug_no") * len(C.SEASONS) + F.col("season_no")).alias("race_order")
+#: Bytes of a work list that may be sent to every executor.
+LISTED_BYTES = 8 << 20
+
+
+def configured(races: DataFrame, season: int | None = None) -> DataFrame:
+    """Every season of every race of a table (slug, slug_no, first_season, last_season), race by race.
+
+    ``race_order`` orders the pairs by slug_no, then season. A race without seasons gives no pair.
+    """
+    held = races.filter(F.col("first_season") <= F.col("last_season"))
+    pairs = held.select("slug", "slug_no", F.explode(F.sequence("first_season", "last_season")).alias("season")).select(
+        "slug", F.col("season").cast("int").alias("season"),
+        (F.col("slug_no").cast("long") * 10_000 + F.col("season")).alias("race_order"),
     )
     return in_season(pairs, season)
 
@@ -43,10 +51,24 @@ def with_urls(pairs: DataFrame) -> DataFrame:
     )
 
 
-def choose(
-    spark: SparkSession, races: str | None = None, season: int | None = None
-) -> DataFrame:
+def choose(configuration: DataFrame, races: str | None = None, season: int | None = None) -> DataFrame:
     """An inline list wins over the configured one; the season only cuts the configured one."""
     if races:
-        return parsed(spark.createDataFrame([(races,)], "races string"))
-    return configured(spark, season)
+        return parsed(configuration.sparkSession.createDataFrame([(races,)], "races string"))
+    return configured(configuration, season)
+
+
+def of_races(table: DataFrame, pairs: DataFrame, slug: str | Column = "race_slug") -> DataFrame:
+    """Rows of a table whose race and season are on a work list; a pair listed twice counts once.
+
+    Where the table is partitioned by season, only the folders of listed seasons are read: the list is
+    sent to the executors and Spark prunes by it at run time. A longer list than ``LISTED_BYTES`` is
+    joined by a shuffle instead. Pairs without a slug or a season name no race.
+    """
+    own = pairs.filter((F.col("slug") != "") & (F.col("season") > 0))
+    listed = written(own.select(F.col("slug").alias("_slug"), F.col("season").alias("_season")).distinct(), "races")
+    size = listed.agg(F.sum(F.octet_length("_slug") + 16)).first()[0] or 0
+    chosen = listed.filter((F.col("_slug") != "") & (F.col("_season") > 0))
+    chosen = F.broadcast(chosen) if size <= LISTED_BYTES else chosen
+    same = (F.col("season") == F.col("_season")) & ((F.col(slug) if isinstance(slug, str) else slug) == F.col("_slug"))
+    return table.join(chosen, same, "left_semi")

@@ -163,17 +163,36 @@ def test_latest_snapshots_keep_the_page(spark):
 
 
 def test_work_lists(spark):
-    listed = worklist.with_urls(worklist.configured(spark))
-    assert listed.count() == 80
-    assert worklist.configured(spark, 2026).count() == 20
-    first = listed.orderBy("race_order").first()
-    assert (first.slug, first.season, first.climbs_url) == (
-        "tour-de-france", 2023, "race/tour-de-france/2023/route/climbs"
-    )
-    pairs = worklist.choose(spark, "a-b:2024,c:2025", season=2025).orderBy("race_order").collect()
+    races = spark.createDataFrame([("b", 1, 2023, 2026), ("a", 0, 2025, 2026), ("none", 2, None, 2026), ("past", 3, 9, 8)],
+                                  "slug string, slug_no int, first_season int, last_season int")
+    listed = worklist.with_urls(worklist.configured(races)).orderBy("race_order").collect()
+    assert [(r.slug, r.season) for r in listed] == [("a", 2025), ("a", 2026), *(("b", y) for y in range(2023, 2027))]
+    assert listed[0].climbs_url == "race/a/2025/route/climbs"
+    assert worklist.choose(races, season=2026).count() == 2
+    assert worklist.configured(races.limit(0)).count() == 0
+    pairs = worklist.choose(races, "a-b:2024,c:2025", season=2025).orderBy("race_order").collect()
     assert [(r.slug, r.season) for r in pairs] == [("a-b", 2024), ("c", 2025)]
 
 
+def test_work_list_prunes_seasons(spark, tmp_path, monkeypatch):
+    """Only the folders of listed seasons are read, also by a list too long to send."""
+    rows = [(slug, season, f"r{n}") for slug in ("a", "b") for season in range(2000, 2010) for n in range(3)]
+    names = "race_slug string, season int, rider_url string"
+    empty = tables.empty_table(spark, "race_startlists")
+    rows = empty.unionByName(spark.createDataFrame(rows, names), allowMissingColumns=True)
+    store.commit(spark, str(tmp_path), {"race_startlists": rows})
+    stored = store.load(spark, str(tmp_path), "race_startlists")
+    pairs = spark.createDataFrame([("a", 2003), ("a", 2003), ("b", 2007), ("b", None), (None, 2001), ("", 2002), ("c", 2000)],
+                                  "slug string, season int")
+    found = worklist.of_races(stored, pairs)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    expected = [("a", 2003)] * 3 + [("b", 2007)] * 3
+    assert sorted((r.race_slug, r.season) for r in found.collect()) == expected
+    assert worklist.of_races(stored, pairs.limit(0)).count() == 0
+    monkeypatch.setattr(worklist, "LISTED_BYTES", 1)
+    assert sorted((r.race_slug, r.season) for r in worklist.of_races(stored, pairs).collect()) == expected
+
+
 def test_store_versions(spark, tmp_path):
     root = str(tmp_path)
     assert store.load(spark, root, "race_startlists").count() == 0
