@@ -4,17 +4,26 @@ Texts are compared as runs of letters, digits and bytes beyond ASCII, A-Z lower-
 between runs. An item is found in a document if some part of it has an edit distance of at most
 ``1 - similar`` times the item's length.
 
-Candidates come from the CGK embedding: a walk over the string that at each step writes the current
-byte and moves on by a random bit of (step, byte), so strings of small edit distance give outputs of
-small Hamming distance. The window at every word start is walked as is every word start of an item; in a
-run that holds characters of a script without spaces, every code point is a word start. A sample of the output bytes is the hash; equal hashes are candidates. ``REPEATS`` walks with other bits
-and samples, over all the words of an item, find copies; two words of a long item must point to the same place.
-A walk reads about 16 bytes and is a seed, not the whole item, so the search is not exact: near the limit of edits
-copies of short items are missed (README: measured recall; tests hold floors). Exact copies that begin at a word start are found. Each candidate's item-sized window is verified by exact edit
-distance. Windows whose first sampled bytes fit no item are not walked further.
-
-Items go to the tasks in blocks of bounded size, documents are read once, whole. A null or empty text
-holds no item; an item without letters or digits is never found; repeated items are found each.
+Candidates for items of ``SHORT`` bytes and more come from the CGK embedding: a walk over the string that at each
+step writes the current byte and moves on by a random bit of (step, byte), so strings of small edit distance give
+outputs of small Hamming distance. The window at every word start is walked as is every word start of an item; in a
+run that holds characters of a script without spaces, every code point is a word start. A sample of the output bytes
+is the hash; equal hashes are candidates. ``REPEATS`` walks with other bits and samples, over all the words of an
+item, find copies; two words of a long item must point to the same place. A walk reads about 16 bytes and is a seed:
+walks as long as the item fall out of step at each edit, so that at a fifth of edits hundreds to thousands of them
+would be needed (README: measured). The search is not exact near the limit of edits (README: recall; tests hold
+floors). Exact copies that begin at a word start are found. Windows whose first sampled bytes fit no item are not
+walked further.
+
+Shorter items leave too few seeds, and are searched exactly: cut into pieces, at least so many of them as there are
+more pieces than allowed edits occur unchanged, at places that differ by the edits at most. This finds every copy,
+wherever it begins; its work grows with the number of short items.
+
+Each candidate's item-sized window is verified by exact edit distance.
+
+Items go to the tasks in blocks of bounded size, one after the other: while a block is searched in the whole
+documents, only that block is in memory, and only the hits are kept. A null or empty text holds no item; an item
+without letters or digits is never found; repeated items are found each, and repeated documents too.
 """
 
 from __future__ import annotations
@@ -24,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import blocks, values
+from stagekin.llm.common import blocks, dropped, fresh, new_folder, values, written
 
 SIMILAR = 0.8
 #: Walks, their most steps, and the share of the steps that is sampled.
@@ -37,6 +46,9 @@ SAMPLED = 3 / 8
 #: Items of so many words are verified where two of their words agree on a place (one, if no more can be walked),
 #: shorter ones where one does.
 FEW = 20
+#: Items of fewer bytes are searched exactly, by pieces of at most so many bytes.
+SHORT = 96
+PIECE = 4
 #: Bytes of items in a block.
 ITEM_BYTES = 4_000_000
 U = np.uint64
@@ -145,8 +157,25 @@ def infix_distance(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
+def pieces(size: int, most: int) -> tuple[int, int]:
+    """Length of the pieces of an item and how many of them at least a copy with ``most`` edits leaves unchanged."""
+    for length in range(min(PIECE, size), 0, -1):
+        if size // length > most:
+            return length, size // length - most
+    return 1, 1
+
+
+def grams(codes: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes from each place on as a number."""
+    count = max(0, len(codes) - length + 1)
+    found = codes[:count].astype(np.uint32)
+    for k in range(1, length):
+        found = found << np.uint32(8) | codes[k: k + count]
+    return found
+
+
 class Index:
-    """The walks of a block of items."""
+    """The walks and pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], similar: float, repeats: int):
         self.similar, self.repeats = similar, repeats
@@ -160,6 +189,20 @@ class Index:
         steps = np.array([1 << min(STEPS, n).bit_length() - 1 if n else 0 for n in sizes.tolist()])[owner]
         able = np.bincount(owner[rest >= steps], minlength=len(items))
         self.needed = np.where(np.bincount(owner, minlength=len(items)) >= FEW, np.minimum(able, 2), 1)
+        slack = ((1 - similar) * sizes + 1e-9).astype(np.int64)
+        cut: dict[int, list[tuple[int, int, int]]] = {}
+        for i in np.flatnonzero((sizes > 0) & (sizes < SHORT) & (np.arange(len(sizes)) < len(items))).tolist():
+            length, self.needed[i] = pieces(len(self.items[i]), int(slack[i]))
+            for at in range(0, len(self.items[i]) - length + 1, length):
+                part = int.from_bytes(self.items[i][at:at + length], "big")
+                cut.setdefault(length, []).append((part, i, at))
+        self.pieces = []
+        for length, rows in cut.items():
+            keys, owners, places = np.array(sorted(rows), np.int64).T
+            known = np.zeros(1 << 16, bool)
+            known[self._mixed(keys.astype(np.uint32))] = True
+            self.pieces.append((length, known, keys.astype(np.uint32), owners, places))
+        steps = np.where(sizes[owner] < SHORT, 0, steps) if len(owner) else steps
         self.tables = []
         for count in sorted(set(steps.tolist()) - {0}):
             own = np.flatnonzero((steps == count) & (rest >= count))
@@ -175,6 +218,24 @@ class Index:
                 order = np.argsort(value, kind="stable")
                 self.tables.append((count, repeat, seen, value[order], owner[own][order], offset[own][order]))
 
+    @staticmethod
+    def _mixed(keys: np.ndarray) -> np.ndarray:
+        return keys * np.uint32(2654435761) >> np.uint32(16)
+
+    def _by_pieces(self, codes: np.ndarray, places: list, owners: list, offsets: list) -> None:
+        """Adds each place where a piece of a short item occurs."""
+        for length, known, keys, owner, offset in self.pieces:
+            for a in range(0, len(codes), 1_000_000):
+                value = grams(codes[a:a + 1_000_000 + length - 1], length)
+                at = np.flatnonzero(known[self._mixed(value)])
+                value = value[at]
+                low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, "right")
+                n = high - low
+                k = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                places.append(np.repeat(at + a, n))
+                owners.append(owner[k])
+                offsets.append(offset[k])
+
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text the items in it: (item id, edit distance, similarity)."""
         found: list[list[tuple]] = [[] for _ in texts]
@@ -191,6 +252,7 @@ class Index:
                 places.append(np.repeat(part, n))
                 owners.append(owner[k])
                 offsets.append(offset[k])
+        self._by_pieces(codes, places, owners, offsets)
         if not places:
             return found
         place, item, offset = (np.concatenate(x) for x in (places, owners, offsets))
@@ -261,27 +323,61 @@ def _searcher(sent, similar: float, repeats: int):
     return search
 
 
-def contamination(text: str, benchmark: DataFrame, similar: float = SIMILAR, repeats: int = REPEATS) -> Column:
-    """The items found in a text column: an array of (item_id, distance, similarity), empty if none."""
-    spark = benchmark.sparkSession
+def _parts(benchmark: DataFrame) -> tuple[DataFrame, int]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(total / ITEM_BYTES))
-    found = []
+    total = items.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+    return items, max(1, math.ceil(total / ITEM_BYTES))
+
+
+def _sent(items: DataFrame, parts: int, part: int):
+    """A block of items, about ``ITEM_BYTES``; longer only by what one very long item needs."""
+    chosen = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
+    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
+
+
+def _found_in_blocks(docs: DataFrame, items: DataFrame, parts: int, similar: float, repeats: int) -> DataFrame:
+    """key (SHA-256 of a text), item_id, distance and similarity, once per different text and item.
+
+    One block of items after the other is sent, searched in all texts and let go.
+    """
+    spark = docs.sparkSession
+    items = written(items, "items")
+    path = new_folder(spark, "leaks")
     for part in range(parts):
-        chosen = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        # about ITEM_BYTES, checked: a longer block would be one of very long items
-        sent = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
-        found.append(_searcher(sent, similar, repeats)(text))
-    return F.concat(*found) if len(found) > 1 else found[0]
+        sent = _sent(items, parts, part)
+        hits = docs.select("text", _searcher(sent, similar, repeats)("text").alias("hits")).filter(F.size("hits") > 0)
+        hits = hits.select(F.sha2("text", 256).alias("key"), F.explode("hits").alias("hit")).select("key", "hit.*")
+        hits.write.mode("append").parquet(path)
+        sent.destroy()
+    dropped(items)
+    # copies of a text have the same hits; equal items of one id are found once each
+    return spark.read.schema("key string, item_id long, distance int, similarity double").parquet(path)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, repeats: int = REPEATS) -> DataFrame:
     """doc_id, item_id, distance and similarity of every document and item in it."""
-    hits = docs.select("doc_id", contamination("text", benchmark, similar, repeats).alias("hits"))
-    return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    items, parts = _parts(benchmark)
+    if parts == 1:
+        hits = docs.select("doc_id", _searcher(_sent(items, 1, 0), similar, repeats)("text").alias("hits"))
+        return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    # an item that is listed twice is found twice: counted apart, hits of the copies of a text fall together
+    once = items.groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    numbered = written(once.withColumn("no", F.monotonically_increasing_id()), "numbered")
+    found = _found_in_blocks(docs, numbered.select(F.col("no").alias("item_id"), "text"), parts, similar, repeats)
+    found = found.distinct().join(numbered.select(F.col("no"), F.col("item_id").alias("listed"), "times"),
+                                  F.col("item_id") == F.col("no"))
+    found = found.select("key", F.col("listed").alias("item_id"), "distance", "similarity",
+                         F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    own = docs.select("doc_id", F.sha2("text", 256).alias("key"))
+    return own.join(found, "key").select("doc_id", "item_id", "distance", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, repeats: int = REPEATS) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    return docs.filter(F.size(contamination("text", benchmark, similar, repeats)) == 0)
+    items, parts = _parts(benchmark)
+    if parts == 1:
+        return docs.filter(F.size(_searcher(_sent(items, 1, 0), similar, repeats)("text")) == 0)
+    found = _found_in_blocks(docs, items, parts, similar, repeats).select("key").distinct()
+    key = fresh(docs, "_text_key")
+    return docs.withColumn(key, F.sha2("text", 256)).join(
+        found.withColumnRenamed("key", key), key, "left_anti").drop(key)
