@@ -49,6 +49,8 @@ FEW = 20
 #: Items of fewer bytes are searched exactly, by pieces of at most so many bytes.
 SHORT = 96
 PIECE = 4
+#: Occurrences of pieces that are looked at together.
+MATCHES = 4_000_000
 #: Bytes of items in a block.
 ITEM_BYTES = 4_000_000
 U = np.uint64
@@ -189,7 +191,7 @@ class Index:
         steps = np.array([1 << min(STEPS, n).bit_length() - 1 if n else 0 for n in sizes.tolist()])[owner]
         able = np.bincount(owner[rest >= steps], minlength=len(items))
         self.needed = np.where(np.bincount(owner, minlength=len(items)) >= FEW, np.minimum(able, 2), 1)
-        slack = ((1 - similar) * sizes + 1e-9).astype(np.int64)
+        slack = self.slack = ((1 - similar) * sizes + 1e-9).astype(np.int64)
         cut: dict[int, list[tuple[int, int, int]]] = {}
         for i in np.flatnonzero((sizes > 0) & (sizes < SHORT) & (np.arange(len(sizes)) < len(items))).tolist():
             length, self.needed[i] = pieces(len(self.items[i]), int(slack[i]))
@@ -222,19 +224,69 @@ class Index:
     def _mixed(keys: np.ndarray) -> np.ndarray:
         return keys * np.uint32(2654435761) >> np.uint32(16)
 
-    def _by_pieces(self, codes: np.ndarray, places: list, owners: list, offsets: list) -> None:
-        """Adds each place where a piece of a short item occurs."""
-        for length, known, keys, owner, offset in self.pieces:
-            for a in range(0, len(codes), 1_000_000):
-                value = grams(codes[a:a + 1_000_000 + length - 1], length)
+    def _by_pieces(self, codes: np.ndarray, starts: np.ndarray) -> list[list[int]]:
+        """(document, item, first and last begin) of the short items of which enough pieces and 3-grams occur.
+
+        Slices overlap by more than a copy; a slice with more than ``MATCHES`` pieces is halved.
+        """
+        wide = 2 * SHORT  # no copy of a short item is as long
+        codes = np.concatenate((np.zeros(wide, np.uint8), codes, np.zeros(wide, np.uint8)))
+        found, todo = [], [(a, a + 1_000_000) for a in range(0, len(codes), 1_000_000)]
+        while todo and self.pieces:
+            a, b = todo.pop()
+            part, hits = codes[a:b + wide], []
+            for length, known, keys, owner, offset in self.pieces:
+                value = grams(part, length)
                 at = np.flatnonzero(known[self._mixed(value)])
-                value = value[at]
-                low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, "right")
-                n = high - low
-                k = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                places.append(np.repeat(at + a, n))
-                owners.append(owner[k])
-                offsets.append(offset[k])
+                low, high = np.searchsorted(keys, value[at]), np.searchsorted(keys, value[at], "right")
+                hits.append((at, low, high - low, owner, offset))
+            if sum(n.sum() for _, _, n, _, _ in hits) > MATCHES and b - a > 2 * wide:
+                todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+                continue
+            spread = [(np.repeat(at, n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), owner, offset)
+                      for at, low, n, owner, offset in hits]
+            place = np.concatenate([at for at, _, _, _ in spread])
+            item = np.concatenate([owner[k] for _, k, owner, _ in spread])
+            # where the item would begin, moved by ``wide`` so that no number is negative
+            key = item << 42 | place + a + wide - np.concatenate([offset[k] for _, k, _, offset in spread])
+            order = np.argsort(key)
+            key, item, place = key[order], item[order], place[order] + a
+            last = np.arange(len(key)) + self.needed[item] - 1
+            near = key[np.minimum(last, len(key) - 1)] - key <= self.slack[item] if len(key) else np.zeros(0, bool)
+            near &= last < len(key)
+            item, place, begin = item[near], place[near], (key[near] & (1 << 42) - 1) - wide
+            kept = self._with_grams(codes, item, begin)
+            found.append(np.stack((np.searchsorted(starts + wide, place[kept], "right") - 1, item[kept], begin[kept]), 1))
+        if not found:
+            return []
+        rows = np.unique(np.concatenate(found), axis=0)
+        rows = rows[rows[:, 0] >= 0]
+        if not len(rows):
+            return []
+        # begins of one copy lie next to each other
+        new = (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 2] - rows[:-1, 2] > self.slack[rows[1:, 1]] + 1)
+        first = np.flatnonzero(np.concatenate(([True], new)))
+        last = np.append(first[1:], len(rows)) - 1
+        moved = starts[rows[first, 0]] + wide
+        return np.stack((rows[first, 0], rows[first, 1], rows[first, 2] - moved, rows[last, 2] - moved), 1).tolist()
+
+    def _with_grams(self, codes: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Which candidates hold enough 3-grams of the item, each near its place: an edit changes three at most."""
+        kept = np.ones(len(item), bool)
+        triples = grams(codes, 3)
+        for i in np.unique(item).tolist():
+            own, room = grams(np.frombuffer(self.items[i], np.uint8), 3), int(self.slack[i])
+            least = len(own) - 3 * room
+            rows = np.flatnonzero(item == i)
+            for a in range(0, len(rows) if least > 0 else 0, 2_000):
+                some = rows[a:a + 2_000]
+                at = (begin[some] - room)[:, None] + np.arange(len(own) + 2 * room)
+                there = triples[np.clip(at, 0, len(triples) - 1)]
+                held = np.zeros((len(some), len(own)), bool)
+                for shift in range(2 * room + 1):
+                    held |= there[:, shift:shift + len(own)] == own
+                kept[some] = held.sum(1) >= least
+        return kept
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text the items in it: (item id, edit distance, similarity)."""
@@ -252,16 +304,15 @@ class Index:
                 places.append(np.repeat(part, n))
                 owners.append(owner[k])
                 offsets.append(offset[k])
-        self._by_pieces(codes, places, owners, offsets)
-        if not places:
-            return found
-        place, item, offset = (np.concatenate(x) for x in (places, owners, offsets))
-        doc = np.searchsorted(starts, place, "right") - 1
-        sizes = np.array([len(t) for t in self.items])
-        slack = ((1 - self.similar) * sizes + 1e-9).astype(np.int64)
-        begin = place - starts[doc] - offset  # where the item would begin
+        slack = self.slack
+        candidates = self._by_pieces(codes, starts)
+        if places:
+            place, item, offset = (np.concatenate(x) for x in (places, owners, offsets))
+            doc = np.searchsorted(starts, place, "right") - 1
+            begin = place - starts[doc] - offset  # where the item would begin
+            candidates += self._agreeing(doc, item, offset, begin, slack)
         best: dict[tuple[int, int], int] = {}
-        for d, i, low, high in self._agreeing(doc, item, offset, begin, slack):
+        for d, i, low, high in candidates:
             room, size = int(slack[i]), len(self.items[i])
             first, end = starts[d] + low - room, starts[d] + high + size + room
             window = codes[max(first, starts[d]): max(0, min(end, starts[d + 1] - 1))]
@@ -320,7 +371,8 @@ def _searcher(sent, similar: float, repeats: int):
                     hits.append([{"item_id": i, "distance": d, "similarity": s} for i, d, s in one])
             yield pa.array(hits, HIT)
 
-    return search
+    # otherwise the filter that Spark puts before an explode would search every text a second time
+    return search.asNondeterministic()
 
 
 def _parts(benchmark: DataFrame) -> tuple[DataFrame, int]:

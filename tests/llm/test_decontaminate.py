@@ -62,7 +62,7 @@ def test_recall_at_the_limit_of_edits(words, share, least):
     assert recall >= least
 
 
-def test_short_items_are_found_as_by_trying_every_place():
+def test_short_items_are_found_as_by_trying_every_place(monkeypatch):
     """Every short item and text against the edit distance to every part of the text, repeated items included."""
     rng = random.Random(8)
     items = ["".join(rng.choices("ab c", k=rng.randint(1, 30))).strip() or "x" for _ in range(120)]
@@ -79,6 +79,8 @@ def test_short_items_are_found_as_by_trying_every_place():
                 for t in texts]
     assert found(items, texts) == expected
     assert sum(map(len, expected)) > 1_000
+    monkeypatch.setattr(decontaminate, "MATCHES", 20)  # many short slices
+    assert found(items, texts) == expected
 
 
 def test_items_in_blocks_give_the_same_rows(spark, monkeypatch):
