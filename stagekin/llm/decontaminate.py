@@ -231,6 +231,7 @@ class Index:
         """
         wide = 2 * SHORT  # no copy of a short item is as long
         codes = np.concatenate((np.zeros(wide, np.uint8), codes, np.zeros(wide, np.uint8)))
+        triples = grams(codes, 3) if self.pieces else None
         found, todo = [], [(a, a + 1_000_000) for a in range(0, len(codes), 1_000_000)]
         while todo and self.pieces:
             a, b = todo.pop()
@@ -255,7 +256,7 @@ class Index:
             near = key[np.minimum(last, len(key) - 1)] - key <= self.slack[item] if len(key) else np.zeros(0, bool)
             near &= last < len(key)
             item, place, begin = item[near], place[near], (key[near] & (1 << 42) - 1) - wide
-            kept = self._with_grams(codes, item, begin)
+            kept = self._with_grams(triples, item, begin, np.zeros(len(item), np.int64))
             found.append(np.stack((np.searchsorted(starts + wide, place[kept], "right") - 1, item[kept], begin[kept]), 1))
         if not found:
             return []
@@ -270,20 +271,22 @@ class Index:
         moved = starts[rows[first, 0]] + wide
         return np.stack((rows[first, 0], rows[first, 1], rows[first, 2] - moved, rows[last, 2] - moved), 1).tolist()
 
-    def _with_grams(self, codes: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Which candidates hold enough 3-grams of the item, each near its place: an edit changes three at most."""
+    def _with_grams(self, triples: np.ndarray, item: np.ndarray, begin: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """Which candidates, that begin from ``begin`` to ``begin + span``, hold enough 3-grams of the item, each near
+        its place: an edit changes three at most, and moves the others by one."""
         kept = np.ones(len(item), bool)
-        triples = grams(codes, 3)
         for i in np.unique(item).tolist():
             own, room = grams(np.frombuffer(self.items[i], np.uint8), 3), int(self.slack[i])
             least = len(own) - 3 * room
             rows = np.flatnonzero(item == i)
-            for a in range(0, len(rows) if least > 0 else 0, 2_000):
-                some = rows[a:a + 2_000]
-                at = (begin[some] - room)[:, None] + np.arange(len(own) + 2 * room)
+            more = 2 * room + int(span[rows].max())
+            step = max(1, 200_000 // (len(own) + more + 1))
+            for a in range(0, len(rows) if least > 0 else 0, step):
+                some = rows[a:a + step]
+                at = (begin[some] - room)[:, None] + np.arange(len(own) + more)
                 there = triples[np.clip(at, 0, len(triples) - 1)]
                 held = np.zeros((len(some), len(own)), bool)
-                for shift in range(2 * room + 1):
+                for shift in range(more + 1):
                     held |= there[:, shift:shift + len(own)] == own
                 kept[some] = held.sum(1) >= least
         return kept
@@ -310,7 +313,11 @@ class Index:
             place, item, offset = (np.concatenate(x) for x in (places, owners, offsets))
             doc = np.searchsorted(starts, place, "right") - 1
             begin = place - starts[doc] - offset  # where the item would begin
-            candidates += self._agreeing(doc, item, offset, begin, slack)
+            agreed = self._agreeing(doc, item, offset, begin, slack)
+            if len(agreed):
+                first = agreed[:, 2] + starts[agreed[:, 0]]
+                agreed = agreed[self._with_grams(grams(codes, 3), agreed[:, 1], first, agreed[:, 3] - agreed[:, 2])]
+            candidates += agreed.tolist()
         best: dict[tuple[int, int], int] = {}
         for d, i, low, high in candidates:
             room, size = int(slack[i]), len(self.items[i])
@@ -335,7 +342,7 @@ class Index:
         shared = sum(item[k:k + 4] in grams for k in range(len(item) - 3))
         return room + 1 if shared < len(item) - 3 - 4 * room else infix_distance(item, window, room)
 
-    def _agreeing(self, doc, item, offset, begin, slack) -> list[list[int]]:
+    def _agreeing(self, doc, item, offset, begin, slack) -> np.ndarray:
         """(document, item, first and last begin) where enough words of an item point to one place.
 
         Begins of a true copy differ by the edits allowed at most, so they share a stretch of twice that
@@ -354,7 +361,7 @@ class Index:
             enough = np.add.reduceat(words, group) >= self.needed[rows[group, 1]]
             found.append(np.stack((rows[group, 0], rows[group, 1], np.minimum.reduceat(rows[:, 4], group),
                                    np.maximum.reduceat(rows[:, 4], group)), 1)[enough])
-        return np.unique(np.concatenate(found), axis=0).tolist() if found else []
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
 
 
 HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))
