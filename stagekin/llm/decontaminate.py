@@ -114,23 +114,24 @@ def walk_plan(repeat: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
     chosen = np.zeros(steps, bool)
     chosen[rng.choice(steps, max(1, int(steps * SAMPLED)), replace=False)] = True
     chosen[0] = True
-    return rng.integers(0, 2, (steps, 256), dtype=np.int32), chosen
+    return rng.integers(0, 2, (steps, 256), dtype=np.int32).astype(np.intp), chosen
 
 
 def walks(codes: np.ndarray, at: np.ndarray, repeat: int, steps: int, fits=None) -> tuple[np.ndarray, np.ndarray]:
     """The starts that are left and their hashes; ``fits(samples so far, hashes)`` ends walks early."""
     bits, chosen = walk_plan(repeat, steps)
-    place, value, taken = at.astype(np.int32), np.zeros(len(at), np.uint64), 0
+    place, value, taken = at.astype(np.intp), np.zeros(len(at), np.uint64), 0
     for step in range(steps):
-        byte = codes[place]
+        byte = codes.take(place, mode="clip")  # places are within codes: this mode only leaves out the test
         if chosen[step]:
             value = (value ^ byte) * U(0x9E3779B97F4A7C15)
             value ^= value >> U(29)
             taken += 1
             if fits is not None and taken % 2 == 0 and len(at):
-                left = fits(taken, value)
-                at, place, value, byte = at[left], place[left], value[left], byte[left]
-        place = place + bits[step][byte]
+                left = np.flatnonzero(fits(taken, value))
+                if len(left) < len(at):
+                    at, place, value, byte = (x.take(left, mode="clip") for x in (at, place, value, byte))
+        place += bits[step].take(byte, mode="clip")
     return at, value
 
 
