@@ -119,3 +119,40 @@ def test_random_trees_equal_the_plain_matcher(seed):
     found, want = read(spec, markup(root)), plain(spec, root)
     found["all"], want["all"] = sorted(found["all"]), sorted(want["all"])
     assert found == want
+
+
+
+
+PIECES = ("<div>", "</div>", '<li class="climb">', "</li>", '<a href="x?a=1&amp;b=2">', "<a href='y'/>", "</a>", "<br>", "<br/>", "a &lt; b",
+          " &amp", "<p class=\"distance\">", "</p>", '<tr class="result">', "<td class='rank' hidden>", "1", "<!-- <b> -->", "<!--c-->",
+          "<!DOCTYPE html>", '<script src="s">', "if (a<b) '</p>'", "</script>", "<style>", "x", "</style >", "<", ">", '<i title="a>b">',
+          "<B CLASS=category>", "</b\n>", "<img src=a/b>", "</>", "<![foo[", "\r", "<title>", "</title>", "&#x41;", "<ul\n>")
+
+
+def test_plain_reading_equals_the_parser():
+    """Pages of all kinds of markup: where the plain reading takes a page, it gives what the parser's events give."""
+    rng, plan, taken = random.Random(21), X._Plan.of(X.STAGE_PAGE), 0
+    usual = [p for p in PIECES if X._TOKEN.fullmatch(p) or "<" not in p]
+    for turn in range(4_000):
+        text = "".join(rng.choices(usual if turn % 2 else PIECES, k=rng.randint(1, 30)))
+        plain = X._Reader(plan)
+        if not plain.plain(text):
+            continue
+        taken += 1
+        parsed = X._Reader(X._Plan.of(X.STAGE_PAGE))
+        parsed.feed(text)
+        assert plain.finish() == parsed.finish(), text
+    assert taken > 500
+
+
+def test_usual_pages_are_read_plainly():
+    """Markup seen before is known, so a page costs a fraction of the parser's steps."""
+    plan = X._Plan.of(X.STAGE_PAGE)
+    page = ('<!DOCTYPE html><html><head><title>T</title><script>f(1)</script></head><body><p class="distance">{} km</p>'
+            '<table><tr class="result"><td class="rank">1<td><a class="rider" href="rider/{}?a=1&amp;b=2">A</a></table></body></html>')
+    for k in range(20):
+        reader = X._Reader(plan)
+        assert reader.plain(page.format(k, k))
+        found = reader.finish()
+        assert found["distance"] == f"{k} km" and found["results"][0]["rider_url"] == f"rider/{k}?a=1&b=2"
+    assert "<td>" in plan.tags and len(plan.tags) < 60
