@@ -59,6 +59,11 @@ def read_fetches(pages: DataFrame, spec: X.Spec, label: str) -> DataFrame:
     return written(parsing.readings(pages.repartition(extraction_tasks(pages), *spread_by), spec), label)
 
 
+def latest_stages(found: DataFrame) -> DataFrame:
+    """The latest readable record of each stage, chosen once: profiles, climbs, results and keys follow from it."""
+    return written(parsing.typed_stages(parsing.latest_readable(found)), "latest")
+
+
 def unreadable(found: DataFrame, source: str, now: Column | None) -> DataFrame:
     return failure_rows(found.filter("problem is not null"), F.col("problem"), source, now)
 
@@ -96,7 +101,9 @@ def dry_run(df: DataFrame, sample: int = 5, **tests: Column) -> tuple[dict, list
 
 def _upsert_parsed(parsed: DataFrame, profiles: DataFrame, results: DataFrame, tables: Tables,
                    now: Column | None, highest: int | None = None) -> Tables:
-    upserted = mutate.upsert_profiles(tables["stage_profiles"], profiles, now, "arrival", highest)
+    # The upsert reads its rows to find new ones, to number them and to merge them.
+    incoming = written(profiles, "incoming")
+    upserted = mutate.upsert_profiles(tables["stage_profiles"], incoming, now, "arrival", highest)
     next_profiles = written(upserted, "profiles")
     ids = next_profiles.select("pcs_url", F.col("id").alias("stage_id"))
     touched = parsed.select(F.col("url").alias("pcs_url")).join(ids, "pcs_url").select("stage_id")
@@ -135,7 +142,7 @@ def stage_changes(
         failures = [challenge_failures(blocked_races, C.DEFAULT_SOURCE, now), unreadable(races, C.DEFAULT_SOURCE, now)]
     usable, blocked = split_challenges(pages)
     found = read_fetches(usable, spec, "parsed")
-    good = parsing.typed_stages(parsing.latest_readable(found))
+    good = latest_stages(found)
     results = parsing.stage_results(good)
     profiles = parsing.stage_profiles(good, results, race_names)
     failures += [challenge_failures(blocked, C.DEFAULT_SOURCE, now), unreadable(found, C.DEFAULT_SOURCE, now)]
@@ -173,7 +180,7 @@ def reparse_changes(tables: Tables, spec: X.Spec = X.STAGE_PAGE, now: Column | N
     bad = last.filter("problem is not null")
     earlier = log.join(bad.select("url").distinct(), "url", "left_semi").join(bad.select("url", "id"), ["url", "id"], "left_anti")
     found = last.unionByName(read_fetches(earlier, spec, "reparsed"))
-    good = parsing.typed_stages(parsing.latest_readable(found))
+    good = latest_stages(found)
     results = parsing.stage_results(good)
     stored = tables["stage_profiles"].select("pcs_url", "race_name", "season", "stage_number")
     fresh = parsing.stage_profiles(good, results).drop("race_name", "season", "stage_number")

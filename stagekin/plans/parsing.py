@@ -21,11 +21,12 @@ FETCH = ("url", "id", "fetched_at")
 def readings(pages: DataFrame, spec: X.Spec) -> DataFrame:
     """One row per fetch: the extracted fields, and the problem of a page that is empty or cannot be parsed.
 
-    A fetch that landed twice is one; of two texts of the same fetch the one with the smaller hash counts.
+    A fetch that landed twice is one; of two texts of the same fetch the one with the smaller hash counts. It is
+    chosen before the extraction, so that pages dealt by their fetch are read where they are.
     """
     keep = [name for name in FETCH if name in pages.columns]
-    found = X.extract(pages.withColumn("_digest", F.xxhash64("html")), spec, keep=(*keep, "_digest"))
-    return first_wins(found, keep, "_digest").drop("_digest")
+    texts = pages.select(*keep, "html", F.xxhash64("html").alias("_digest"))
+    return X.extract(first_wins(texts, keep, "_digest"), spec, keep=tuple(keep))
 
 
 def latest_readable(found: DataFrame) -> DataFrame:
@@ -40,10 +41,10 @@ def typed_stages(found: DataFrame) -> DataFrame:
     ``_errors`` lists the fields that held a text which is no such number.
     """
     kinds = {"distance": "decimal(6,2)", "vertical_meters": "int", "profile_score": "int"}
-    failed = [F.when((F.trim(name) != "") & number(name, kind).isNull(), F.concat(F.lit(f"{name}: "), name))
-              for name, kind in kinds.items()]
-    with_errors = found.withColumn("_errors", F.array_compact(F.array(*failed)))
-    return with_errors.withColumns({name: number(name, kind) for name, kind in kinds.items()})
+    numbers = found.withColumns({f"_{name}": number(name, kind) for name, kind in kinds.items()})
+    failed = [F.when((F.trim(name) != "") & F.col(f"_{name}").isNull(), F.concat(F.lit(f"{name}: "), name)) for name in kinds]
+    with_errors = numbers.withColumn("_errors", F.array_compact(F.array(*failed)))
+    return with_errors.withColumns({name: F.col(f"_{name}") for name in kinds}).drop(*[f"_{name}" for name in kinds])
 
 
 def number(column: str, kind: str) -> Column:
