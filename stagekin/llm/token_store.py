@@ -27,13 +27,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagekin.llm.common import batch, blocks, text_bytes, written
+from stagekin.llm.common import batch, blocks, short_batches, text_bytes, values, written
 from stagekin.llm.word_tokens import encoder, id_type
 
 HEAD = "<4sBBIQIBQ"
 #: Bytes of text a task and ids a shard.
 TASK_BYTES = 32_000_000
 SHARD_IDS = 8_000_000
+#: Ids that are made into bytes at once.
+PIECE_IDS = 500_000
 SAMPLE = 512
 
 
@@ -78,16 +80,21 @@ class EliasFano:
         return (high << self.low_bits) + self._low(np.arange(self.n))
 
 
-def pack_shard(doc_ids: list[int | None], parts: list[np.ndarray], kind: str) -> bytes:
-    """Null doc ids come first."""
+def shard_pieces(doc_ids: list[int | None], parts: list[np.ndarray], kind: str) -> Iterator[bytes]:
+    """A shard's bytes piece after piece, so that its ids are not held a second time. Null doc ids come first."""
     ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
     top = int(ends[-1]) if len(ends) else 0
     coded = EliasFano.of(ends, top)
     nulls = sum(d is None for d in doc_ids)
     head = struct.pack(HEAD, b"SKTS", np.dtype(kind).itemsize, 0, len(parts), top, nulls, coded.low_bits, len(coded.high))
     known = np.array([d or 0 for d in doc_ids], "<i8")
-    ids = np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-    return b"".join((head, known.tobytes(), coded.low.tobytes(), coded.high.tobytes(), ids.tobytes()))
+    yield b"".join((head, known.tobytes(), coded.low.tobytes(), coded.high.tobytes()))
+    for group in blocks(parts, len, PIECE_IDS):
+        yield np.concatenate(group).astype(kind).tobytes()
+
+
+def pack_shard(doc_ids: list[int | None], parts: list[np.ndarray], kind: str) -> bytes:
+    return b"".join(shard_pieces(doc_ids, parts, kind))
 
 
 class Shard:
@@ -136,19 +143,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         rows = ((d, h, np.concatenate((ids, end)).astype(kind)) for b in batches for d, h, ids in zip(
-            b.column(0).to_pylist(), b.column(1).to_pylist(), words.encode(b.column(2).to_pylist()), strict=True))
+            values(b.column(0)), values(b.column(1)), words.encode(values(b.column(2))), strict=True))
         for seq, group in enumerate(blocks(rows, lambda r: len(r[2]), shard_ids)):
             name = f"{uuid.uuid4().hex}.tokens"
             with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(pack_shard([r[0] for r in group], [r[2] for r in group], kind))
+                for piece in shard_pieces([r[0] for r in group], [r[2] for r in group], kind):
+                    out.write(piece)
             yield batch(MANIFEST, [name], [group[0][0]], [group[0][1]], [seq], [len(group)],
                         [sum(len(r[2]) for r in group)])
 
     tasks = max(1, math.ceil(text_bytes(docs, "text") / TASK_BYTES))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), "text")
     dealt = keyed.repartitionByRange(tasks, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
-    manifest = written(dealt.mapInArrow(store, "shard string, first_id long, first_hash long, seq int, "
-                                               "n_docs long, n_ids long"), "token-manifest")
+    stored = dealt.mapInArrow(store, "shard string, first_id long, first_hash long, seq int, n_docs long, n_ids long")
+    with short_batches(docs.sparkSession):
+        manifest = written(stored, "token-manifest")
     # a row a shard, so one small sorted task
     before = Window.orderBy("first_id", "first_hash", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return written(manifest.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-starts")
@@ -163,7 +172,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for name, before in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     shard = Shard(stream.read())
-                for group in blocks(shard.documents(), lambda d: len(d[2]), 2_000_000):
+                for group in blocks(shard.documents(), lambda d: len(d[2]), PIECE_IDS):
                     yield batch(DOCUMENT, [d[0] for d in group], [before + d[1] for d in group],
                                 [len(d[2]) for d in group], [d[2].astype("<u4").tobytes() for d in group])
 

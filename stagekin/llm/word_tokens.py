@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -131,7 +131,7 @@ class WordEncoder:
         cut = ends[np.searchsorted(first, np.concatenate(([0], sizes)))].tolist()
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; the texts are taken together in groups of about a million characters."""
         for group in blocks(texts, lambda t: len(t or "") + 1, 1_000_000):
             plain = [self._plain(t or "") for t in group]
