@@ -156,3 +156,21 @@ def test_usual_pages_are_read_plainly():
         found = reader.finish()
         assert found["distance"] == f"{k} km" and found["results"][0]["rider_url"] == f"rider/{k}?a=1&b=2"
     assert "<td>" in plan.tags and len(plan.tags) < 60
+
+
+def test_pages_are_read_in_short_groups(spark):
+    """A batch of many long pages is not held as Python objects at once; order and rows stay."""
+    n = 2 * X._ROWS + 7
+    pages = spark.range(0, n, 1, 1).selectExpr("concat('u', id) url", "concat('<p class=\"distance\">', id, '</p>') html")
+    found = X.extract(pages, X.STAGE_PAGE).collect()
+    assert [(r.url, r.distance) for r in found] == [(f"u{k}", str(k)) for k in range(n)]
+
+
+def test_the_innermost_open_record_is_known():
+    """Its depth falls back to that of the record around it, and to 0 outside."""
+    reader = X._Reader(X._Plan.of(X.STAGE_PAGE))
+    depths = []
+    for markup in ('<div class="climb">', "<div>", '<div class="result">', "</div>", "</div>", "</div>"):
+        reader.feed(markup)
+        depths.append(reader.deepest)
+    assert depths == [1, 1, 3, 1, 1, 0]
