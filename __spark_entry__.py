@@ -508,7 +508,7 @@ def stored_profiles(spark, folder):
                 for name in ("stage_climbs", "stage_results")]
     found = store.load(spark, root, "stage_profiles").withColumnRenamed("id", "stage_id")
     for rows in children:
-        found = found.join(rows, "stage_id", "left")
+        found = found.join(rows.hint("merge"), "stage_id", "left")
     return found.select("pcs_url", F.col("distance_km").cast("double").alias("distance_km"), "stage_climbs", "stage_results")
 
 

@@ -2,6 +2,7 @@
 
 Nothing is changed in place: the caller writes the result as the next version of the table. Keys
 are unique on both sides after ``last_wins`` / ``first_wins``, so the joins on them cannot explode.
+Sides with a row a page or stage are merged, not broadcast by the size of the files they come from.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def upsert_profiles(
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(current.schema[name].dataType))
 
-    new = rows.join(current.select("pcs_url"), "pcs_url", "left_anti")
+    new = rows.join(current.select("pcs_url").hint("merge"), "pcs_url", "left_anti")
     order = F.col(arrival) if arrival else F.xxhash64("pcs_url")
     numbered = row_number_within(new.select("pcs_url", order.alias("_order")), [], ["_order", "pcs_url"], "_no")
     top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar() if highest is None else F.lit(highest)
@@ -64,7 +65,7 @@ def upsert_profiles(
     touched = F.col("n.pcs_url").isNotNull()
     joined = (
         current.alias("c")
-        .join(rows.join(new_ids, "pcs_url", "left").alias("n"), F.col("c.pcs_url") == F.col("n.pcs_url"), "full_outer")
+        .join(rows.join(new_ids.hint("merge"), "pcs_url", "left").alias("n"), F.col("c.pcs_url") == F.col("n.pcs_url"), "full_outer")
     )
 
     def value(name: str) -> Column:
@@ -95,11 +96,11 @@ def upsert_climbs(
     """
     keys = ["stage_id", "climb_order"]
     last = incoming.groupBy("stage_id").agg(F.max("climb_order").alias("_last"))
-    cut = touched.select("stage_id").distinct().join(last, "stage_id", "left").select(
+    cut = touched.select("stage_id").distinct().join(last.hint("merge"), "stage_id", "left").select(
         "stage_id", F.coalesce("_last", F.lit(0)).alias("_last")
     )
     alive = (
-        current.join(cut, "stage_id", "left")
+        current.join(cut.hint("merge"), "stage_id", "left")
         .filter(F.col("_last").isNull() | (F.col("climb_order") <= F.col("_last")))
         .drop("_last")
     )
@@ -122,7 +123,7 @@ def replace_children(
 ) -> DataFrame:
     """New children for every touched parent; null keys are dropped, the first row per key wins."""
     fresh = first_wins(incoming.filter(F.col(unique).isNotNull()), [parent, unique], position)
-    rest = current.join(touched.select(parent).distinct(), parent, "left_anti")
+    rest = current.join(touched.select(parent).distinct().hint("merge"), parent, "left_anti")
     return rest.unionByName(_as(fresh, current))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from stagekin import constants as C
 from stagekin.functions.scalars import time_to_seconds
-from stagekin.plans.skew import HOT_ROWS, lookup_join, written
+from stagekin.plans.skew import HOT_ROWS, lookup_join, side, written
 
 
 def finish_gaps(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -23,7 +23,7 @@ def finish_gaps(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.min_by("finish_time_seconds", F.when(first, F.col("position"))).alias("winner_seconds"),
         F.count("*").alias("result_rows"),
     )
-    joined = lookup_join(timed, written(winners, "winners"), ["stage_id"], "result_rows", ["position"], "left", hot_rows)
+    joined = lookup_join(timed, side(written(winners, "winners")), ["stage_id"], "result_rows", ["position"], "left", hot_rows)
     return joined.select(
         *timed.columns, (F.col("finish_time_seconds") - F.col("winner_seconds")).alias("gap_seconds")
     )

@@ -94,9 +94,14 @@ def with_hash(pages: DataFrame) -> DataFrame:
     return pages if "html_sha256" in pages.columns else with_fingerprint(pages)
 
 
+def with_texts(fetches: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept fetches with their texts. Texts are never broadcast: the size of their source says nothing of them."""
+    return fetches.hint("merge").join(kept, "id")
+
+
 def changed_snapshots(fetches: DataFrame, log: DataFrame | None = None, hot_rows: int = HOT_ROWS,
                       slices: int = SLICES) -> DataFrame:
     """The fetches to store, page text included. Only narrow columns are sorted."""
     marked = with_hash(fetches)
     kept = changed_ids(marked, log, hot_rows, slices).select("id", "html_sha256")
-    return fetches.drop("html_sha256").join(kept, "id")
+    return with_texts(fetches.drop("html_sha256"), kept)

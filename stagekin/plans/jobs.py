@@ -18,7 +18,7 @@ from stagekin.functions.scalars import cut_reason
 from stagekin.functions.text import is_challenge
 from stagekin.operators import enrich, mutate, snapshots
 from stagekin.plans import parsing
-from stagekin.plans.skew import written
+from stagekin.plans.skew import side, written
 from stagekin.sources import extract as X
 from stagekin.sources.worklist import with_urls
 
@@ -105,7 +105,7 @@ def _upsert_parsed(parsed: DataFrame, profiles: DataFrame, results: DataFrame, t
     incoming = written(profiles, "incoming")
     upserted = mutate.upsert_profiles(tables["stage_profiles"], incoming, now, "arrival", highest)
     next_profiles = written(upserted, "profiles")
-    ids = next_profiles.select("pcs_url", F.col("id").alias("stage_id"))
+    ids = side(next_profiles.select("pcs_url", F.col("id").alias("stage_id")))
     touched = parsed.select(F.col("url").alias("pcs_url")).join(ids, "pcs_url").select("stage_id")
     climbs = parsing.stage_climbs(parsed).join(ids, "pcs_url").drop("pcs_url")
     ranked = results.withColumnRenamed("stage_id", "pcs_url").join(ids, "pcs_url").drop("pcs_url", "time")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stagekin.operators import enrich, snapshots
 from stagekin.plans import jobs
-from stagekin.plans.skew import written
+from stagekin.plans.skew import side, written
 from stagekin.sources import store
 from stagekin.sources.tables import only_url as cut_to
 from stagekin.sources.worklist import with_urls
@@ -62,7 +62,7 @@ def ingest_stages(spark: SparkSession, root: str, pages: DataFrame, race_pages:
         touched = urls.withColumnRenamed("url", "pcs_url")
         cells = {"stage_profiles": base.cells("stage_profiles", touched)}
         profiles = base.load("stage_profiles", cells["stage_profiles"])
-        stages = profiles.join(touched, "pcs_url", "left_semi").select(F.col("id").alias("stage_id"))
+        stages = profiles.join(side(touched), "pcs_url", "left_semi").select(F.col("id").alias("stage_id"))
         cells |= {name: base.cells(name, stages) for name in ("stage_climbs", "stage_results")}
         tables = {name: base.load(name, cells[name]) for name in cells} | {"raw_pages": state}
         found = jobs.stage_changes(pages, tables, race_pages, highest=base.highest("stage_profiles"), **options)
@@ -127,7 +127,7 @@ def keep_snapshots(spark: SparkSession, root: str, pages: DataFrame, batch: Batc
         fetched = written(narrow, "fetched")
         state, cells = _state(base, fetched.select("url"))
         kept = written(snapshots.changed_ids(fetched, state), "kept")
-        texts = pages.select("id", "html").join(kept, "id")
+        texts = snapshots.with_texts(pages.select("id", "html"), kept)
         return log_changes(texts, kept, state, cells)
 
     return store.transact(spark, root, build, batch)

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 HOT_ROWS = 2_000_000
 SLICES = 64
+#: Most rows of a written side of a join that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -59,6 +61,15 @@ def written(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written frame as one side of a join: merged if it has many rows, else left to Spark.
+
+    Spark takes the size of files for the size of rows. Compressed files are many times smaller, and text that is
+    made of a few columns has no size at all, so that large sides would be broadcast through the driver.
+    """
+    return df.hint("merge") if df.count() > rows else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """More partitions for heavy work per row where a scan has fewer than there are cores.
 

@@ -276,7 +276,7 @@ def _check(after: Snapshot, changes: list[Change], added: list[tuple[Part, ...]]
         if layout.parent:
             column, parent, key = layout.parent
             new = _read(after.spark, after.root, name, [p.path for p in parts]).select(F.col(column).alias(key)).dropna().distinct()
-            lost = new.join(after.load(parent).select(key), key, "left_anti").first()
+            lost = new.join(after.load(parent).select(key).hint("merge"), key, "left_anti").first()
             if lost:
                 raise Broken(f"{name}: no row of {parent} has {key} {lost[0]}")
 
