@@ -56,6 +56,7 @@ XY_PAD = 8.0
 # Snapshot log and failure log.
 CHALLENGE_MARKERS = ("Just a moment", "cf-browser-verification")
 PAGELOAD_TIMER = r"Pageload \d+\.\d+s"
+PAGELOAD_START = "Pageload "
 NOISE_IDS = ("cmpbox", "cmpbox2")
 NOISE_CLASS_PART = "-ad"
 NOISE_ID_PART = "-ad-"

@@ -20,8 +20,8 @@ def falsy_or(first: Column, second: Column, zero_is_missing: bool = True) -> Col
 
 def time_to_seconds(text: Column) -> Column:
     """'H:MM:SS', 'M:SS' or 'SS' to seconds; null when a part is not an integer."""
-    parts = F.transform(F.split(text, ":"), lambda part: part.try_cast("bigint"))
-    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, part: total * 60 + part)
+    return F.aggregate(F.split(text, ":"), F.lit(0).cast("bigint"),
+                       lambda total, part: total * 60 + part.try_cast("bigint"))
 
 
 def title_from_slug(slug: Column) -> Column:

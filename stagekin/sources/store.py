@@ -23,6 +23,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
@@ -34,6 +35,8 @@ from stagekin.sources.tables import empty_table
 
 #: Buckets of a keyed table that is written for the first time; ``deal`` gives a grown table more.
 BUCKETS = 16
+#: Tables that are written or checked at the same time.
+AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -244,12 +247,13 @@ def _write(base: Snapshot, change: Change, segment: str) -> tuple[Part, ...]:
     rows = rows.withColumn(layout.cell, cell).hint("rebalance", *folders)
     rows.write.partitionBy(*folders).parquet(f"{base.root}/{name}/{segment}")
     written = _read(spark, base.root, name, [segment])
-    place = F.regexp_extract("_metadata.file_path", f"/({segment}/.*)/[^/]*$", 1).alias("path")
-    low, high = F.min(layout.span), F.max(layout.span)
+    files = written.groupBy(F.col("_metadata.file_path").alias("file"), F.col(layout.cell).cast("string").alias("cell")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(layout.span).alias("low"), F.max(layout.span).alias("high"))
+    place = F.regexp_extract("file", f"/({segment}/.*)/[^/]*$", 1).alias("path")  # once a file, not once a row
+    low, high = F.min("low"), F.max("high")
     if TABLES[name][layout.span].dataType.typeName() == "timestamp":
         low, high = (F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS") for x in (low, high))
-    found = written.groupBy(place, F.col(layout.cell).cast("string").alias("cell")).agg(
-        F.count(F.lit(1)).alias("rows"), low.alias("low"), high.alias("high"))
+    found = files.groupBy(place, "cell").agg(F.sum("rows").alias("rows"), low.alias("low"), high.alias("high"))
     return tuple(Part(r.path, r.cell or "", r.rows, r.low, r.high) for r in found.collect())
 
 
@@ -262,23 +266,28 @@ def _merged(base: Snapshot, changes: list[Change], added: list[tuple[Part, ...]]
     return tables
 
 
-def _check(after: Snapshot, changes: list[Change], added: list[tuple[Part, ...]]) -> None:
+def _check(after: Snapshot, change: Change, parts: tuple[Part, ...]) -> None:
     """Keys of the cells that were written are unique in them, and new rows refer to rows that are there."""
-    for change, parts in zip(changes, added, strict=True):
-        layout, name = LAYOUTS[change.name], change.name
-        if not parts:
-            continue
-        if layout.key:
-            rows = after.load(name, {p.cell for p in parts}).select(*layout.key).dropna()
-            double = rows.groupBy(*layout.key).count().filter("count > 1").first()
-            if double:
-                raise Broken(f"{name}: {double['count']} rows of {tuple(double)[:-1]}")
-        if layout.parent:
-            column, parent, key = layout.parent
-            new = _read(after.spark, after.root, name, [p.path for p in parts]).select(F.col(column).alias(key)).dropna().distinct()
-            lost = new.join(after.load(parent).select(key).hint("merge"), key, "left_anti").first()
-            if lost:
-                raise Broken(f"{name}: no row of {parent} has {key} {lost[0]}")
+    layout, name = LAYOUTS[change.name], change.name
+    if not parts:
+        return
+    if layout.key:
+        rows = after.load(name, {p.cell for p in parts}).select(*layout.key).dropna()
+        double = rows.groupBy(*layout.key).count().filter("count > 1").first()
+        if double:
+            raise Broken(f"{name}: {double['count']} rows of {tuple(double)[:-1]}")
+    if layout.parent:
+        column, parent, key = layout.parent
+        new = _read(after.spark, after.root, name, [p.path for p in parts]).select(F.col(column).alias(key)).dropna().distinct()
+        lost = new.join(after.load(parent).select(key).hint("merge"), key, "left_anti").first()
+        if lost:
+            raise Broken(f"{name}: no row of {parent} has {key} {lost[0]}")
+
+
+def _at_once(task: Callable, *arguments: list) -> list:
+    """The task for each change, a few at a time: the last tasks of one table leave cores for the next."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(task, *arguments))
 
 
 def _passed(base: Snapshot, now: Snapshot, changes: list[Change], added: list[tuple[Part, ...]]) -> bool:
@@ -304,13 +313,13 @@ def publish(base: Snapshot, changes: list[Change], batch: tuple[str, int] | None
     spark = base.spark
     segments = [f"segment={uuid.uuid4().hex}" for _ in changes]
     try:
-        added = [_write(base, change, segment) for change, segment in zip(changes, segments, strict=True)]
+        added = _at_once(lambda change, segment: _write(base, change, segment), changes, segments)
         now = base
         while True:
             batches = {**now.batches, **({batch[0]: batch[1]} if batch else {})}
             after = Snapshot(spark, base.root, now.version + 1, _merged(now, changes, added), batches)
             if now is base:
-                _check(after, changes, added)
+                _at_once(lambda change, parts: _check(after, change, parts), changes, added)
             if _claimed(after):
                 return after.version
             now = snapshot(spark, base.root)
