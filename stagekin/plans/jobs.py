@@ -54,8 +54,12 @@ def extraction_tasks(pages: DataFrame) -> int:
 
 
 def read_fetches(pages: DataFrame, spec: X.Spec, label: str) -> DataFrame:
-    """Every fetch read once (``parsing.readings``), written because several outputs follow from it."""
-    spread_by = [name for name in ("url", "id") if name in pages.columns]
+    """Every fetch read once (``parsing.readings``), written because several outputs follow from it.
+
+    The id comes first: pages that were joined by URL and id would else stay where the join left them, in partitions
+    that adaptive execution merges by their bytes, and be read by a few tasks.
+    """
+    spread_by = [name for name in ("id", "url") if name in pages.columns]
     return written(parsing.readings(pages.repartition(extraction_tasks(pages), *spread_by), spec), label)
 
 
